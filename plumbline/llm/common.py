@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,3 +62,12 @@ def blocks(texts: Iterable[bytes], limit: int) -> Iterator[list[int]]:
         held += len(t)
     if run:
         yield run
+
+
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def struct(columns: str) -> T.StructType:
+    """``"a long, b array<int>"`` as a schema, without a session."""
+    kind = lambda k: T.ArrayType(_TYPES[k[6:-1]]) if k.startswith("array<") else _TYPES[k]
+    return T.StructType([T.StructField(n, kind(k)) for n, k in (x.split() for x in columns.split(", "))])
