@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from plumbline.llm import op8_licenses as licenses
 from plumbline.llm.op5_media import op5_media
+from plumbline.llm.op9_warc import op9_warc
 
-QUERIES = {"op5_media": op5_media}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op5_media": op5_media, "op8_licenses": licenses.op8_licenses, "op9_warc": op9_warc}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.ORACLE}
