@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from plumbline.llm import op8_licenses as licenses
 from plumbline.llm.op5_media import op5_media
+from plumbline.llm.op6_language import op6_language
+from plumbline.llm.op7_toxicity import op7_toxicity
 from plumbline.llm.op9_warc import op9_warc
 
-QUERIES = {"op5_media": op5_media, "op8_licenses": licenses.op8_licenses, "op9_warc": op9_warc}
+QUERIES = {
+    "op5_media": op5_media,
+    "op6_language": op6_language,
+    "op7_toxicity": op7_toxicity,
+    "op8_licenses": licenses.op8_licenses,
+    "op9_warc": op9_warc,
+}
 ORACLES: dict[str, str] = {"op8_licenses": licenses.ORACLE}
