@@ -4,11 +4,12 @@
 punctuation, white space), hashes the whole of it and joins the digest to known licences.
 The same is done with each line, so that a notice inside a longer text is found as well.
 
-Result: one row per input row with scope ``document`` (``license`` null where the whole text
-is no known licence), and one row per document id and licence with scope ``line`` for notices
-on lines of their own (``n`` counts them).  Null and empty texts, and texts of punctuation
-alone, have a null digest and match nothing.  Repeated rows repeat their ``document`` row;
-lines of rows with one id are counted together.  Other columns of the input are ignored.
+Result: one row per input row with scope ``document`` and line 0 (``license`` null where the
+whole text is no known licence), and one row per line that is a known licence or notice, with
+scope ``line`` and its number from 1.  Null and empty texts, and texts of punctuation alone,
+have a null digest and match nothing.  Repeated rows repeat their rows; null ids are kept;
+other columns of the input are ignored.  No row depends on another, so nothing is shuffled
+unless the table of known digests is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -128,93 +129,61 @@ THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     ),
 ]
 
-# Spellings that count as equal, as the public licence matching guidelines list them.
+# Spellings that count as equal. c and z are read as s (licence, license; organise, organize); then
+# these parts of words are rewritten, on the text so folded (favour, favor; cancelled, canceled; catalogue, catalog).
+FOLD_FROM, FOLD_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZcz", "absdefghijklmnopqrstuvwxysss"
 SPELLINGS = [
-    ("acknowledgement", "acknowledgment"),
-    ("analogue", "analog"),
-    ("analyse", "analyze"),
-    ("artefact", "artifact"),
-    ("authorisation", "authorization"),
-    ("authorised", "authorized"),
-    ("calibre", "caliber"),
-    ("cancelled", "canceled"),
-    ("capitalisations", "capitalizations"),
-    ("catalogue", "catalog"),
-    ("categorise", "categorize"),
-    ("centre", "center"),
-    ("emphasised", "emphasized"),
-    ("favour", "favor"),
-    ("fulfil ", "fulfill "),
-    ("fulfilment", "fulfillment"),
-    ("initialise", "initialize"),
-    ("judgement", "judgment"),
-    ("labelling", "labeling"),
-    ("labour", "labor"),
-    ("licence", "license"),
-    ("maximise", "maximize"),
-    ("modelled", "modeled"),
-    ("modelling", "modeling"),
-    ("offence", "offense"),
-    ("optimise", "optimize"),
-    ("organisation", "organization"),
-    ("organise", "organize"),
-    ("practise", "practice"),
-    ("programme", "program"),
-    ("realise", "realize"),
-    ("recognise", "recognize"),
-    ("signalling", "signaling"),
-    ("utilisation", "utilization"),
+    ("our", "or"),
+    ("ll", "l"),
+    ("logue", "log"),
+    ("gramme", "gram"),
+    ("dgement", "dgment"),
+    ("artefast", "artifast"),
+    ("sentre", "senter"),
     ("whilst", "while"),
-    ("wilful", "willful"),
-    ("non commercial", "noncommercial"),
-    ("sub license", "sublicense"),
-    ("per cent", "percent"),
-    ("copyright owner", "copyright holder"),
+    ("opyright owner", "opyright holder"),
 ]
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|by[ \t])|\(c\)|©|all rights reserved)[^\n]*"
-PUNCTUATION = r"[\x01-/:-`{-\x7f©“”‘’–—]+"
+MARKS = "\t\r\f\v!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~©“”‘’–—\u00a0"
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t#*/;-]*([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt][ \t]+(\([Cc]\)|©|[0-9<]|[Bb][Yy][ \t])|\([Cc]\)|©|[Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd])[^\n]*"
+)
+#: Known digests up to which they are broadcast (some 100 bytes each).
+BROADCAST_ROWS = 200_000
 
 
-def _sql(text: str) -> str:
-    """Canonical form of a SQL expression, for DuckDB."""
-    e = f"translate({text}, '{UPPER}', '{LOWER}')"
-    e = f"regexp_replace({e}, '{COPYRIGHT_LINE}', '\\1', 'g')"
-    e = f"regexp_replace({e}, '{PUNCTUATION}', ' ', 'g')"
+def _folded(text: Column) -> Column:
+    """Words and lines of a text in canonical spelling, still apart. Parts of words never meet across a blank or a line's end."""
+    c = F.regexp_replace(text, COPYRIGHT_LINE, "$1")
+    c = F.translate(c, FOLD_FROM + MARKS, FOLD_TO + " " * len(MARKS))
     for a, b in SPELLINGS:
-        e = f"replace({e}, '{a}', '{b}')"
-    return f"nullif(trim({e}), '')"
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
-def canonical(text: Column | str) -> Column:
-    """Canonical text of a string column; null where nothing is left."""
-    column = F.col(text) if isinstance(text, str) else text
-    c = F.translate(column, UPPER, LOWER)
-    c = F.regexp_replace(c, COPYRIGHT_LINE, "$1")
-    c = F.regexp_replace(c, PUNCTUATION, " ")
-    for a, b in SPELLINGS:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.trim(c)
-    return F.when(c != "", c)
+def _digest(folded: Column) -> Column:
+    """Digest of what is left without blanks and line ends; null if nothing is."""
+    c = F.translate(folded, " \n", "")
+    return F.when(c != "", F.sha2(c, 256))
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """``license, digest`` of the given (identifier, text) pairs: one row per digest, the smallest identifier."""
     rows = spark.createDataFrame(texts or KNOWN, "license string, body string")
-    return rows.select("license", F.sha2(canonical("body"), 256).alias("digest")).dropna().groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.select("license", _digest(_folded(F.col("body"))).alias("digest")).dropna().groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, scope, license, digest, n``; see the module. ``known``: license, digest; Spark broadcasts it only under its size threshold."""
+    """``doc_id, scope, line, license, digest``; see the module. ``known``: license, digest, one row per digest."""
     known = known.select("license", "digest")
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    whole = base.select("doc_id", F.sha2(canonical("body"), 256).alias("digest")).join(known, "digest", "left")
-    whole = whole.select("doc_id", F.lit("document").alias("scope"), "license", "digest", F.lit(1).cast("long").alias("n"))
-    lines = base.select("doc_id", F.explode(F.split("body", "\n", -1)).alias("line"))
-    hits = lines.where(F.col("line") != "").select("doc_id", F.sha2(canonical("line"), 256).alias("digest")).join(known, "digest")
-    found = hits.groupBy("doc_id", "license", "digest").agg(F.count(F.lit(1)).alias("n"))
-    return whole.unionByName(found.select("doc_id", F.lit("line").alias("scope"), "license", "digest", "n"))
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    base = docs.select(F.col(doc_id).alias("doc_id"), _folded(F.coalesce(F.col(text), F.lit(""))).alias("folded"))
+    units = base.select("doc_id", F.posexplode(F.concat(F.array("folded"), F.split("folded", "\n", -1))).alias("line", "unit"))
+    hashed = units.select("doc_id", "line", _digest(F.col("unit")).alias("digest"))
+    scope = F.when(F.col("line") == 0, "document").otherwise("line")
+    found = hashed.join(known, "digest", "left").where("line = 0 OR license IS NOT NULL")
+    return found.select("doc_id", scope.alias("scope"), "line", "license", "digest")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,18 +192,28 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def folded(text: str) -> str:
+        e = f"regexp_replace({text}, {quote(COPYRIGHT_LINE)}, '\\1', 'g')"
+        e = f"translate({e}, {quote(FOLD_FROM + MARKS)}, {quote(FOLD_TO + ' ' * len(MARKS))})"
+        for a, b in SPELLINGS:
+            e = f"replace({e}, '{a}', '{b}')"
+        return e
+
+    digest = lambda e: f"sha256(nullif(translate({e}, ' ' || chr(10), ''), ''))"
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
     return f"""
 WITH texts(license, body) AS (VALUES {values}),
-known AS (SELECT sha256({_sql("body")}) AS digest, min(license) AS license FROM texts GROUP BY 1),
-whole AS (SELECT doc_id, sha256({_sql("text")}) AS digest FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-hashed AS (SELECT doc_id, sha256({_sql("line")}) AS digest FROM lines WHERE line <> '')
-SELECT doc_id, 'document' AS scope, license, whole.digest AS digest, CAST(1 AS BIGINT) AS n
-FROM whole LEFT JOIN known ON whole.digest = known.digest
-UNION ALL
-SELECT doc_id, 'line', license, hashed.digest, CAST(count(*) AS BIGINT)
-FROM hashed JOIN known ON hashed.digest = known.digest GROUP BY 1, 3, 4"""
+known AS (SELECT {digest(folded("body"))} AS digest, min(license) AS license FROM texts GROUP BY 1),
+base AS (SELECT doc_id, {folded("coalesce(text, '')")} AS folded FROM documents),
+cut AS (SELECT doc_id, string_split(folded, chr(10)) AS parts, folded FROM base),
+units AS (
+  SELECT doc_id, 0 AS line, folded AS unit FROM base
+  UNION ALL SELECT doc_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER), unnest(parts) FROM cut
+),
+hashed AS (SELECT doc_id, line, {digest("unit")} AS digest FROM units)
+SELECT doc_id, CASE WHEN line = 0 THEN 'document' ELSE 'line' END AS scope, line, license, hashed.digest AS digest
+FROM hashed LEFT JOIN known ON hashed.digest = known.digest WHERE line = 0 OR license IS NOT NULL"""
 
 
 ORACLE = _oracle()
