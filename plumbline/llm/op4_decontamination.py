@@ -179,21 +179,26 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
+def overlap_counter(spark: SparkSession, items: list[tuple[int | None, str]]):
+    """Column function text -> how many of ``items`` it overlaps."""
+    held = spark.sparkContext.broadcast(Benchmark(items))  # a block at most
+
+    @F.pandas_udf(LongType())
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = Words()
+        for part in parts:
+            bodies, out = [b or "" for b in part], []
+            for block in blocks(bodies, TEXT_BYTES):
+                out += [len(held.value.overlaps(own)) for own in words.of([bodies[i] for i in block])]
+            yield pd.Series(out, dtype="int64")
+
+    return count
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text overlaps no benchmark item."""
     for items in read_blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
-
-        @F.pandas_udf(LongType())
-        def hits(parts: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            words = Words()
-            for part in parts:
-                bodies, out = [b or "" for b in part], []
-                for block in blocks(bodies, TEXT_BYTES):
-                    out += [len(held.value.overlaps(own)) for own in words.of([bodies[i] for i in block])]
-                yield pd.Series(out, dtype="int64")
-
-        docs = docs.where(hits(F.col(text)) == 0)
+        docs = docs.where(overlap_counter(docs.sparkSession, items)(F.col(text)) == 0)
     return docs
 
 

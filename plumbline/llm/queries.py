@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm import op8_licenses as licenses
 from plumbline.llm.op1_tokens import op1_tokens
+from plumbline.llm.op2_mixing import op2_mixing
 from plumbline.llm.op3_packing import op3_packing
 from plumbline.llm.op4_decontamination import op4_decontamination
 from plumbline.llm.op5_media import op5_media
@@ -14,6 +15,7 @@ from plumbline.llm.op10_simhash import op10_simhash
 
 QUERIES = {
     "op1_tokens": op1_tokens,
+    "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_media": op5_media,
