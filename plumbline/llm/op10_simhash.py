@@ -75,6 +75,8 @@ def spanning(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE) -> l
         while len(wave):
             reached = near[wave]
             found = np.flatnonzero(reached.any(0) & fresh_right)
+            if not len(found):
+                break
             fresh_right[found] = False
             edges += zip(wave[reached[:, found].argmax(0)].tolist(), found.tolist(), strict=True)
             back = near[:, found]
