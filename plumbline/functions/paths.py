@@ -158,15 +158,19 @@ def disposition(path: Column, content: Column | None = None, build_output: Colum
     )
 
 
-def shorten(path: Column, most: int = 50, kept: int = 47) -> Column:
-    """Paths longer than ``most`` characters lose their front: ``...`` and the last ``kept``."""
-    return F.when(F.char_length(path) > most, F.concat(F.lit("..."), F.right(path, F.lit(kept)))).otherwise(path)
+def shorten(path: Column, most: int = 50) -> Column:
+    """Longer paths keep their first and last name, or only the last where that is still too long; of one or two names the end is kept."""
+    names = F.split(path, "/")
+    first, last = F.element_at(names, 1), F.element_at(names, -1)
+    tail = F.concat(F.lit("..."), F.right(path, F.lit(most - 3)))
+    middle = F.when(most - 3 - F.char_length(last) - F.char_length(first) > 0, F.concat(first, F.lit("/.../"), last)).otherwise(F.concat(F.lit(".../"), last))
+    return F.when(F.char_length(path) <= most, path).when(F.size(names) <= 2, tail).otherwise(middle)
 
 
 def to_uri(path: Column) -> Column:
-    """Forward slashes; absolute paths get ``file://``."""
+    """Forward slashes; absolute paths get ``file://``; what is a URI already stays."""
     p = F.replace(path, F.lit("\\"), F.lit("/"))
-    return F.when(p.startswith("/"), F.concat(F.lit("file://"), p)).when(p.rlike("^[A-Za-z]:/"), F.concat(F.lit("file:///"), p)).otherwise(p)
+    return F.when(p.startswith("/"), F.concat(F.lit("file://"), p)).otherwise(p)
 
 
 def sort_key(path: Column) -> Column:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from plumbline.plans import file_queries
+
+QUERIES = dict(file_queries.QUERIES)
+ORACLES = dict(file_queries.ORACLES)
