@@ -62,7 +62,8 @@ class Words(dict):
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Hashes of the words of each text, in order."""
         if len(self) > CACHE_WORDS:
-            self.__init__()
+            self.clear()
+            self.made, self.hashes = [], np.zeros(0, np.uint64)
         numbers, sizes = [], []
         for text in texts:
             tokens = text.lower().split()
