@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.plans import file_queries
+from plumbline.plans import complexity_queries, file_queries  # the former registers with the latter
 
 QUERIES = dict(file_queries.QUERIES)
+assert complexity_queries
 ORACLES = dict(file_queries.ORACLES)
