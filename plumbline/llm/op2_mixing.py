@@ -5,7 +5,7 @@ belongs to one of a few classes, by its byte pairs; the class is part of what is
 
 A token is spelled byte by byte and closed by a space, so the end is a space alone; a byte is
 a path of binary decisions down a Huffman tree over the corpus's bytes.  Each decision is
-predicted by several hashed contexts: the class with the last one, two, three, four and six
+predicted by several hashed contexts: the class with the last two, three, four and five
 bytes.  A context's slot holds how often each branch was taken; the log
 odds of all slots are mixed by weights of a gate, which is chosen by how much the contexts
 have seen, and the mix is refined by an adaptive probability map.  Weights and map are learned
@@ -35,6 +35,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +47,18 @@ from plumbline.llm.common import load, struct, write_table
 CLASSES = 8
 #: Expected texts whose byte pairs make the class centres, and hashed byte pairs.
 CENTRE_TEXTS, PAIRS = 2000, 512
-ORDERS = (1, 2, 3, 4, 6)
-CLASS_ORDERS = (1, 2, 3, 4, 6)  # together with the class
+ORDERS = (2, 3, 4, 5)  # bytes of a context, each together with the class
 CONTEXTS = len(ORDERS)
 SLOT_BITS = 20
 EM_ROUNDS = 6
 SEEN_LEVELS, MAP_STEPS = 6, 33
 GATES = 2 * SEEN_LEVELS * SEEN_LEVELS
 CLOSE = 0x20
-RATE = 0.002
+RATE = 0.004
 #: Bytes that are worked on in one go; tokens a task counts before it hands them on.
 CHUNK_BYTES, COUNT_TOKENS = 1 << 16, 400_000
 #: Bound of the broadcast list: tokens, and bytes of a token.
-HOT_TOKENS, HOT_BYTES = 1 << 17, 64
+HOT_TOKENS, HOT_BYTES = 1 << 18, 64
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -169,7 +169,7 @@ def context_keys(data: np.ndarray, owner: np.ndarray, kind: np.ndarray) -> np.nd
         back[place < k] = 0
         near = near * np.uint64(257) + back
         if k in ORDERS:
-            keys[ORDERS.index(k)] = near * _K[0] + np.uint64(k * 0x9E3779B1) + (mark if k in CLASS_ORDERS else np.uint64(0))
+            keys[ORDERS.index(k)] = near * _K[0] + np.uint64(k * 0x9E3779B1) + mark
     return keys
 
 
@@ -188,12 +188,13 @@ def decisions(tree: Tree, data: np.ndarray, owner: np.ndarray, kind: np.ndarray)
 
 def count_slots(tree: Tree, held: Tokens, table: np.ndarray) -> None:
     """Add the tokens' decisions, weighted by their counts, to ``table`` (2 x slots)."""
+    flat = table.reshape(-1)
     for data, owner, kind, own, _ in held.chunks():
         for at, branch, slot, _ in decisions(tree, data, owner, kind):
             weight = own[owner[at]].astype(np.float64)
-            cell = (slot + branch.astype(np.int64) * table.shape[1]).ravel()
-            cells, inverse = np.unique(cell, return_inverse=True)
-            table.reshape(-1)[cells] += np.bincount(inverse, weights=np.broadcast_to(weight, slot.shape).ravel())
+            cell = slot + branch.astype(np.int64) * table.shape[1]
+            for row in cell:
+                np.add.at(flat, row, weight)
 
 
 def _level(seen: np.ndarray) -> np.ndarray:
@@ -245,10 +246,9 @@ class Mixer:
                 odds, gate = self.inputs(slot, d, branch)
                 mixed = self.mix(odds, gate)
                 error = (branch - 1 / (1 + np.exp(-mixed))) * weight
+                rate = RATE / np.maximum(np.bincount(gate, weights=weight, minlength=GATES), 1e-9)
                 for k in range(CONTEXTS + 1):
-                    pull = np.bincount(gate, weights=error * odds[k], minlength=GATES)
-                    size = np.bincount(gate, weights=weight * (0.05 * odds[k] ** 2 + 0.01), minlength=GATES)
-                    self.weights[:, k] += RATE * pull / np.maximum(size, 1e-9)
+                    self.weights[:, k] += rate * np.bincount(gate, weights=error * odds[k], minlength=GATES)
                 cell = gate * MAP_STEPS + np.rint((mixed + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)
                 for side in (0, 1):
                     self.seen[side] += np.bincount(cell, weights=weight * (branch == side), minlength=self.seen.shape[1])
@@ -465,7 +465,6 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_i
     known = spark.sparkContext.broadcast((centres, place, np.concatenate([values, np.zeros((1, values.shape[1]))])))
     names = [f"s{k}" for k in range(len(PRESETS))]
     schema = struct("word binary, kind int, row long, doc_id long, held_out boolean, n_bytes long, n long, known long, base double, " + ", ".join(f"h{k} double" for k in range(len(PRESETS))))
-    none = (0.0,) * len(PRESETS)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -474,24 +473,22 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_i
         centres, place, values = known.value
         cold = len(values) - 1
         for part in parts:
-            out: list[tuple] = []
+            lines = _Lines()
             for key, body in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 data = (body.as_py() or "").encode("utf-8", "replace").lower()
                 own, kind = [*data.split(), b""], class_of(centres, data)
-                here = place[kind]
-                at = np.fromiter((here.get(w, cold) for w in own), np.int64, len(own))
+                at = np.fromiter(map(place[kind].get, own, repeat(cold)), np.int64, len(own))
                 rest = np.flatnonzero(at == cold)
                 sums = values.take(at, axis=0).sum(0).tolist()
                 size = sum(map(len, own)) + len(own)
                 # The row's own line: a space can't start a token, so it joins nothing, and no two rows meet.
-                out.append((b" " + row.to_bytes(8, "big"), kind, row, key, _remainder(key, modulus) == held, size, len(own) - len(rest), round(sums[0]), *sums[1:]))
-                out += [(w, kind, row, None, None, 0, n, 0, 0.0, *none) for w, n in Counter([own[i] for i in rest]).items()]
+                lines.head((b" " + row.to_bytes(8, "big"), kind, row, key, _remainder(key, modulus) == held, size, len(own) - len(rest), round(sums[0]), *sums[1:]))
+                lines.tail(Counter([own[i] for i in rest.tolist()]), kind, row)
                 row += 1
-                if len(out) > 50_000:
-                    yield _lines(out, schema)
-                    out = []
-            if out:
-                yield _lines(out, schema)
+                if len(lines.words) > 100_000:
+                    yield from lines.batches(schema)
+                    lines = _Lines()
+            yield from lines.batches(schema)
 
     lines = base.mapInArrow(run, schema).join(scored, ["word", "kind"], "left")
     found = F.col("total").isNotNull()
@@ -514,9 +511,34 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_i
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(in_all).cast("long").alias("train_tokens"), "base_score", "score", per_byte.alias("bits_per_byte"))
 
 
-def _lines(rows: list[tuple], schema) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * (1 + len(PRESETS))]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+class _Lines:
+    """Output of the document pass: a line of sums per row, and a line per token that isn't in the broadcast list."""
+
+    def __init__(self):
+        self.heads: list[tuple] = []
+        self.words: list[bytes] = []
+        self.counts: list[int] = []
+        self.runs: list[tuple[int, int, int]] = []  # tokens, class and row of each run of lines
+
+    def head(self, line: tuple) -> None:
+        self.heads.append(line)
+
+    def tail(self, rest: Counter, kind: int, row: int) -> None:
+        self.words += rest.keys()
+        self.counts += rest.values()
+        self.runs.append((len(rest), kind, row))
+
+    def batches(self, schema) -> Iterator[pa.RecordBatch]:
+        sums = [pa.float64()] * (1 + len(PRESETS))
+        kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *sums]
+        if self.heads:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.heads, strict=True), kinds, strict=True)], names=schema.names)
+        n = len(self.words)
+        if n:
+            size, kind, row = np.array(self.runs, np.int64).T
+            zero = pa.array(np.zeros(n, np.int64))
+            plain = [pa.array(self.words, pa.binary()), pa.array(np.repeat(kind, size).astype(np.int32)), pa.array(np.repeat(row, size)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), zero]
+            yield pa.RecordBatch.from_arrays([*plain, pa.array(self.counts, pa.int64()), zero, *[pa.array(np.zeros(n))] * len(sums)], names=schema.names)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
