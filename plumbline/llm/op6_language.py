@@ -28,7 +28,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bound of the training sample: expected rows of a label, and windows of a row, spread evenly over its text.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 1000, 4
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+EPOCHS, STEPS, BATCH, RATE = 6, 400, 128, 0.01  # at least so many steps
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -87,7 +87,7 @@ def train(x: np.ndarray, y: list[str]) -> ByteNet | None:
     params = [*net.filters, net.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = (len(y) / len(labels) / np.bincount(target, minlength=len(labels)))[target].astype(np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(x)))):
         order = rng.permutation(len(x))
         for a in range(0, len(x), BATCH):
             pick = order[a : a + BATCH]
