@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.plans import complexity_queries, file_queries  # the former registers with the latter
+from plumbline.plans import complexity_queries, file_queries, report_queries  # the others register with file_queries
 
 QUERIES = dict(file_queries.QUERIES)
-assert complexity_queries
+assert complexity_queries and report_queries
 ORACLES = dict(file_queries.ORACLES)

@@ -102,3 +102,49 @@ def test_document_stream(spark, tmp_path):
         query.stop()
     assert sorted(out[:2]) == [("f/a.rs", 1, True, 2, 1, 1, 0, 0), ("f/b.py", 2, True, 1, 0, 1, 0, 0)]
     assert sorted(out[2:]) == [("f/a.rs", 4, False, 0, 0, 0, 0, 0), ("f/b.py", 5, True, 2, 2, 0, 0, 0)]
+
+
+def test_library_report(spark, project):
+    import json
+
+    from plumbline import api
+
+    report = api.analyze(spark, str(project))
+    try:
+        assert sorted(r["path"] for r in report.stats.collect()) == ["_gen/a.py", "app/__init__.py", "app/main.py", "bad/bytes.rs", "build/real.go", "src/main.rs", "sub/only_root.rs"]
+        assert report.totals.first()["files"] == 7
+        assert {r["disposition"]: r["files"] for r in report.skipped.collect()} == {"unknown": 2}
+        data = json.loads(report.json())
+        assert data["basic"]["files"] == 7 and data["stats_by_extension"]["rs"]["files"] == 3 and data["complexity"]["functions"] == 1
+        assert report.csv().splitlines()[0].startswith("Extension,") and "rs,3," in report.csv()
+        assert "Total Files: 7" in report.text() and "<td>rs</td>" in report.html()
+        logs = [json.loads(r["json"]) for r in report.sarif().collect()]
+        assert logs[0]["version"] == "2.1.0" and any(x["ruleId"] == "HM000" for x in logs[0]["runs"][0]["results"])
+    finally:
+        report.release()
+    only = api.analyze(spark, str(project), api.Options().with_extensions("RS"))
+    assert only.totals.first()["files"] == 3
+    listed = [r["path"] for r in api.list_files(spark, str(project)).collect()]
+    assert listed == sorted(listed, key=lambda p: p.split("/")) and "app/__init__.py" in listed
+
+
+def test_report_of_nothing(spark, tmp_path):
+    import json
+
+    from plumbline import api
+
+    report = api.analyze(spark, str(tmp_path))
+    data = json.loads(report.json())
+    assert data["basic"]["files"] == 0 and 0 <= data["quality"]["overall"] <= 100
+    assert report.csv().count("\n") == 1
+
+
+def test_charts(spark):
+    from plumbline.operators import reports
+
+    pie = spark.createDataFrame([("rs", 3), ("py", 1)], "label string, value long")
+    chart = reports.chart(pie, "Lines", "language")
+    assert chart["data"]["labels"] == ["rs (75.0%)", "py (25.0%)"]
+    assert chart["data"]["datasets"][0]["backgroundColor"] == ["#dea584", "#3776ab"]
+    assert reports.colors(["a", "b"], "monochrome") == ["#333333", "#7f7f7f"]
+    assert len(set(reports.colors(list("abcdefghijkl"), "pastel"))) == 10
