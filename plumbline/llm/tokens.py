@@ -9,7 +9,7 @@ import os
 import numpy as np
 
 #: Words whose ids a worker keeps (some 200 bytes each), and the longest such word.
-CACHE_WORDS, CACHE_BYTES = 1_200_000, 48
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
 
 _TAIL = b".,!?;:)(\"$%&*#@|+-="  # ASCII marks that the word tokenizer splits off after a letter
 
