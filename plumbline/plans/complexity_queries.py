@@ -54,7 +54,7 @@ def _code_files(spark, sf_dir):
     k = (F.col("doc_id") % len(exts) + 1).cast("int")
 
     def line(x, i):
-        return F.when(i % 12 == 8, F.element_at(shapes, k)).when(i % 4 == 0, F.element_at(heads, k)).when(i % 4 == 3, F.lit("}")).when(i % 4 == 1, F.concat(F.lit("    if (a && b) { return "), F.substring(x, 1, 20), F.lit("; }"))).otherwise(F.concat(F.lit("    "), x))
+        return F.when(i % 12 == 8, F.element_at(shapes, k)).when(i % 4 == 0, F.element_at(heads, k)).when(i % 4 == 3, F.lit("}")).when(i % 4 == 1, F.concat(F.lit("    if (a && b) { return "), x, F.lit("; }"))).otherwise(F.concat(F.lit("    "), x))
 
     content = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
     path = F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, exts)), k))

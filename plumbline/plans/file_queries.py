@@ -465,7 +465,7 @@ def extension_filter_totals(spark, sf_dir):
 
 
 PROJECTS = ["Cargo.toml", "src/lib.rs", "target/debug/gen.rs", "build/ok.go", "web/package.json", "web/dist/app.js", "web/src/dist/real.js", "net/App.sln", "net/bin/a.cs", "tools/bin/run.sh", "py/env/pyvenv.cfg", "py/env/lib/x.py", "py/venv/y.py", "c/out/CACHEDIR.TAG", "c/out/z.c"]
-BUILD_SQL = f"""entries AS (SELECT 'p' || r.page_id || '/' || unnest({_sql_list(PROJECTS)}) AS path FROM pages r WHERE page_id < 50)"""
+BUILD_SQL = f"""entries AS (SELECT 'p' || r.page_id || '/' || unnest({_sql_list(PROJECTS)}) AS path FROM pages r)"""
 
 
 @query(
@@ -474,7 +474,7 @@ BUILD_SQL = f"""entries AS (SELECT 'p' || r.page_id || '/' || unnest({_sql_list(
 def outside_build_folders(spark, sf_dir):
     """Files outside folders with evidence of being build output."""
     projects = F.explode(F.array(*map(F.lit, PROJECTS)))
-    entries = load(spark, sf_dir, "pages").where("page_id < 50").select(F.col("page_id"), projects.alias("p"))
+    entries = load(spark, sf_dir, "pages").select(F.col("page_id"), projects.alias("p"))
     return selection.outside_build(entries.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("/"), F.col("p")).alias("path")))
 
 
@@ -498,13 +498,13 @@ def text_forms(spark, sf_dir):
 
 
 @query(
-    r"""SELECT page_id, replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html_text,
-  replace(replace(replace(replace(replace(replace(replace(left(html, 300), '\', '\\'), '''', '\'''), '"', '\"'), chr(10), '\n'), chr(13), '\r'), '<', '\u003c'), '>', '\u003e') AS script_text FROM pages"""
+    r"""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html_text,
+  replace(replace(replace(replace(replace(replace(replace(html, '\', '\\'), '''', '\'''), '"', '\"'), chr(10), '\n'), chr(13), '\r'), '<', '\u003c'), '>', '\u003e') AS script_text FROM pages"""
 )
 def escaped_text(spark, sf_dir):
     """Text for markup and for scripts."""
-    head = F.substring("html", 1, 300)
-    return load(spark, sf_dir, "pages").select("page_id", scores.html_escaped(head).alias("html_text"), scores.script_escaped(head).alias("script_text"))
+    html = F.col("html")
+    return load(spark, sf_dir, "pages").select("page_id", scores.html_escaped(html).alias("html_text"), scores.script_escaped(html).alias("script_text"))
 
 
 # ---- findings ---------------------------------------------------------------------------

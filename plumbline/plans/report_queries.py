@@ -8,6 +8,7 @@ from plumbline import api
 from plumbline.functions.paths import extension
 from plumbline.operators import complexity, ranking, reports, rollups
 from plumbline.plans import views
+from plumbline.plans.complexity_queries import ROWS, _rows
 from plumbline.plans.file_queries import LINES, PIE, WITH, _sum_sql, query
 from plumbline.plans.views import STATS_SQL
 
@@ -55,12 +56,13 @@ def chart_report(spark, sf_dir):
     return reports.chart_lines(ranking.pie(rollups.by_key(views.file_stats(spark, sf_dir)), "total_lines", most=6))
 
 
-@query(f"{WITH} SELECT key, concat_ws(',', key, files, total_lines, code_lines, comment_lines, doc_lines, blank_lines, file_size, 0, '0.0') AS line FROM by_key WHERE key NOT IN ('rs', 'py', 'js', 'go', 'c')")
+@query(
+    f"""{WITH}, {ROWS}, e AS (SELECT ext, count(*) AS functions, CAST(sum(cyclomatic) AS DOUBLE) / count(*) AS cyclomatic FROM rows GROUP BY ext)
+SELECT key, concat_ws(',', key, files, total_lines, code_lines, comment_lines, doc_lines, blank_lines, file_size, coalesce(functions, 0), format('{{:.1f}}', coalesce(cyclomatic, 0.0::DOUBLE))) AS line FROM by_key LEFT JOIN e ON key = ext"""
+)
 def full_csv_report(spark, sf_dir):
-    """CSV with functions, for extensions without an analyzer."""
-    keyed = rollups.by_key(views.file_stats(spark, sf_dir))
-    rows = complexity.functions(complexity.analyze(views.files(spark, sf_dir)))
-    return reports.full_csv_lines(keyed, complexity.by_extension(rows)).where("key NOT IN ('rs', 'py', 'js', 'go', 'c')")
+    """CSV with functions."""
+    return reports.full_csv_lines(rollups.by_key(views.file_stats(spark, sf_dir)), complexity.by_extension(_rows(spark, sf_dir)))
 
 
 @query()
