@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -92,9 +92,8 @@ def links(nodes: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("half"), F.shiftrightunsigned("fp", 32).alias("part")),
         F.struct(F.lit(1).alias("half"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("part")),
     )
-    filed = nodes.select("fp", "node", F.explode(halves).alias("h")).select("h.half", "h.part", "fp", "node")
-    zero_bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b: F.expr("shiftright(part, 0)").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) == 0)
-    flips = F.explode(F.transform(zero_bits, lambda b: F.col("part").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
+    filed = write_table(nodes.select("fp", "node", F.explode(halves).alias("h")).select("h.half", "h.part", "fp", "node"), "filed")
+    flips = F.explode(F.transform(_bits(0), lambda b: F.col("part").bitwiseOR(_one(b))))
     probes = filed.select("half", flips.alias("part"), "fp", "node", F.lit(False).alias("own"))
     search = filed.select("half", "part", "fp", "node", F.lit(True).alias("own")).unionByName(probes)
 
@@ -102,16 +101,34 @@ def links(nodes: DataFrame) -> DataFrame:
     sparse = filed.join(crowded, ["half", "part"], "left_anti").select("half", "part", F.col("fp").alias("fp2"), F.col("node").alias("node2"))
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE) & (~F.col("own") | (F.col("fp") < F.col("fp2")))
     pairs = search.join(sparse, ["half", "part"]).where(near).select(F.col("node").alias("x"), F.col("node2").alias("y"))
-    return _ordered(pairs.unionByName(_crowded_links(search, crowded)))
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(_crowded_links(filed, crowded))
+    return _ordered(pairs)
+
+
+def _one(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def _bits(value: int) -> Column:
+    """Places of the bits of ``part`` that have this value."""
+    return F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b: F.getbit("part", b) == value)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _crowded_links(search: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Spanning edges within the crowded halves, by pairs of blocks."""
-    members = search.join(crowded, ["half", "part"])
+def _crowded_links(filed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Spanning edges within the crowded halves, by pairs of blocks.
+
+    Who else searches there follows from the crowded halves: those whose half has one bit less.
+    """
+    own = filed.join(crowded, ["half", "part"]).withColumn("own", F.lit(True))
+    less = F.explode(F.transform(_bits(1), lambda b: F.col("part").bitwiseXOR(_one(b))))
+    below = crowded.select("half", F.col("part").alias("sought"), "members", less.alias("part"))
+    others = filed.join(below, ["half", "part"]).select("half", F.col("sought").alias("part"), "fp", "node", "members", F.lit(False).alias("own"))
+    members = own.unionByName(others)
     searchers = members.groupBy("half", "part").agg(F.count(F.lit(1)).alias("searchers"))
     members = members.join(searchers, ["half", "part"])
     rows = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")  # blocks of the filed, and of all that search there
