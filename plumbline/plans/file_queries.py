@@ -607,7 +607,10 @@ def cache_refresh(spark, sf_dir):
     return incremental.refresh(current, known, lambda f: views.stats_of(f).withColumnRenamed("file_size", "size").join(f.select("path", "mtime"), "path"), 1).select("path", "total_lines", "code_lines")
 
 
-@query(f"WITH {KNOWN_SQL} SELECT path, touched FROM known ORDER BY touched DESC, path LIMIT 100")
+@query(
+    f"""WITH {KNOWN_SQL}, ranked AS (SELECT path, touched, row_number() OVER (ORDER BY touched DESC, path) AS rank, count(*) OVER () AS entries FROM known)
+SELECT path, touched FROM ranked WHERE entries <= 150 OR rank <= 100"""
+)
 def cache_eviction(spark, sf_dir):
     """The entries that stay when the table is cut."""
     return incremental.evict(_known(spark, sf_dir)[1].select("path", "touched"), 150, 100)
