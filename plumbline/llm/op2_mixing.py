@@ -58,7 +58,7 @@ RATE = 0.004
 #: Bytes that are worked on in one go; tokens a task counts before it hands them on.
 CHUNK_BYTES, COUNT_TOKENS = 1 << 16, 400_000
 #: Bound of the broadcast list: tokens, and bytes of a token.
-HOT_TOKENS, HOT_BYTES = 1 << 18, 64
+HOT_TOKENS, HOT_BYTES = 300_000, 64
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -440,6 +440,18 @@ def token_scores(spelled: DataFrame, gates: list[list[float]], in_class: list[in
     return spelled.select("word", "kind", "total", *columns)
 
 
+def _frequent(pairs: DataFrame) -> DataFrame:
+    """The pairs from some count on, HOT_TOKENS at most: a threshold from a histogram, so that nothing is sorted in one task."""
+    level = F.floor(F.log2("n") * 16)
+    room, least = HOT_TOKENS, None
+    for r in sorted(pairs.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # some hundred rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return pairs.where(F.lit(False) if least is None else level >= least)
+
+
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of all texts by a model of those whose crc32(id as text) mod ``modulus`` is not ``held``; see the module."""
     spark = docs.sparkSession
@@ -455,7 +467,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_i
     spelled = write_table(spell(pairs, *fit(pairs)), "spelled")
     scored = token_scores(spelled, _gates(spelled, in_class, in_all), in_class, in_all)
 
-    hot = pairs.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word", "kind").limit(HOT_TOKENS).select("word", "kind")
+    hot = _frequent(pairs.where(F.octet_length("word") <= HOT_BYTES)).select("word", "kind")
     listed = scored.join(F.broadcast(hot), ["word", "kind"], "left_semi").toArrow()  # HOT_TOKENS rows at most
     place: list[dict[bytes, int]] = [{} for _ in centres]
     for i, (word, kind) in enumerate(zip(listed["word"].to_pylist(), listed["kind"].to_pylist(), strict=True)):
