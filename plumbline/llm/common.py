@@ -64,6 +64,18 @@ def blocks(texts: Iterable[bytes], limit: int) -> Iterator[list[int]]:
         yield run
 
 
+def runs(sizes, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, past the last) of runs of about ``limit`` in sum (at least one item a run)."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > limit:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 
 

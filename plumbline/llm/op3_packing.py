@@ -22,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import blocks, load, struct, write_table
+from plumbline.llm.common import load, runs, struct, write_table
 from plumbline.llm.tokens import public, word_bpe
 
 CAPACITY = 2048
 END_ID = 0
 #: Rows that a rank bucket aims at, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -140,21 +141,22 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
+        end = np.array([end_id], "<u4")
         for part in parts:
-            keys = part.column(0).to_pylist()
-            bodies = [(b.as_py() or "").encode("utf-8", "replace") for b in part.column(1)]
-            rows = []
-            for run_ in blocks(bodies, BLOCK_BYTES):
-                for i, ids in zip(run_, bpe.encode([bodies[i] for i in run_]), strict=True):
-                    whole = np.append(ids.astype("<u4"), np.uint32(end_id)).astype("<u4")
-                    for k, a in enumerate(range(0, len(whole), capacity)):
-                        cut = whole[a : a + capacity]
-                        rows.append((keys[i], k, a, len(cut), zlib.crc32(cut.tobytes())))
-            if rows:
+            keys, column = part.column(0).to_pylist(), part.column(1)
+            for first, last in runs(pc.binary_length(column).to_numpy(zero_copy_only=False), BLOCK_BYTES):
+                ids, cuts = bpe.encode(column.slice(first, last - first))
+                wide, rows = ids.astype("<u4"), []
+                for key, a, b in zip(keys[first:last], cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    whole = np.concatenate([wide[a:b], end])
+                    for k, at in enumerate(range(0, len(whole), capacity)):
+                        cut = whole[at : at + capacity]
+                        rows.append((key, k, at, len(cut), zlib.crc32(cut.tobytes())))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    texts = F.coalesce(F.col(text), F.lit("")).alias("text")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), texts).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

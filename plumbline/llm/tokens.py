@@ -5,20 +5,24 @@ from __future__ import annotations
 import base64
 import functools
 import os
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps (some 200 bytes each), and the longest such word.
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
+CACHE_WORDS, CACHE_CHARS = 900_000, 48
 
-_TAIL = b".,!?;:)(\"$%&*#@|+-="  # ASCII marks that the word tokenizer splits off after a letter
+_TAIL = ".,!?;:)(\"$%&*#@|+-="  # ASCII marks that the word tokenizer splits off after a letter
 
 
 class WordBpe:
     """A word-level BPE (``tokenizers`` file) that splits at white space and lowers case: ids of whole texts.
 
-    Words repeat, so each is encoded once; marks after a word's last letter are encoded apart,
-    which is what the tokenizer's own pattern does.  The ids equal those of the plain call.
+    Words repeat, so a column is cut and numbered in Arrow and each distinct word is encoded
+    once; marks after a word's last letter are encoded apart, which is what the tokenizer's own
+    pattern does.  The ids equal those of the plain call.
     """
 
     def __init__(self, path: str):
@@ -27,40 +31,53 @@ class WordBpe:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def _plain(self, words: list[bytes]) -> list[bytes]:
-        found = self.inner.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, np.uint16).tobytes() for e in found]
+    def _plain(self, words: list[str]) -> list[bytes]:
+        found = self.inner.encode_batch_fast(words, add_special_tokens=False)
+        return [array("H", e.ids).tobytes() for e in found]
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each UTF-8 text, as unsigned 16-bit numbers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {b"": b""}
-        known = self.known
-        split = [t.lower().split() for t in texts]  # bytes: ASCII letters and ASCII white space alone
-        fresh = set().union(*split).difference(known)
-        parts, wanted = {}, set()
-        for w in fresh:
+    def _resolve(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't known; short ones are kept."""
+        known, parts, wanted = self.known, {}, set()
+        for w in words:
             core = w.rstrip(_TAIL)
-            if core != w and core and core.decode()[-1].isalpha():
+            if core != w and core and core[-1].isalpha():
                 parts[w] = core, w[len(core) :]
                 wanted.update(parts[w])
             else:
                 wanted.add(w)
         wanted = [w for w in wanted if w not in known]
-        once = dict(zip(wanted, self._plain(wanted), strict=True))
-        own = {w: once[w] for w in wanted if len(w) > CACHE_BYTES}
-        known.update((w, ids) for w, ids in once.items() if w not in own)
+        found = dict(zip(wanted, self._plain(wanted), strict=True))
         for w, (core, tail) in parts.items():
-            ids = (own.get(core) or known.get(core, b"")) + (own.get(tail) or known.get(tail, b""))
-            if len(w) > CACHE_BYTES:
-                own[w] = ids
-            else:
-                known[w] = ids
-        if own:
-            return [np.frombuffer(b"".join([own[w] if w in own else known[w] for w in words]), np.uint16) for words in split]
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint16) for words in split]
+            found[w] = (found.get(core) or known[core]) + (found.get(tail) or known[tail])
+        known.update(found)
+        for w in [w for w in found if len(w) > CACHE_CHARS]:
+            del known[w]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column without nulls, one after the other, and where each text begins and ends."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # ASCII letters and ASCII white space alone
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        values = list(map(self.known.get, words))
+        fresh = [k for k, v in enumerate(values) if v is None]
+        if fresh:
+            found = self._resolve([words[k] for k in fresh])
+            for k in fresh:
+                values[k] = found[words[k]]
+        pool = np.frombuffer(b"".join(values), np.uint16)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        begin = np.cumsum(size) - size
+        at = np.asarray(coded.indices)
+        many = size[at]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = pool[np.repeat(begin[at] - ends[:-1], many) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))]).astype(np.int64)
+        return ids, ends[cuts]
 
 
 class ByteBpe:
