@@ -148,3 +148,39 @@ def test_charts(spark):
     assert chart["data"]["datasets"][0]["backgroundColor"] == ["#dea584", "#3776ab"]
     assert reports.colors(["a", "b"], "monochrome") == ["#333333", "#7f7f7f"]
     assert len(set(reports.colors(list("abcdefghijkl"), "pastel"))) == 10
+
+
+def run_cli(spark, capsys, *argv):
+    from plumbline import cli
+
+    assert cli.main(list(argv), spark) == 0
+    return capsys.readouterr().out
+
+
+def test_command_line(spark, project, capsys, tmp_path):
+    root = str(project)
+    assert run_cli(spark, capsys, root, "-q") == "7 files, 18 lines\n"
+    assert run_cli(spark, capsys, root, "--preset", "compact").startswith("7 files | 18 lines | ")
+    assert run_cli(spark, capsys, root, "-e", "py", "-q") == "3 files, 7 lines\n"
+    assert run_cli(spark, capsys, root, "--min-lines", "6", "-q") == "2 files, 14 lines\n"
+    assert run_cli(spark, capsys, root, "--min-complexity", "1", "-q") == "1 files, 8 lines\n"
+    assert run_cli(spark, capsys, root, "--ignore", "app,src", "-q") == "4 files, 4 lines\n"
+    assert "app/main.py\n" in run_cli(spark, capsys, root, "-l")
+    assert run_cli(spark, capsys, root, "-o", "markdown").splitlines()[2].startswith("| go |")
+    assert run_cli(spark, capsys, root, "-o", "table", "--top", "1").count("\n") == 2
+    text = run_cli(spark, capsys, root, "-f", "--explain", "--show-functions", "--show-time", "--show-size", "--show-ratios", "--show-complexity")
+    assert "src/main.rs:3 main" in text and "Skipped as unknown: 2" in text and "Rust" in text
+    run_cli(spark, capsys, root, "-o", "json", "--output-file", str(tmp_path / "out.json"))
+    assert (tmp_path / "out.json").read_text().startswith("{")
+    from plumbline import cli
+
+    assert cli.main([str(tmp_path / "nowhere")], spark) == 2
+
+
+def test_generated_corpus(spark):
+    from plumbline.sources import corpus
+
+    files = corpus.generate(spark, 200)
+    wrong = views.stats_of(files).join(files.select("path", "expected_total", "expected_code"), "path").where("total_lines <> expected_total OR code_lines <> expected_code")
+    assert wrong.count() == 0
+    assert files.select(F.bit_xor(F.xxhash64("path", "content"))).first() == corpus.generate(spark, 200).repartition(7).select(F.bit_xor(F.xxhash64("path", "content"))).first()
