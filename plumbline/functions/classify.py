@@ -45,27 +45,24 @@ def shebang_of(data: bytes) -> str | None:
 
 
 class _Scanner:
-    """Patterns of one syntax. ``event`` finds the next line that opens a block or starts as a comment."""
+    """Patterns of one syntax.
+
+    ``opens`` finds the next block opener; between two of them no line depends on another, so
+    ``marked`` and ``documented`` just count the lines that start as (documentation) comments.
+    """
 
     def __init__(self, syntax: Syntax):
-        self.syntax = syntax
         self.docs = [d.encode() for d in syntax.doc]
-        self.vague = bool(set(syntax.doc) & set(syntax.line))
         self.closers = {s.encode(): e.encode() for s, e in syntax.blocks}
-        anywhere = [s for s, e in syntax.blocks if s != e]
-        at_start = [s for s, e in syntax.blocks if s == e]
         union = lambda xs: "|".join(map(re.escape, xs)).encode()
-        # One token, its place told by the group: a block opener at the line's start or anywhere, or a line marker at its start.
-        head = [(b"block", union([s for s, _ in syntax.blocks])), (b"line", union(syntax.line))]
-        head = b"|".join(b"(?P<%s>%s)" % (n, p) for n, p in head if p)
-        tokens = []
-        if head:
-            tokens.append(rb"^[ \t\x0c\r]*(?:" + head + b")")
-        if anywhere:
-            tokens.append(b"(?P<inner>" + union(anywhere) + b")")
-        self.event = re.compile(b"|".join(tokens), re.M) if tokens else None
-        self.inner = re.compile(union(anywhere)) if anywhere else None
-        self.at_start = [s.encode() for s in at_start]
+        blank, marks = rb"[ \t\x0c\r]*", b"(?:" + union(syntax.line) + b")"
+        anywhere, at_start = [s for s, e in syntax.blocks if s != e], [s for s, e in syntax.blocks if s == e]
+        tokens = [union(anywhere)] * bool(anywhere) + [b"^" + blank + b"(?:" + union(at_start) + b")"] * bool(at_start)
+        self.opens = re.compile(b"|".join(tokens), re.M) if tokens else None
+        self.marked = re.compile(b"^" + blank + marks, re.M) if syntax.line else None
+        vague = set(syntax.doc) & set(syntax.line)  # then an indented comment is no documentation
+        told = b"^" + (b"" if vague else blank) + b"(?=" + marks + b")(?:" + union(syntax.doc) + b")"
+        self.documented = re.compile(told, re.M) if syntax.line and syntax.doc else None
 
     def opener(self, line: bytes) -> tuple[int, bytes] | None:
         """Earliest block opener of a trimmed line; of two at one place the one declared first."""
@@ -78,33 +75,31 @@ class _Scanner:
 
     def comments(self, data: bytes) -> tuple[int, int]:
         """(comment, documentation) lines of a text without its BOM and ``#!`` line."""
-        if self.event is None:
-            return 0, 0
         comment = doc = at = 0
-        search, size = self.event.search, len(data)
-        while at < size and (hit := search(data, at)):
-            begin = data.rfind(b"\n", 0, hit.end()) + 1
+        size = len(data)
+        opens = self.opens if any(s in data for s in self.closers) else None
+        while at < size:
+            hit = opens.search(data, at) if opens else None
+            begin = max(at, data.rfind(b"\n", at, hit.end()) + 1) if hit else size
+            if self.marked and begin > at:
+                told = len(self.documented.findall(data, at, begin)) if self.documented else 0
+                doc += told
+                comment += len(self.marked.findall(data, at, begin)) - told
+            if hit is None:
+                break
             end = data.find(b"\n", hit.end())
             end = size if end < 0 else end
-            raw = data[begin:end]
-            line = raw.strip(b" \t\n\x0c\r")
+            line = data[begin:end].strip(b" \t\n\x0c\r")
             at = end + 1
-            opened = self.opener(line)
-            if opened is None:  # a line marker at the start
-                is_doc = line.startswith(tuple(self.docs)) and not (self.vague and raw[:1] in (b" ", b"\t", b"\x0c", b"\r"))
-                lines = 1
-            else:
-                place, start = opened
-                is_doc = any(d in line for d in self.docs)
-                lines = 1
-                closer = self.closers[start]
-                if line.find(closer, place + len(start)) < 0:
-                    shut = data.find(closer, at)
-                    stop = size if shut < 0 else data.find(b"\n", shut)
-                    stop = size if stop < 0 else stop
-                    lines += _filled(data, at, stop)
-                    at = stop + 1
-            if is_doc:
+            place, start = self.opener(line)
+            closer, lines = self.closers[start], 1
+            if line.find(closer, place + len(start)) < 0:
+                shut = data.find(closer, at)
+                stop = size if shut < 0 else data.find(b"\n", shut)
+                stop = size if stop < 0 else stop
+                lines += _filled(data, at, stop)
+                at = stop + 1
+            if any(d in line for d in self.docs):
                 doc += lines
             else:
                 comment += lines
