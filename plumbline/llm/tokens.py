@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 from array import array
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 #: Words whose ids a worker keeps (some 200 bytes each), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 900_000, 48
 
+LONGEST_BLANK = 10_000
+_BLANKS = re.compile(r"\s{%d,}" % LONGEST_BLANK)
 _TAIL = ".,!?;:)(\"$%&*#@|+-="  # ASCII marks that the word tokenizer splits off after a letter
 
 
@@ -92,7 +95,10 @@ class ByteBpe:
         self.end = len(ranks)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.inner.encode_ordinary(text), np.uint16)
+        """Ids of a text. White space beyond LONGEST_BLANK in a row is encoded in parts, which the library can't take whole."""
+        cuts = [k for m in _BLANKS.finditer(text) for k in range(m.start() + LONGEST_BLANK, m.end(), LONGEST_BLANK)]
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if cuts else [text]
+        return np.array([i for part in parts for i in self.inner.encode_ordinary(part)], np.uint16)
 
 
 @functools.cache

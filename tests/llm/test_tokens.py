@@ -127,3 +127,9 @@ def test_id_matrices_round_trip(docs):
         flat = [i for x in own for i in x]
         assert flat[-1] == bpe.end and bpe.inner.decode(flat[:-1]) == (text or "")
     assert len({r["sequence_id"] for r in rows}) == len(rows) <= -(-filled // size) + 4
+
+
+def test_long_white_space_is_lossless():
+    bpe = byte_bpe(public(BYTE), public_pattern())
+    for text in ("a" + "\n" * 1_000_000 + "b", " " * 25_000, "x" * 300_000, "!?" * 200_000):
+        assert bpe.inner.decode(bpe.encode(text).tolist()) == text
