@@ -143,15 +143,25 @@ class Tokens:
     kind: np.ndarray
     counts: np.ndarray
 
-    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-        """Runs of about CHUNK_BYTES: (bytes with closes, token number of each byte, class and count of each token, first token)."""
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+        """Runs of about CHUNK_BYTES: (bytes with closes, token number of each byte, class and count of each token, first token, lead).
+
+        A longer token comes in parts; each further part begins with a lead of bytes that were
+        in the part before and only serve as context.
+        """
         ends = np.cumsum([len(w) + 1 for w in self.words])
         a = done = 0
         while a < len(self.words):
             b = max(a + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, "right")))
             sizes = np.diff(ends[a:b], prepend=done)
             data = np.frombuffer(b" ".join([*self.words[a:b], b""]), np.uint8)
-            yield data, np.repeat(np.arange(b - a), sizes), self.kind[a:b], self.counts[a:b], a
+            if len(data) <= 2 * CHUNK_BYTES:
+                yield data, np.repeat(np.arange(b - a), sizes), self.kind[a:b], self.counts[a:b], a, 0
+            else:  # one long token
+                for at in range(0, len(data), CHUNK_BYTES):
+                    lead = min(at, max(ORDERS))
+                    part = data[at - lead : at + CHUNK_BYTES]
+                    yield part, np.zeros(len(part), np.int64), self.kind[a:b], self.counts[a:b], a, lead
             a, done = b, int(ends[b - 1])
 
 
@@ -173,9 +183,10 @@ def context_keys(data: np.ndarray, owner: np.ndarray, kind: np.ndarray) -> np.nd
     return keys
 
 
-def decisions(tree: Tree, data: np.ndarray, owner: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """By depth: (bytes that have a decision there, branch taken, slot of each context, depth)."""
+def decisions(tree: Tree, data: np.ndarray, owner: np.ndarray, kind: np.ndarray, lead: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """By depth: (bytes after the lead that have a decision there, branch taken, slot of each context, depth)."""
     keys, depth = context_keys(data, owner, kind), tree.depth[data]
+    depth[:lead] = 0
     offsets = (np.arange(CONTEXTS, dtype=np.int64) << SLOT_BITS)[:, None]
     for d in range(int(depth.max(initial=0))):
         at = np.flatnonzero(depth > d)
@@ -189,8 +200,8 @@ def decisions(tree: Tree, data: np.ndarray, owner: np.ndarray, kind: np.ndarray)
 def count_slots(tree: Tree, held: Tokens, table: np.ndarray) -> None:
     """Add the tokens' decisions, weighted by their counts, to ``table`` (2 x slots)."""
     flat = table.reshape(-1)
-    for data, owner, kind, own, _ in held.chunks():
-        for at, branch, slot, _ in decisions(tree, data, owner, kind):
+    for data, owner, kind, own, _, lead in held.chunks():
+        for at, branch, slot, _ in decisions(tree, data, owner, kind, lead):
             weight = own[owner[at]].astype(np.float64)
             cell = slot + branch.astype(np.int64) * table.shape[1]
             for row in cell:
@@ -240,8 +251,8 @@ class Mixer:
 
     def learn(self, tree: Tree, held: Tokens) -> None:
         """Predict, then learn, one batch of decisions after the other."""
-        for data, owner, kind, own, _ in held.chunks():
-            for at, branch, slot, d in decisions(tree, data, owner, kind):
+        for data, owner, kind, own, _, lead in held.chunks():
+            for at, branch, slot, d in decisions(tree, data, owner, kind, lead):
                 weight = own[owner[at]].astype(np.float64)
                 odds, gate = self.inputs(slot, d, branch)
                 mixed = self.mix(odds, gate)
@@ -256,8 +267,8 @@ class Mixer:
     def score(self, tree: Tree, held: Tokens) -> np.ndarray:
         """log10 probability of each token, spelled with its close."""
         out = np.zeros(len(held.words))
-        for data, owner, kind, own, first in held.chunks():
-            for at, branch, slot, d in decisions(tree, data, owner, kind):
+        for data, owner, kind, own, first, lead in held.chunks():
+            for at, branch, slot, d in decisions(tree, data, owner, kind, lead):
                 odds, gate = self.inputs(slot, d, None)
                 p = self.refined(self.mix(odds, gate).astype(np.float64), gate)
                 out[first : first + len(own)] += np.bincount(owner[at], weights=np.log10(np.where(branch == 1, p, 1 - p)), minlength=len(own))
@@ -344,8 +355,8 @@ def fit(pairs: DataFrame) -> tuple[Tree, Mixer]:
     def bytes_of(batches: Iterator[Tokens]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
         for held in batches:
-            for data, owner, _, own, _ in held.chunks():
-                total += np.bincount(data, weights=own[owner], minlength=256)
+            for data, owner, _, own, _, lead in held.chunks():
+                total += np.bincount(data[lead:], weights=own[owner[lead:]], minlength=256)
         yield _sums(np.arange(256), total, total)
 
     total = np.zeros(256)

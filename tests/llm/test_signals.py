@@ -90,7 +90,7 @@ def test_spelling_is_a_distribution():
     words = [b"abc", b"abd", b"b", b""]
     held = op2_mixing.Tokens(words, np.zeros(4, np.int64), np.array([5, 3, 2, 4]))
     counts = np.zeros(256)
-    for data, owner, _, own, _ in held.chunks():
+    for data, owner, _, own, _, _ in held.chunks():
         counts += np.bincount(data, weights=own[owner], minlength=256)
     tree = op2_mixing.Tree.over(counts)
     table = np.zeros((2, op2_mixing.CONTEXTS << op2_mixing.SLOT_BITS))
@@ -127,3 +127,19 @@ def _byte_probability(mixer, tree, word):
 
 def test_scores_of_nothing(none):
     assert op2_mixing.score(none).count() == 0
+
+
+def test_long_tokens_come_in_parts(monkeypatch):
+    """Cutting a token changes neither counts nor its score."""
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 103, n).astype(np.uint8)) for n in (3, 700, 40, 1500)]
+    held = op2_mixing.Tokens(words, np.zeros(4, np.int64), np.array([1, 2, 3, 1]))
+    tree = op2_mixing.Tree.over(np.ones(256))
+    seen = []
+    for size in (1 << 16, 100):
+        monkeypatch.setattr(op2_mixing, "CHUNK_BYTES", size)
+        table = np.zeros((2, op2_mixing.CONTEXTS << op2_mixing.SLOT_BITS))
+        op2_mixing.count_slots(tree, held, table)
+        seen.append((table, op2_mixing.Mixer.fresh(table.astype(np.float32)).score(tree, held)))
+    assert (seen[0][0] == seen[1][0]).all()
+    assert np.allclose(seen[0][1], seen[1][1], rtol=1e-9)
