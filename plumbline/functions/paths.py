@@ -158,6 +158,12 @@ def disposition(path: Column, content: Column | None = None, build_output: Colum
     )
 
 
+def should_include(path: Column, build_output: Column | None = None) -> Column:
+    """The older test of a path alone: no noise, no build place, not binary, not generated; boilerplate passes."""
+    out = is_noise(path) | in_build_place(path) | is_binary(path) | is_generated(path)
+    return ~(out if build_output is None else out | build_output)
+
+
 def shorten(path: Column, most: int = 50) -> Column:
     """Longer paths keep their first and last name, or only the last where that is still too long; of one or two names the end is kept."""
     names = F.split(path, "/")

@@ -67,6 +67,20 @@ def project_findings(totals: DataFrame) -> DataFrame:
     return _rows(totals, F.lit(PROJECT_URI), rules)
 
 
+def assessment_findings(project: DataFrame) -> DataFrame:
+    """Findings of whole-project assessments (files, functions, cyclomatic, health, maintainability, overall)."""
+    c = F.col
+    summary = _told("Project: %d files, %d functions, %.1f avg complexity, %.1f/100 quality score", c("files"), c("functions"), c("cyclomatic"), c("health"))
+    debt = _told("Overall code health is %.1f/100. Consider prioritizing refactoring efforts", c("health"))
+    insight = _told("Overall code quality: %.1f/100 (Maintainability: %.1f/100, Code Health: %.1f/100)", c("overall"), c("maintainability"), c("health"))
+    found = [
+        _rows(project, F.lit(PROJECT_URI), [_rule(F.lit(True), "HM000", "Comprehensive Project Summary", "note", summary)]),
+        _rows(project, F.lit("project://technical-debt"), [_rule(c("health") < 70, "HM401", "Technical Debt Alert", "warning", debt)]),
+        _rows(project, F.lit("project://quality-insights"), [_rule(F.lit(True), "HM402", "Quality Assessment Insights", "note", insight)]),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def diagnostics(stats: DataFrame, max_lines: int = 800, min_doc_ratio: float = 0.05, documented_from: int = 200) -> DataFrame:
     """Editor diagnostics: ``path, code, message``; a limit of 0 turns its rule off."""
     told = F.col("doc_lines") + F.col("comment_lines")

@@ -94,3 +94,16 @@ def search_content(stats: DataFrame, query: str) -> DataFrame:
     if general:
         told = told.when(F.lower("path").rlike("|".join(general)), 0.6)
     return stats.select("path", "total_lines", told.otherwise(0.0).alias("relevance")).where("relevance > 0")
+
+
+def found_files(stats: DataFrame, results: DataFrame) -> DataFrame:
+    """Statistics of the files a search found."""
+    return stats.join(results.select("path").distinct(), "path", "left_semi")
+
+
+def found_extensions(keyed: DataFrame, results: DataFrame) -> DataFrame:
+    """Extensions that occur among the found files."""
+    from plumbline.functions.paths import extension
+
+    present = results.select(extension(F.col("path")).alias("found_ext")).distinct()
+    return keyed.select("key").join(present, F.col("key") == F.col("found_ext"), "left_semi")

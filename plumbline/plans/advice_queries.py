@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import advice, complexity, rollups, selection
+from plumbline.operators import advice, complexity, findings, rollups, selection
 from plumbline.plans import views
 from plumbline.plans.complexity_queries import ROWS, _rows
 from plumbline.plans.file_queries import _ratio, WITH, listing, LISTING, query
@@ -135,3 +135,17 @@ def undocumented_files(spark, sf_dir):
     """The shortcut for files with little documentation."""
     bounds = selection.Bounds(**selection.SHORTCUTS["undocumented"])
     return selection.files_within(views.file_stats(spark, sf_dir), bounds).select("path", "total_lines")
+
+
+_HEALTH = "WITH p AS (SELECT o_orderkey % 2000 AS files, o_custkey % 900 AS functions, CAST(o_orderkey % 37 AS DOUBLE) / 4 AS cyclomatic, CAST(o_custkey % 401 AS DOUBLE) / 4 AS health, CAST(o_orderkey % 397 AS DOUBLE) / 4 AS maintainability, CAST(o_custkey % 399 AS DOUBLE) / 4 AS overall FROM orders)"
+
+
+@query(
+    f"""{_HEALTH}, f AS (SELECT 'HM000' AS rule, 'note' AS level, 'project://summary' AS uri FROM p UNION ALL SELECT 'HM401', 'warning', 'project://technical-debt' FROM p WHERE health < 70
+UNION ALL SELECT 'HM402', 'note', 'project://quality-insights' FROM p) SELECT rule, level, uri, count(*) AS times FROM f GROUP BY ALL"""
+)
+def assessment_findings(spark, sf_dir):
+    """Findings of many project assessments, counted."""
+    parts = ["o_orderkey % 2000 AS files", "o_custkey % 900 AS functions", "cast(o_orderkey % 37 AS DOUBLE) / 4 AS cyclomatic", "cast(o_custkey % 401 AS DOUBLE) / 4 AS health", "cast(o_orderkey % 397 AS DOUBLE) / 4 AS maintainability", "cast(o_custkey % 399 AS DOUBLE) / 4 AS overall"]
+    rows = findings.assessment_findings(load(spark, sf_dir, "orders").selectExpr(*parts))
+    return rows.groupBy("rule", "level", "uri").agg(F.count(F.lit(1)).alias("times"))

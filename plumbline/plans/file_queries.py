@@ -360,6 +360,16 @@ def search_content(spark, sf_dir):
     return ranking.search_content(views.file_stats(spark, sf_dir), "let")
 
 
+@query(f"WITH {STATS_SQL}, f AS (SELECT * FROM file_stats WHERE contains(lower(path), 'f1')) SELECT key, count(*) AS files, CAST(sum(total_lines) AS BIGINT) AS total_lines FROM f GROUP BY key")
+def search_facets(spark, sf_dir):
+    """Statistics and extensions of what a search found."""
+    stats = views.file_stats(spark, sf_dir)
+    results = ranking.search_paths(stats, "f1")
+    found = ranking.found_files(stats, results)
+    keyed = found.groupBy("key").agg(F.count(F.lit(1)).alias("files"), F.sum("total_lines").alias("total_lines"))
+    return keyed.join(ranking.found_extensions(keyed, results), "key", "left_semi")
+
+
 # ---- selection --------------------------------------------------------------------------
 
 FOLDERS = ["src/app", "node_modules/dep", "build", "a/target/x", ".git", "web/dist", "lib.min", "docs", "pkg/__pycache__", "a/b/c/d", ".vscode", "My.xcodeproj", "vendor/bundle/g", "packages/core"]
@@ -411,6 +421,12 @@ def file_disposition(spark, sf_dir):
     return selection.dispositions(listing(spark, sf_dir))
 
 
+@query(f"WITH {DISPOSED} SELECT page_id, disposition NOT IN ('not_authored', 'binary', 'generated') AS included FROM disposed")
+def included_paths(spark, sf_dir):
+    """The older inclusion test."""
+    return listing(spark, sf_dir).select("page_id", paths.should_include(F.col("path")).alias("included"))
+
+
 @query(f"WITH {DISPOSED} SELECT disposition, count(*) AS files FROM disposed GROUP BY disposition")
 def skip_counts(spark, sf_dir):
     """Files by what became of them."""
