@@ -184,3 +184,19 @@ def test_generated_corpus(spark):
     wrong = views.stats_of(files).join(files.select("path", "expected_total", "expected_code"), "path").where("total_lines <> expected_total OR code_lines <> expected_code")
     assert wrong.count() == 0
     assert files.select(F.bit_xor(F.xxhash64("path", "content"))).first() == corpus.generate(spark, 200).repartition(7).select(F.bit_xor(F.xxhash64("path", "content"))).first()
+
+
+def test_detector_results(spark, tmp_path):
+    import json
+
+    from plumbline.operators import advice
+    from plumbline.sources import detector
+
+    told = {"languages": [{"name": "Zork", "files": ["p/a.zzz", "p/b.rs"]}, {"name": "Rust", "files": ["p/c.rs"]}], "unknown_files": ["x"], "more": 1}
+    (tmp_path / "out.json").write_text(json.dumps(told, indent=1))
+    found = detector.read(spark, str(tmp_path / "out.json"))
+    assert [tuple(r)[:2] for r in found.orderBy("position").collect()] == [("Zork", "p/a.zzz"), ("Zork", "p/b.rs"), ("Rust", "p/c.rs")]
+    files = spark.createDataFrame([("p/a.zzz",), ("p/d.rs",), ("p/e.py",), ("p/f.unheard",)], "path string")
+    names = {r["path"]: r["language"] for r in advice.detected_language(files, found, views.languages(spark)).collect()}
+    assert names == {"p/a.zzz": "Zork", "p/d.rs": "Zork", "p/e.py": "Python", "p/f.unheard": None}
+    assert sorted(r["path"] for r in selection.admitted(files, found, "p2").collect()) == ["p/a.zzz", "p/d.rs", "p/e.py"]
