@@ -19,7 +19,7 @@ none (null) and links nothing.  Rows that share an id but not a text may count a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,7 +67,12 @@ def spanning(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE) -> l
     near = np.empty((len(left), len(right)), bool)
     for a in range(0, len(left), 256):
         near[a : a + 256] = np.bitwise_count(left[a : a + 256, None] ^ right) <= distance
-    fresh_left, fresh_right, edges = near.any(1), np.ones(len(right), bool), []
+    return span(near)
+
+
+def span(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) that connect what the set cells of ``near`` connect."""
+    fresh_left, fresh_right, edges = near.any(1), np.ones(near.shape[1], bool), []
     while fresh_left.any():
         first = int(fresh_left.argmax())
         wave = np.array([first])
@@ -183,12 +188,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return fps.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each component the row of its smallest id.
 
-    Of rows that share the kept id one stays; rows with a null id stay.
+    ``groups`` gives each row's component (``doc_id, component_id``). Of rows that share the kept id one stays; rows with a null id stay.
     """
-    found = write_table(near_duplicates(docs, doc_id, text), "components")
+    found = write_table(groups(docs, doc_id, text), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     key = free_name(docs, "gone_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from texts import sentences
 
 import corpus_pipeline
-from plumbline.llm import op4_decontamination, op10_simhash
+from plumbline.llm import near_copies, op4_decontamination, op10_simhash
 from plumbline.llm.tokens import public
 
 ITEMS = [(k, sentences(lang, n, 50 + k)) for k, (lang, n) in enumerate([("en", 40), ("de", 25), ("fr", 15), ("es", 6), ("en", 3), ("en", 30)])]
@@ -167,6 +167,72 @@ def test_keep_one(spark, docs, none):
     assert op10_simhash.near_duplicates(none).count() == 0 and op10_simhash.keep_one(none).count() == 0
 
 
+def slow_groups(rows):
+    """group of each id: all pairs at an exact similarity of 0.8 of five-word shingles."""
+    sets, parent = {}, {k: k for k, _ in rows}
+    for k, text in rows:
+        words = text.lower().split()
+        sets[k] = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {k: root(k) for k in sets}
+
+
+def copies(rng):
+    """Near copies at many similarities, a chain, a crowd of copies of one text, and texts apart."""
+    word, rows = lambda: f"w{rng.randint(0, 10**6)}", []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        for n in (0, 0, 1, 1, 2, 3, 4, 6, 9):
+            other = list(base)
+            for j in rng.sample(range(len(base)), n):
+                other[j] = word()
+            rows.append(" ".join(other))
+    chain = [word() for _ in range(400)]
+    rows += [" ".join(chain[k * 30 : k * 30 + 260]) for k in range(5)]
+    crowd = [word() for _ in range(100)]
+    for _ in range(90):
+        other = list(crowd)
+        for j in rng.sample(range(100), rng.choice((1, 2, 3))):
+            other[j] = word()
+        rows.append(" ".join(other))
+    return list(enumerate([*rows, *(word() for _ in range(20)), "", "two words", "two words"]))
+
+
+def test_near_copies_by_brute_force(spark, monkeypatch):
+    for hot, block in ((32, 512), (3, 20)):
+        monkeypatch.setattr(near_copies, "HOT_MEMBERS", hot)
+        monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", block)
+        rows = copies(random.Random(hot))
+        docs = spark.createDataFrame([*rows, (None, rows[0][1]), rows[3]], "doc_id long, text string")
+        found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+        expected = slow_groups(rows)
+        assert found.pop(None) == expected[0] and found == expected
+
+
+def test_near_duplicate_stage(spark):
+    """A copy with one word in 60 replaced goes though its fingerprint is far away."""
+    rng = random.Random(2)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = [(k, " ".join("other" if j % 60 == 30 + k and k else w for j, w in enumerate(base))) for k in range(6)]
+    assert all((op10_simhash.fingerprint(rows[0][1].encode()) ^ op10_simhash.fingerprint(t.encode())).bit_count() > 3 for _, t in rows[1:])
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
+def test_near_copies_of_nothing(none):
+    assert near_copies.near_copies(none).count() == 0
+
+
 # ---- the pipeline -----------------------------------------------------------------------
 
 
