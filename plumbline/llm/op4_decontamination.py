@@ -3,9 +3,11 @@
 Texts become words (white-space tokens, lower case, outer punctuation off).  Fixed masks pick
 some of the positions of a run of words and hash those alone, so a seed still hits where the
 other words were replaced.  Seeds of documents are looked up among the seeds of the benchmark;
-around each hit the two texts are laid over each other and the best stretch, with at most one
-replaced word to four equal ones, is measured.  A document overlaps an item if the stretch
-has at least half of the item's words equal, and ten of them (or four fifths of a short item).
+around each hit the two texts are laid over each other and the stretches with at most one
+replaced word to four equal ones are measured.  A document overlaps an item if one stretch has
+at least half of the item's words equal or thirteen of them, and ten (or four fifths of a short
+item); or if all stretches of six equal words and more, wherever they lie, have half of the item's
+words (and ten) together; their equal words and lengths are added up, the first one gives the places.
 
 The benchmark is taken in blocks of a bounded size, each sent to all tasks, so any number of
 items works: further blocks are further passes over the documents.
@@ -29,10 +31,12 @@ from pyspark.sql.types import LongType
 
 from plumbline.llm.common import blocks, load, struct
 
-#: 1: the position counts, 0: it is ignored. Six of nine to thirteen words.
-MASKS = ("111000111", "1101001011", "10110010101001", "1100101000110")
+#: 1: the position counts, 0: it is ignored. Six of six to fourteen words.
+MASKS = ("111000111", "1101001011", "10110010101001", "1100101000110", "111111")
 LEAST_WORDS = 5
 SHARE, ENOUGH, SHORT_SHARE, PENALTY = 0.5, 10, 0.8, 4
+#: Equal words of one stretch that suffice in any item, and of a stretch that is added to others.
+LONG_STRETCH, LEAST_STRETCH = 13, 6
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 8 << 20
 CACHE_WORDS, TEXT_BYTES = 400_000, 2 << 20
@@ -96,9 +100,14 @@ class Benchmark:
         held = [(k, w) for (k, _), w in zip(items, words.of([t for _, t in items]), strict=True) if len(w) >= LEAST_WORDS]
         self.ids = [k for k, _ in held]
         self.words = [w for _, w in held]
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        half = np.ceil(sizes * SHARE)
+        least = np.minimum(np.ceil(sizes * SHORT_SHARE - 1e-9), ENOUGH)
+        self.need = np.maximum(half, least).astype(np.int64)  # of all stretches together
+        self.need_one = np.maximum(np.minimum(half, LONG_STRETCH), least).astype(np.int64)
+        self.tables = []
         longest = max(map(len, masks))
         short = {"1" * len(w) for w in self.words if len(w) < longest}
-        self.tables = []
         for mask in (*masks, *sorted(short - set(masks))):
             own = [i for i, w in enumerate(self.words) if mask in masks or len(w) == len(mask)]
             found = [seeds(self.words[i], mask) for i in own]
@@ -113,7 +122,7 @@ class Benchmark:
             self.tables.append((mask, hashes[order], item[order], at[order], likely))
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item, equal words, length, place here, place in the item) of the best stretch with each overlapping item."""
+        """(item, equal words, length, place here, place in the item) of the best stretch with each overlapping item, or of all together."""
         pairs = []
         for mask, hashes, item, at, likely in self.tables:
             own = seeds(words, mask)
@@ -125,27 +134,54 @@ class Benchmark:
             if not many.sum():
                 continue
             hit = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            pairs.append(np.stack([item[hit], np.repeat(place, many) - at[hit]], 1))
+            pairs.append(item[hit].astype(np.int64) << 32 | (np.repeat(place, many) - at[hit] + (1 << 31)))
         if not pairs:
             return []
-        best: dict[int, tuple[int, int, int, int, int]] = {}
-        for i, shift in np.unique(np.concatenate(pairs), axis=0).tolist():
-            found = self._stretch(i, words, shift)
-            if found and found > best.get(i, (i, 0)):
-                best[i] = found
-        return list(best.values())
-
-    def _stretch(self, i: int, words: np.ndarray, shift: int) -> tuple[int, int, int, int, int] | None:
-        item = self.words[i]
-        a, b = max(0, -shift), min(len(item), len(words) - shift)
-        equal = item[a:b] == words[a + shift : b + shift]
-        sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
-        least = np.minimum.accumulate(sums)
-        end = int((sums - least).argmax())
+        pair = np.unique(np.concatenate(pairs))
+        item, shift = pair >> 32, (pair & 0xFFFFFFFF) - (1 << 31)
+        item, shift, found = item.tolist(), shift.tolist(), []
+        a = 0
+        while a < len(item):
+            b = a
+            while b < len(item) and item[b] == item[a]:
+                b += 1
+            found += self._long(item[a], words, shift[a:b])
+            a = b
+        return found
+
+    def _long(self, i: int, words: np.ndarray, shifts: list[int]) -> list[tuple[int, int, int, int, int]]:
+        """The overlap with an item, if there is one: its best stretch, or all its stretches."""
+        item, best, parts = self.words[i], (i, 0), []
+        covered = np.zeros(len(item), bool)
+        for shift in shifts:
+            a, b = max(0, -shift), min(len(item), len(words) - shift)
+            equal = item[a:b] == words[a + shift : b + shift]
+            for matched, start, end in _stretches(equal, min(LEAST_STRETCH, self.need_one[i])):
+                best = max(best, (i, matched, end - start, a + shift + start, a + start))
+                if not covered[a + start : a + end].all():
+                    parts.append((a + shift + start, a + start, end - start))
+                    covered[a + start : a + end] |= equal[start:end]
+        if best[1] >= self.need_one[i]:
+            return [best]
+        matched = int(covered.sum())
+        return [(i, matched, sum(n for *_, n in parts), *min(parts)[:2])] if matched >= self.need[i] else []
+
+
+def _stretches(equal: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(equal words, start, end) of the best stretch, if it has enough words, and of the best ones beside it."""
+    todo = [(0, len(equal))]
+    while todo:
+        a, b = todo.pop()
+        part = equal[a:b]
+        if int(part.sum()) < least:
+            continue
+        sums = np.concatenate([[0], np.cumsum(np.where(part, 1, -PENALTY))])
+        end = int((sums - np.minimum.accumulate(sums)).argmax())
         start = int(sums[: end + 1].argmin())
-        matched = int(equal[start:end].sum())
-        need = max(-(-len(item) * SHARE // 1), min(-(-len(item) * SHORT_SHARE // 1), ENOUGH))
-        return (i, matched, end - start, a + shift + start, a + start) if matched >= need else None
+        matched = int(part[start:end].sum())
+        if matched >= least:
+            yield matched, a + start, a + end
+            todo += [(a, a + start), (a + end, b)]
 
 
 def read_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:

@@ -58,6 +58,35 @@ def test_overlaps(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((k, t or "") for k, t in clean)
 
 
+def overlapping(item, text):
+    index = op4_decontamination.Benchmark([(1, " ".join(item))])
+    (own,) = op4_decontamination.Words().of([" ".join(text)])
+    return index.overlaps(own)
+
+
+def numbered(name, n):
+    return [f"{name}{k}" for k in range(n)]
+
+
+def test_long_items_leak_in_parts():
+    """op4: a run of 13 words suffices in an item of any length; stretches between inserted words add up."""
+    around = numbered("around", 40)
+    for n, run in ((100, 49), (300, 140), (300, 13), (60, 13)):
+        item = numbered("w", n)
+        for start in (0, n // 3, n - run):
+            assert overlapping(item, around + item[start : start + run] + around)[0][1] == run, (n, run, start)
+    for n in range(18, 60):
+        item = numbered("w", n)
+        a, b = n // 3, 2 * n // 3
+        assert overlapping(item, [*around, *item[:a], "put", *item[a:b], "in", *item[b:], *around]), n
+        assert overlapping(item, around + item[:6] + around) == []
+    item = numbered("w", 100)
+    far = sum((item[k : k + 12] + around for k in range(0, 60, 12)), [])
+    (found,) = overlapping(item, far)
+    assert found[1:3] == (60, 60) and found[3:] == (0, 0)
+    assert overlapping(item, far[: 3 * 52]) == []
+
+
 def test_blocks_change_nothing(spark):
     docs = spark.createDataFrame([(k, t) for k, t, _ in planted()], "doc_id long, text string")
     cut = list(op4_decontamination.read_blocks(benchmark(spark), block_bytes=100))
