@@ -9,6 +9,9 @@ at least half of the item's words equal or thirteen of them, and ten (or four fi
 item); or if all stretches of six equal words and more, wherever they lie, have half of the item's
 words (and ten) together; their equal words and lengths are added up, the first one gives the places.
 
+Items of fewer than 18 words have lighter seeds too, and equal words count over the whole of the
+item instead: as the texts lie, else over neighbouring places, for words put in or left out.
+
 The benchmark is taken in blocks of a bounded size, each sent to all tasks, so any number of
 items works: further blocks are further passes over the documents.
 
@@ -31,12 +34,14 @@ from pyspark.sql.types import LongType
 
 from plumbline.llm.common import blocks, load, struct
 
-#: 1: the position counts, 0: it is ignored. Six of six to fourteen words.
+#: 1: the position counts, 0: it is ignored. Six of six to fourteen words; the light ones are for short items.
 MASKS = ("111000111", "1101001011", "10110010101001", "1100101000110", "111111")
-LEAST_WORDS = 5
+LIGHT_MASKS = ("111", "11011")
+LEAST_WORDS, SHORT_WORDS = 5, 18
 SHARE, ENOUGH, SHORT_SHARE, PENALTY = 0.5, 10, 0.8, 4
 #: Equal words of one stretch that suffice in any item, and of a stretch that is added to others.
 LONG_STRETCH, LEAST_STRETCH = 13, 6
+HITS = 1 << 16
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 8 << 20
 CACHE_WORDS, TEXT_BYTES = 400_000, 2 << 20
@@ -93,7 +98,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Benchmark:
-    """Seeds of a block of items, sorted, by mask; items too short for a mask have one unbroken seed."""
+    """Seeds of a block of items, sorted, by mask."""
 
     def __init__(self, items: list[tuple[int | None, str]], masks: tuple[str, ...] = MASKS):
         words = Words()
@@ -101,15 +106,17 @@ class Benchmark:
         self.ids = [k for k, _ in held]
         self.words = [w for _, w in held]
         sizes = np.array([len(w) for w in self.words], np.int64)
-        half = np.ceil(sizes * SHARE)
+        self.sizes, half = sizes, np.ceil(sizes * SHARE)
         least = np.minimum(np.ceil(sizes * SHORT_SHARE - 1e-9), ENOUGH)
         self.need = np.maximum(half, least).astype(np.int64)  # of all stretches together
         self.need_one = np.maximum(np.minimum(half, LONG_STRETCH), least).astype(np.int64)
+        self.short = sizes < SHORT_WORDS
+        self.padded = np.zeros((len(sizes), SHORT_WORDS), np.uint64)  # of the short ones; no word is zero
+        for i in np.flatnonzero(self.short):
+            self.padded[i, : sizes[i]] = self.words[i]
         self.tables = []
-        longest = max(map(len, masks))
-        short = {"1" * len(w) for w in self.words if len(w) < longest}
-        for mask in (*masks, *sorted(short - set(masks))):
-            own = [i for i, w in enumerate(self.words) if mask in masks or len(w) == len(mask)]
+        for mask in (*masks, *LIGHT_MASKS):
+            own = [i for i in range(len(sizes)) if mask in masks or self.short[i]]
             found = [seeds(self.words[i], mask) for i in own]
             if not sum(map(len, found)):
                 continue
@@ -139,7 +146,9 @@ class Benchmark:
             return []
         pair = np.unique(np.concatenate(pairs))
         item, shift = pair >> 32, (pair & 0xFFFFFFFF) - (1 << 31)
-        item, shift, found = item.tolist(), shift.tolist(), []
+        short = self.short[item]
+        found = self._short(words, item[short], shift[short]) if short.any() else []
+        item, shift = item[~short].tolist(), shift[~short].tolist()
         a = 0
         while a < len(item):
             b = a
@@ -156,7 +165,7 @@ class Benchmark:
         for shift in shifts:
             a, b = max(0, -shift), min(len(item), len(words) - shift)
             equal = item[a:b] == words[a + shift : b + shift]
-            for matched, start, end in _stretches(equal, min(LEAST_STRETCH, self.need_one[i])):
+            for matched, start, end in _stretches(equal):
                 best = max(best, (i, matched, end - start, a + shift + start, a + start))
                 if not covered[a + start : a + end].all():
                     parts.append((a + shift + start, a + start, end - start))
@@ -166,20 +175,70 @@ class Benchmark:
         matched = int(covered.sum())
         return [(i, matched, sum(n for *_, n in parts), *min(parts)[:2])] if matched >= self.need[i] else []
 
-
-def _stretches(equal: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    def _short(self, words: np.ndarray, item: np.ndarray, shift: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The overlaps with short items: equal words over the whole of an item, at one place or at neighbouring ones."""
+        edge = np.full(SHORT_WORDS, 2, np.uint64)  # hashes are odd
+        around, across = np.concatenate([edge, words, edge]), np.arange(SHORT_WORDS)
+        equal = np.empty((len(item), SHORT_WORDS), bool)
+        for k in range(0, len(item), HITS):
+            equal[k : k + HITS] = self.padded[item[k : k + HITS]] == around[(shift[k : k + HITS] + SHORT_WORDS)[:, None] + across]
+        count = equal.sum(1)
+        best: dict[int, tuple[int, int, int, int, int]] = {}
+        for k in np.flatnonzero(count >= self.need[item]).tolist():
+            i, at = int(item[k]), np.flatnonzero(equal[k])
+            start, end = int(at[0]), int(at[-1]) + 1
+            best[i] = max(best.get(i, (i, 0)), (i, int(count[k]), end - start, int(shift[k]) + start, start))
+        # Places of one item at most a quarter of its words apart.
+        drift = np.maximum(2, self.sizes[item] // 4)
+        last = np.searchsorted(item << 32 | (shift + (1 << 31)), item << 32 | (shift + drift + (1 << 31)), "right")
+        runs = equal & np.pad(equal, ((0, 0), (1, 0)))[:, :-1] | equal & np.pad(equal, ((0, 0), (0, 1)))[:, 1:]  # no words alone
+        total = np.concatenate([[0], np.cumsum(runs.sum(1))])
+        for k in np.flatnonzero((last - np.arange(len(item)) > 1) & (total[last] - total[:-1] >= self.need[item])).tolist():
+            i = int(item[k])
+            if i in best and count[k] >= self.need[i]:
+                continue
+            part = _in_order(runs[k : last[k]])
+            matched = int(part.any(0).sum())
+            if matched >= self.need[i] and matched > best.get(i, (i, 0))[1]:
+                row, col = np.nonzero(part)
+                here = shift[k : last[k]][row] + col
+                first = int(here.argmin())
+                best[i] = (i, matched, int(here.max() - here.min()) + 1, int(here[first]), int(col[first]))
+        return list(best.values())
+
+
+def _in_order(runs: np.ndarray) -> np.ndarray:
+    """Of the equal words at rising places, those of a way through the item on which the places only rise or only fall: the longer way."""
+    ways = []
+    for rows in (runs, runs[::-1]):
+        score, back = np.zeros(len(rows), np.int64), np.zeros(rows.shape, np.int64)
+        for j in range(rows.shape[1]):
+            top = np.maximum.accumulate(score)
+            reach = np.where(score == top, np.arange(len(rows)), 0)
+            back[:, j] = np.maximum.accumulate(reach)
+            score = top + rows[:, j]
+        at, way = int(score.argmax()), np.zeros(rows.shape, bool)
+        whole = int(score[at])
+        for j in reversed(range(rows.shape[1])):
+            way[at, j] = rows[at, j]
+            at = back[at, j]
+        ways.append((whole, way if rows is runs else way[::-1]))
+    return max(ways, key=lambda w: w[0])[1]
+
+
+def _stretches(equal: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(equal words, start, end) of the best stretch, if it has enough words, and of the best ones beside it."""
     todo = [(0, len(equal))]
     while todo:
         a, b = todo.pop()
         part = equal[a:b]
-        if int(part.sum()) < least:
+        if int(part.sum()) < LEAST_STRETCH:
             continue
         sums = np.concatenate([[0], np.cumsum(np.where(part, 1, -PENALTY))])
         end = int((sums - np.minimum.accumulate(sums)).argmax())
         start = int(sums[: end + 1].argmin())
         matched = int(part[start:end].sum())
-        if matched >= least:
+        if matched >= LEAST_STRETCH:
             yield matched, a + start, a + end
             todo += [(a, a + start), (a + end, b)]
 

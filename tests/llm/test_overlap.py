@@ -87,6 +87,25 @@ def test_long_items_leak_in_parts():
     assert overlapping(item, far[: 3 * 52]) == []
 
 
+def test_short_items_with_replaced_words():
+    """op4: four fifths of a short item's words, wherever the others were replaced."""
+    around = numbered("around", 20)
+    for n in range(5, 18):
+        item = numbered("w", n)
+        for lost in [(j,) for j in range(n)] + [(j, k) for k in range(n) for j in range(k) if n >= 10]:
+            text = ["other" if j in lost else w for j, w in enumerate(item)]
+            for whole in (text, around + text + around):
+                assert [f[1] for f in overlapping(item, whole)] == [n - len(lost)], (n, lost)
+        less = max(-(-n // 2), min(-(-n * 4 // 5), 10)) - 1
+        assert overlapping(item, around + item[:less] + around) == []
+        if n >= 6:
+            put = [*around, *item[: n // 2], "put", *item[n // 2 :], *around]
+            assert overlapping(item, put), n
+    item = numbered("w", 12)
+    scattered = sum((item[k : k + 3] + around for k in range(0, 12, 3)), [])
+    assert overlapping(item, scattered) == [] and overlapping(item, item[6:] + item[:6]) == []
+
+
 def test_blocks_change_nothing(spark):
     docs = spark.createDataFrame([(k, t) for k, t, _ in planted()], "doc_id long, text string")
     cut = list(op4_decontamination.read_blocks(benchmark(spark), block_bytes=100))
