@@ -103,6 +103,18 @@ def pie_structures(spark, sf_dir):
     return advice.structure_pie(empty.agg(*complexity.structure_counts()))
 
 
+@query(
+    """WITH s AS (SELECT CASE l_linenumber WHEN 1 THEN 'Classes' WHEN 2 THEN 'Interfaces' WHEN 3 THEN 'Traits' WHEN 4 THEN 'Enums' WHEN 5 THEN 'Structs' ELSE 'Modules' END AS label FROM lineitem)
+SELECT label, count(*) AS value FROM s GROUP BY label"""
+)
+def pie_structure_kinds(spark, sf_dir):
+    """Slices by kind of structure, over the kinds of a whole table."""
+    kinds = ["Class", "Interface", "Trait", "Enum", "Struct", "Module"]
+    kind = F.coalesce(F.get(F.array(*map(F.lit, kinds)), (F.col("l_linenumber") - 1).cast("int")), F.lit("Namespace"))
+    rows = load(spark, sf_dir, "lineitem").select(kind.alias("kind"), (F.col("l_partkey") % 9).alias("method_count"))
+    return advice.structure_pie(rows.agg(*complexity.structure_counts()))
+
+
 @query(
     f"""WITH {LISTING}, {LANGUAGES_SQL}, e AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM listing),
 d AS (SELECT ext, 'Detected ' || min(page_id) AS told FROM e WHERE page_id % 4 = 1 GROUP BY ext)
