@@ -19,7 +19,7 @@ training and scoring run once per distinct pair of token and class, weighted by
 texts add up their tokens.  Everything is gathered from all training tokens: exact token
 counts, byte counts, slot counts (summed over tasks into a table of fixed size), weights (each
 task learns online from its tokens; tasks are averaged by tokens), the map and the gates
-(summed).  Only the class centres come from a bounded sample of texts.
+(summed).  Only the class centres come from a bounded sample of training texts.
 
 Frequent tokens are looked up in a broadcast list of bounded size, the others by a join.
 Null texts count as empty (one end token); repeated rows repeat their results; a null id
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import load, struct, write_table
+from plumbline.llm.common import load, remainder, struct, write_table
 
 CLASSES = 8
 #: Expected texts whose byte pairs make the class centres, and hashed byte pairs.
@@ -287,8 +287,9 @@ def _over_tokens(pairs: DataFrame, schema, work: Callable[[Iterator[Tokens]], It
     return pairs.select("word", "kind", "c").mapInArrow(run, schema)
 
 
-def class_centres(docs: DataFrame) -> np.ndarray:
-    """Class centres from a sample of ``docs`` (doc_id, text), drawn evenly by a hash of the id."""
+def class_centres(docs: DataFrame, modulus: int, held: int) -> np.ndarray:
+    """Class centres from a sample of the training rows of ``docs`` (doc_id, text), drawn evenly by a hash of the id."""
+    docs = docs.where(remainder(F.col("doc_id"), modulus) != held)
     n = docs.count()
     share = int(min(1.0, CENTRE_TEXTS / max(1, n)) * (1 << 20))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
@@ -467,7 +468,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_i
     """Scores of all texts by a model of those whose crc32(id as text) mod ``modulus`` is not ``held``; see the module."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    centres = class_centres(base)
+    centres = class_centres(base, modulus, held)
     pairs = write_table(count_tokens(base, centres, modulus, held), "pairs")
     in_class, docs_in = [0] * len(centres), [0] * len(centres)
     for r in pairs.groupBy("kind").agg(F.sum("c").alias("c"), F.sum(F.when(F.octet_length("word") == 0, F.col("c")).otherwise(0)).alias("docs")).collect():

@@ -143,3 +143,14 @@ def test_long_tokens_come_in_parts(monkeypatch):
         seen.append((table, op2_mixing.Mixer.fresh(table.astype(np.float32)).score(tree, held)))
     assert (seen[0][0] == seen[1][0]).all()
     assert np.allclose(seen[0][1], seen[1][1], rtol=1e-9)
+
+
+def test_held_out_texts_make_no_class_centres(spark, docs, monkeypatch):
+    seen = []
+    real = op2_mixing.centres_of
+    monkeypatch.setattr(op2_mixing, "centres_of", lambda shares: seen.append(shares) or real(shares))
+    base = docs.select("doc_id", "text")
+    op2_mixing.class_centres(base, 7, 2)
+    train = [t for k, t in base.collect() if op2_mixing._remainder(k, 7) != 2]
+    expected = sorted(op2_mixing.pair_shares((t or "").encode().lower()).tobytes() for t in train)
+    assert len(train) < docs.count() and sorted(s.tobytes() for s in seen[0]) == expected
