@@ -1,568 +1,373 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is the sequence of its tokens (white-space words, A-Z lowered, then one end).  It
-belongs to one of a few classes, by its byte pairs; the class is part of what is coded.
-
-A token is spelled byte by byte and closed by a space, so the end is a space alone; a byte is
-a path of binary decisions down a Huffman tree over the corpus's bytes.  Each decision is
-predicted by several hashed contexts: the class with the last two, three, four and five
-bytes.  A context's slot holds how often each branch was taken; the log
-odds of all slots are mixed by weights of a gate, which is chosen by how much the contexts
-have seen, and the mix is refined by an adaptive probability map.  Weights and map are learned
-online, each token predicted from the counts without itself.  A token's probability is then a
-gated mean of this spelling, of its share in the class and of its share in all; the gates of
-each class are learned by expectation maximization, again without the token itself.  All three
-are distributions over tokens, so the score is a proper log probability.
-
-Contexts stay within a token and its class, so its bits are the same wherever it stands:
-training and scoring run once per distinct pair of token and class, weighted by its count, and
-texts add up their tokens.  Everything is gathered from all training tokens: exact token
-counts, byte counts, slot counts (summed over tasks into a table of fixed size), weights (each
-task learns online from its tokens; tasks are averaged by tokens), the map and the gates
-(summed).  Only the class centres come from a bounded sample of training texts.
-
-Frequent tokens are looked up in a broadcast list of bounded size, the others by a join.
-Null texts count as empty (one end token); repeated rows repeat their results; a null id
-counts as empty text in the hold-out rule; other columns are ignored.  Without any training
-token all counts are zero and every branch has probability one half.
+A text is the sequence of its tokens (white-space words, A-Z lowered, then one end).  Each token
+is coded as a path of binary decisions down a Huffman tree over the frequent training tokens,
+and each decision is predicted from hashed contexts that run across tokens: the last frequent
+word, the last token, the last two and the last four (``mixing``).  Any other token takes the
+path of an escape; which one it is has the mean of two probabilities, weighted by a learned
+gate: its share of the escapes, and its spelling, byte by byte, by the same mixing over the last
+one, two, four and six bytes.  All of these are distributions, so the score is a log
+probability; divided by the bytes of the tokens, each with a space, it gives bits per byte.
+
+All that is learned comes from all training tokens: counts of tokens, the tree, what is known of
+each context (in buckets whose number grows with the corpus), weights, maps and gates.  An
+occurrence in a training text is predicted from all others but not from itself, so that what a
+second copy adds can be told; held-out texts are predicted from all, and change no other score.
+
+Texts are cut and numbered in Arrow, in blocks of some megabytes, once, in a written table; a
+block's partial sums come back by its number.
+
+Null texts count as empty (one end token); repeated rows repeat their results (equal training
+texts have equal scores unless a token context is so frequent that its bucket is divided by
+blocks); a null id counts as empty text in the hold-out rule; other columns are ignored.  Without
+any training token all counts are zero and every branch has probability one half.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import math
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import load, remainder, struct, write_table
+from plumbline.llm.common import load, runs, struct, write_table
+from plumbline.llm.mixing import BUCKET, Code, Records, mix, mixed
 
-CLASSES = 8
-#: Expected texts whose byte pairs make the class centres, and hashed byte pairs.
-CENTRE_TEXTS, PAIRS = 2000, 512
-ORDERS = (2, 3, 4, 5)  # bytes of a context, each together with the class
-CONTEXTS = len(ORDERS)
-SLOT_BITS = 20
+#: Bounds of the tree, and the length from which on a token is listed by its digest.
+VOCABULARY, LISTED_BYTES = 1 << 18, 64
+#: The last token of so many is the nearest context.
+FREQUENT = 512
+#: Bytes of text in a block (one text at least).
+PORTION_BYTES = 12 << 20
 EM_ROUNDS = 6
-SEEN_LEVELS, MAP_STEPS = 6, 33
-GATES = 2 * SEEN_LEVELS * SEEN_LEVELS
-CLOSE = 0x20
-RATE = 0.004
-#: Bytes that are worked on in one go; tokens a task counts before it hands them on.
-CHUNK_BYTES, COUNT_TOKENS = 1 << 16, 400_000
-#: Bound of the broadcast list: tokens, and bytes of a token.
-HOT_TOKENS, HOT_BYTES = 300_000, 64
-
-_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-
+START, LISTED, CLOSE = 0xFFFFFFFF, 1 << 31, 0x20
 
 def tokens(text: str | None) -> list[bytes]:
     """The words of a text; the end is not among them."""
     return (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and white space alone
 
 
-@dataclass
-class Tree:
-    """Huffman tree over bytes: the decision node and the branch at each depth, and each byte's depth."""
-
-    node: np.ndarray
-    branch: np.ndarray
-    depth: np.ndarray
-
-    @staticmethod
-    def over(counts: np.ndarray) -> Tree:
-        heap = [(int(c) + 1, k, k) for k, c in enumerate(counts)]  # every byte gets a path
-        heapq.heapify(heap)
-        children: dict[int, tuple[int, int]] = {}
-        fresh = 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            children[fresh] = a[2], b[2]
-            heapq.heappush(heap, (a[0] + b[0], fresh, fresh))
-            fresh += 1
-        paths: dict[int, list[tuple[int, int]]] = {}
-        walk = [(fresh - 1, [])]
-        while walk:
-            at, path = walk.pop()
-            if at < 256:
-                paths[at] = path
-            else:
-                walk += [(child, [*path, (at - 256, side)]) for side, child in enumerate(children[at])]
-        deep = max(map(len, paths.values()))
-        node, branch = np.zeros((256, deep), np.int64), np.zeros((256, deep), np.uint8)
-        for byte, path in paths.items():
-            node[byte, : len(path)] = [n for n, _ in path]
-            branch[byte, : len(path)] = [s for _, s in path]
-        return Tree(node, branch, np.array([len(paths[b]) for b in range(256)]))
-
-
-def pair_shares(text: bytes) -> np.ndarray:
-    """Square roots of the shares of a text's hashed byte pairs."""
-    data = np.frombuffer(text, np.uint8).astype(np.int64)
-    counts = np.bincount((data[:-1] * 37 + data[1:]) % PAIRS, minlength=PAIRS) if len(data) > 1 else np.zeros(PAIRS)
-    return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
-
-
-def centres_of(shares: np.ndarray) -> np.ndarray:
-    """Class centres by k-means, at most CLASSES; the same rows give the same centres."""
-    if not len(shares):
-        return np.zeros((1, PAIRS), np.float32)
-    rng = np.random.default_rng(0)
-    picked = [shares[rng.integers(len(shares))]]
-    while len(picked) < CLASSES:
-        far = 1 - np.max(shares @ np.array(picked).T, 1).clip(0, 1)
-        if far.sum() < 1e-6:
-            break
-        picked.append(shares[rng.choice(len(shares), p=far / far.sum())])
-    centres = np.array(picked)
-    for _ in range(15):
-        own = (shares @ centres.T).argmax(1)
-        for k in range(len(centres)):
-            if (own == k).any():
-                mean = shares[own == k].mean(0)
-                centres[k] = mean / max(1e-9, float(np.linalg.norm(mean)))
-    return centres.astype(np.float32)
+def cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of all texts of a string column without nulls: (number of each, distinct words, words of each text)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # ASCII letters and ASCII white space alone
+    words, sizes = lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    full = np.asarray(pc.binary_length(words)) > 0  # white space at the ends makes empty ones
+    if not full.all():
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = np.bincount(owner[full], minlength=len(sizes))
+        words = words.filter(pa.array(full))
+    coded = words.dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary.cast(pa.binary()), sizes
 
 
-def class_of(centres: np.ndarray, text: bytes) -> int:
-    return int((centres @ pair_shares(text)).argmax())
+def _remainder(key: int | None, modulus: int) -> int:
+    return zlib.crc32(b"" if key is None else str(key).encode()) % modulus
 
 
-@dataclass
-class Tokens:
-    """Distinct (token, class) pairs with their counts."""
-
-    words: list[bytes]
-    kind: np.ndarray
-    counts: np.ndarray
-
-    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
-        """Runs of about CHUNK_BYTES: (bytes with closes, token number of each byte, class and count of each token, first token, lead).
-
-        A longer token comes in parts; each further part begins with a lead of bytes that were
-        in the part before and only serve as context.
-        """
-        ends = np.cumsum([len(w) + 1 for w in self.words])
-        a = done = 0
-        while a < len(self.words):
-            b = max(a + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, "right")))
-            sizes = np.diff(ends[a:b], prepend=done)
-            data = np.frombuffer(b" ".join([*self.words[a:b], b""]), np.uint8)
-            if len(data) <= 2 * CHUNK_BYTES:
-                yield data, np.repeat(np.arange(b - a), sizes), self.kind[a:b], self.counts[a:b], a, 0
-            else:  # one long token
-                for at in range(0, len(data), CHUNK_BYTES):
-                    lead = min(at, max(ORDERS))
-                    part = data[at - lead : at + CHUNK_BYTES]
-                    yield part, np.zeros(len(part), np.int64), self.kind[a:b], self.counts[a:b], a, lead
-            a, done = b, int(ends[b - 1])
-
-
-def context_keys(data: np.ndarray, owner: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """CONTEXTS x bytes: hash of each context in front of each byte."""
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    place = np.arange(len(data)) - first[owner]
-    wide = data.astype(np.uint64) + np.uint64(1)
-    near = np.zeros(len(data), np.uint64)
-    mark = (kind.astype(np.uint64)[owner] + np.uint64(1)) * _K[2]
-    keys = np.empty((CONTEXTS, len(data)), np.uint64)
-    for k in range(1, max(ORDERS) + 1):
-        back = np.zeros(len(data), np.uint64)
-        back[k:] = wide[:-k]
-        back[place < k] = 0
-        near = near * np.uint64(257) + back
-        if k in ORDERS:
-            keys[ORDERS.index(k)] = near * _K[0] + np.uint64(k * 0x9E3779B1) + mark
-    return keys
-
-
-def decisions(tree: Tree, data: np.ndarray, owner: np.ndarray, kind: np.ndarray, lead: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """By depth: (bytes after the lead that have a decision there, branch taken, slot of each context, depth)."""
-    keys, depth = context_keys(data, owner, kind), tree.depth[data]
-    depth[:lead] = 0
-    offsets = (np.arange(CONTEXTS, dtype=np.int64) << SLOT_BITS)[:, None]
-    for d in range(int(depth.max(initial=0))):
-        at = np.flatnonzero(depth > d)
-        byte = data[at]
-        mixed = keys[:, at] ^ (tree.node[byte, d].astype(np.uint64) * _K[3])
-        mixed ^= mixed >> np.uint64(31)
-        slot = ((mixed * _K[0]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + offsets
-        yield at, tree.branch[byte, d], slot, d
-
-
-def count_slots(tree: Tree, held: Tokens, table: np.ndarray) -> None:
-    """Add the tokens' decisions, weighted by their counts, to ``table`` (2 x slots)."""
-    flat = table.reshape(-1)
-    for data, owner, kind, own, _, lead in held.chunks():
-        for at, branch, slot, _ in decisions(tree, data, owner, kind, lead):
-            weight = own[owner[at]].astype(np.float64)
-            cell = slot + branch.astype(np.int64) * table.shape[1]
-            for row in cell:
-                np.add.at(flat, row, weight)
-
-
-def _level(seen: np.ndarray) -> np.ndarray:
-    """0, 1, 2-3, 4-15, 16-255, more."""
-    return np.searchsorted(np.array([1, 2, 4, 16, 256], np.float32), seen, "right")
+def count_tokens(docs: DataFrame, modulus: int, held: int) -> DataFrame:
+    """Distinct tokens of ``docs`` (doc_id, text): ``word, c, n``, training and whole count; the end is an empty word."""
+    schema = struct("word binary, c long, n long")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in _portions(parts):
+            at, words, sizes = cut(texts)
+            training = np.repeat([_remainder(k, modulus) != held for k in keys], sizes)
+            n, c = np.bincount(at, minlength=len(words)), np.bincount(at[training], minlength=len(words))
+            ends = sum(_remainder(k, modulus) != held for k in keys)
+            words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.append(c, ends)), pa.array(np.append(n, len(keys)))], names=schema.names)
+
+    return docs.mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def _portions(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts (null: empty) of a task's rows, in portions of about PORTION_BYTES."""
+    keys, texts, held = [], [], 0
+    for part in parts:
+        column = pc.fill_null(part.column(1), "")
+        for a, b in runs(np.asarray(pc.binary_length(column)).tolist(), PORTION_BYTES):
+            keys += part.column(0).slice(a, b - a).to_pylist()
+            texts.append(column.slice(a, b - a))
+            held += pc.sum(pc.binary_length(texts[-1])).as_py()
+            if held >= PORTION_BYTES:
+                yield keys, pa.concat_arrays(texts)
+                keys, texts, held = [], [], 0
+    if keys:
+        yield keys, pa.concat_arrays(texts)
+
+
+def _listed(word: bytes) -> bytes:
+    """What stands for a token in the list."""
+    return word if len(word) <= LISTED_BYTES else b" " + hashlib.md5(word, usedforsecurity=False).hexdigest().encode()
+
+
+def frequent(counts: DataFrame) -> tuple[Column, list[tuple[bytes, int]]]:
+    """The condition on ``counts`` that frequent tokens meet, VOCABULARY at most, and these with their training counts, most frequent first.
+
+    A threshold from a histogram, so that nothing is sorted in one task.  The end is always first.
+    """
+    level = F.floor(F.log2("c") * 16)
+    room, least = VOCABULARY, None
+    words = counts.where("c > 1 AND octet_length(word) > 0")
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # some hundred rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    listed = (F.octet_length("word") > 0) & ((F.col("c") > 1) & (level >= least) if least is not None else F.lit(False))
+    name = F.when(F.octet_length("word") <= LISTED_BYTES, F.col("word")).otherwise(F.concat(F.lit(b" "), F.md5("word").cast("binary")))
+    found = counts.where(listed).select(name.alias("word"), "c").toArrow()
+    pairs = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda p: (-p[1], p[0]))
+    return listed, pairs
 
 
 @dataclass
-class Mixer:
-    """Slot counts, gated weights and the adaptive probability map."""
-
-    table: np.ndarray  # 2 x slots, 32-bit floats
-    weights: np.ndarray  # GATES x (CONTEXTS + 1)
-    seen: np.ndarray  # 2 x (GATES * MAP_STEPS)
-
-    @staticmethod
-    def fresh(table: np.ndarray) -> Mixer:
-        weights = np.zeros((GATES, CONTEXTS + 1), np.float32)
-        weights[:, :-1] = np.linspace(0.05, 0.45, CONTEXTS)  # longer contexts say more
-        return Mixer(table, weights, np.zeros((2, GATES * MAP_STEPS)))
-
-    def inputs(self, slot: np.ndarray, depth: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(log odds of each context and a constant, gate); ``without``: branches to take out of the counts once."""
-        n0, n1 = self.table[0].take(slot), self.table[1].take(slot)
-        if without is not None:
-            n0 = np.maximum(n0 - (without == 0), 0)
-            n1 = np.maximum(n1 - without, 0)
-        odds = np.empty((len(slot) + 1, slot.shape[1]), np.float32)
-        odds[:-1] = np.clip(np.log((n1 + 0.2) / (n0 + 0.2)), -9, 9)
-        odds[-1] = 0.3
-        gate = ((depth > 0) * SEEN_LEVELS + _level(n0[-1] + n1[-1])) * SEEN_LEVELS + _level(n0[-2] + n1[-2])
-        return odds, gate
-
-    def mix(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((self.weights.take(gate, axis=0).T * odds).sum(0), -12, 12)
-
-    def refined(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Probability of branch 1: mean of the mix and of the map's value for it."""
-        p = 1 / (1 + np.exp(-mixed))
-        cell = gate * MAP_STEPS + np.rint((mixed + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)
-        n0, n1 = self.seen[0].take(cell), self.seen[1].take(cell)
-        return np.clip((p + (n1 + 30 * p) / (n0 + n1 + 30)) / 2, 1e-7, 1 - 1e-7)
-
-    def learn(self, tree: Tree, held: Tokens) -> None:
-        """Predict, then learn, one batch of decisions after the other."""
-        for data, owner, kind, own, _, lead in held.chunks():
-            for at, branch, slot, d in decisions(tree, data, owner, kind, lead):
-                weight = own[owner[at]].astype(np.float64)
-                odds, gate = self.inputs(slot, d, branch)
-                mixed = self.mix(odds, gate)
-                error = (branch - 1 / (1 + np.exp(-mixed))) * weight
-                rate = RATE / np.maximum(np.bincount(gate, weights=weight, minlength=GATES), 1e-9)
-                for k in range(CONTEXTS + 1):
-                    self.weights[:, k] += rate * np.bincount(gate, weights=error * odds[k], minlength=GATES)
-                cell = gate * MAP_STEPS + np.rint((mixed + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)
-                for side in (0, 1):
-                    self.seen[side] += np.bincount(cell, weights=weight * (branch == side), minlength=self.seen.shape[1])
-
-    def score(self, tree: Tree, held: Tokens) -> np.ndarray:
-        """log10 probability of each token, spelled with its close."""
-        out = np.zeros(len(held.words))
-        for data, owner, kind, own, first, lead in held.chunks():
-            for at, branch, slot, d in decisions(tree, data, owner, kind, lead):
-                odds, gate = self.inputs(slot, d, None)
-                p = self.refined(self.mix(odds, gate).astype(np.float64), gate)
-                out[first : first + len(own)] += np.bincount(owner[at], weights=np.log10(np.where(branch == 1, p, 1 - p)), minlength=len(own))
-        return out
-
-
-PRESETS = (1 / 6, 1.0, 6.0)  # odds of the spelling, times that of its learned gate; a text weighs them up
-
-
-def _over_tokens(pairs: DataFrame, schema, work: Callable[[Iterator[Tokens]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``work`` over a task's batches of tokens."""
+class Numbers:
+    """The frequent tokens' numbers (0 is the end, the last one an escape) and their parts of the base score."""
+
+    place: dict[bytes, int]
+    base: np.ndarray
+
+    @property
+    def escape(self) -> int:
+        return len(self.base)
+
+
+class Block:
+    """Texts as numbers: their tokens, each text closed by an end, and what the base score needs."""
+
+    def __init__(self, texts: pa.Array, held: list[bool], numbers: Numbers):
+        at, words, sizes = cut(texts)
+        words = words.to_pylist()
+        ids = np.fromiter(map(numbers.place.get, words, repeat(-1)), np.int64, len(words))
+        self.cold: list[bytes] = []
+        cold = np.zeros(len(words), np.int64)
+        for i in np.flatnonzero(ids < 0).tolist():
+            word = words[i]
+            if len(word) > LISTED_BYTES and (found := numbers.place.get(_listed(word), -1)) >= 0:
+                ids[i] = found
+                continue
+            cold[i] = len(self.cold)
+            self.cold.append(word)
+            ids[i] = LISTED | (xxhash.xxh64_intdigest(word) & (LISTED - 2))  # never START
+        n = len(sizes)
+        owner = np.repeat(np.arange(n), sizes)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        value = np.append(numbers.base, 0).take(np.minimum(ids, numbers.escape))
+        self.sizes = sizes + 1
+        self.bytes = np.bincount(owner, weights=length[at], minlength=n).astype(np.int64) + self.sizes
+        self.base = np.bincount(owner, weights=value[at], minlength=n) + numbers.base[0]
+        own = ids[at]
+        self.held = np.array(held, np.uint8)
+        rare = np.flatnonzero(own >= LISTED)
+        self.cold_at, self.cold_owner = cold[at[rare]], owner[rare]
+        self.ids = np.zeros(len(at) + n, np.int64)
+        self.ids[np.arange(len(at)) + owner] = own  # an end, 0, after each text
+
+    def body(self) -> bytes:
+        planes = self.ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        head = np.array([len(self.ids), len(self.held)], "<u8").tobytes()
+        return head + pa.compress(planes + self.sizes.astype("<u4").tobytes() + self.held.tobytes(), "zstd", asbytes=True)
+
+
+BLOCKS = "block long, ids array<long>, held array<boolean>, tokens array<long>, bytes array<long>, base array<double>, cold_at binary, cold_owner binary, cold array<binary>, body binary"
+
+
+def block_table(docs: DataFrame, numbers: Broadcast, modulus: int, held: int) -> DataFrame:
+    """Blocks of the texts of ``docs`` (doc_id, text)."""
+    schema = struct(BLOCKS)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(Tokens(p.column(0).to_pylist(), *(np.asarray(p.column(k)).astype(np.int64) for k in (1, 2))) for p in parts if p.num_rows)
+        from pyspark import TaskContext
 
-    return pairs.select("word", "kind", "c").mapInArrow(run, schema)
+        at = TaskContext.get().partitionId() << 40
+        for keys, texts in _portions(parts):
+            told = [_remainder(k, modulus) == held for k in keys]
+            block = Block(texts, told, numbers.value)
+            packed = [x.astype("<u4").tobytes() for x in (block.cold_at, block.cold_owner)]
+            values = [at, keys, told, block.sizes, block.bytes, block.base, *packed, block.cold, block.body()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _ARROW, strict=True)], names=schema.names)
+            at += 1
+
+    return docs.mapInArrow(run, schema)
+
+
+_LONGS = pa.list_(pa.int64())
+_ARROW = (pa.int64(), _LONGS, pa.list_(pa.bool_()), _LONGS, _LONGS, pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary())
+
+
+def word_records(body: bytes, escape: int) -> Records:
+    """Records of a block's tokens; owners are its texts."""
+    n, m = np.frombuffer(body[:16], "<u8").tolist()
+    raw = np.frombuffer(pa.decompress(body[16:], 4 * n + 5 * m, "zstd"), np.uint8)
+    ids = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
+    sizes, held = raw[4 * n : 4 * n + 4 * m].view("<u4").astype(np.int64), raw[4 * n + 4 * m :].astype(bool)
+    first = np.cumsum(sizes) - sizes
+    back = []
+    for k in range(1, 5):
+        before = np.full(n, START, np.uint32)
+        before[k:] = ids[:-k]
+        for j in range(k):
+            before[(first + j)[sizes > j]] = START
+        back.append(before)
+    more = (mix(back[2].astype(np.uint64) << np.uint64(32) | back[3]) >> np.uint64(40)).astype(np.uint32)
+    at = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where((ids > 0) & (ids < FREQUENT), at, np.int32(-1)))
+    before = np.concatenate([[-1], last[:-1]]).astype(np.int32)
+    start = np.repeat(first.astype(np.int32), sizes)
+    near = np.where(before >= start, ids.take(np.maximum(before, 0)), np.uint32(FREQUENT)).astype(np.uint16)
+    symbol = np.minimum(ids, np.uint32(escape))
+    return Records(symbol, np.repeat(held, sizes), near, back[0], back[1], more, np.repeat(np.arange(m), sizes))
+
+
+def spelling_records(body: bytes) -> Records:
+    """Records of the bytes of tokens, each closed by a space; owners are the tokens."""
+    n, m = np.frombuffer(body[:16], "<u8").tolist()
+    raw = np.frombuffer(pa.decompress(body[16:], n + m, "zstd"), np.uint8)
+    data, held = raw[:n].astype(np.int64), raw[n:].astype(bool)
+    ends = np.flatnonzero(data == CLOSE)
+    sizes = np.diff(ends, prepend=-1)
+    owner = np.repeat(np.arange(m), sizes)
+    place = np.arange(n) - np.repeat(ends + 1 - sizes, sizes)
+    back = []
+    for k in range(1, 7):
+        before = np.zeros(n, np.int64)
+        before[k:] = data[:-k] + 1
+        before[place < k] = 0
+        back.append(before)
+    pair = lambda a, b: a * 257 + b
+    return Records(data, held[owner], back[0], pair(back[0], back[1]), pair(back[2], back[3]), pair(back[4], back[5]), owner)
+
+
+def spell(cold: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``word, c, spelled`` of ``cold`` (word, c), a written table: log10 probability of each token's bytes, learned from those with c > 0, each once."""
+    spark = cold.sparkSession
+    schema = struct("block long, words array<binary>, counts array<long>, body binary")
+
+    def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        at, words, counts, size = TaskContext.get().partitionId() << 40, [], [], 0
 
-def class_centres(docs: DataFrame, modulus: int, held: int) -> np.ndarray:
-    """Class centres from a sample of the training rows of ``docs`` (doc_id, text), drawn evenly by a hash of the id."""
-    docs = docs.where(remainder(F.col("doc_id"), modulus) != held)
-    n = docs.count()
-    share = int(min(1.0, CENTRE_TEXTS / max(1, n)) * (1 << 20))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+        def closed() -> pa.RecordBatch:
+            data = b" ".join([*words, b""])
+            held = (np.array(counts) == 0).astype(np.uint8).tobytes()
+            body = np.array([len(data), len(words)], "<u8").tobytes() + pa.compress(data + held, "zstd", asbytes=True)
+            kinds = (pa.int64(), pa.list_(pa.binary()), _LONGS, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((at, words, counts, body), kinds, strict=True)], names=schema.names)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [pair_shares((t.as_py() or "").encode("utf-8", "replace").lower()).tobytes() for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["shares"])
-
-    rows = sorted(bytes(r["shares"]) for r in drawn.mapInArrow(run, struct("shares binary")).collect())
-    return centres_of(np.frombuffer(b"".join(rows), np.float32).reshape(-1, PAIRS))
-
+            for word, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                words.append(word)
+                counts.append(c)
+                size += len(word) + 1
+                if size >= PORTION_BYTES:
+                    yield closed()
+                    at, words, counts, size = at + 1, [], [], 0
+        if words:
+            yield closed()
+
+    stream = write_table(cold.select("word", "c").mapInArrow(blocks, schema), "spellings")
+
+    def bytes_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for part in parts:
+            for body in part.column(0):
+                r = spelling_records(body.as_py())
+                total += np.bincount(r.symbol[~r.held], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
-def count_tokens(docs: DataFrame, centres: np.ndarray, modulus: int, held: int) -> DataFrame:
-    """Distinct (token, class) pairs of ``docs`` (doc_id, text): ``word, kind, c, n, total, first``.
+    total = np.zeros(256, np.int64)
+    for r in stream.select("body").mapInArrow(bytes_of, struct("byte long, n long")).groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        total[r["byte"]] = r["n"]
+    found = mixed(stream.select("block", "body"), lambda _, body: spelling_records(body), Code.over(total), int(total.sum()), bucket)
+    out = struct("word binary, c long, spelled double")
 
-    Training and whole count of the pair, training count of the token, and whether the pair is
-    its token's first; the end is an empty word.
-    """
-    schema = struct("word binary, kind int, c long, n long")
-    shared = docs.sparkSession.sparkContext.broadcast(centres)
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, counts = left["words"][0].as_py(), left["counts"][0].as_py()
+        return pa.table([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(_sums(right, len(words)))], names=out.names)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, size = {}, 0
-        for part in parts:
-            for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "replace").lower()
-                own = seen.setdefault((class_of(shared.value, data), _remainder(key, modulus) != held), Counter())
-                size -= len(own)
-                own.update(data.split())
-                own[b""] += 1
-                size += len(own)
-                if size > COUNT_TOKENS:
-                    yield from _counted(seen)
-                    seen, size = {}, 0
-        yield from _counted(seen)
-
-    kinds = range(len(centres))
-    per_kind = lambda what: F.array(*(F.sum(F.when(F.col("kind") == k, F.col(what)).otherwise(0)) for k in kinds))
-    sums = docs.mapInArrow(run, schema).groupBy("word").agg(per_kind("c").alias("cs"), per_kind("n").alias("ns"))
-    total = F.aggregate("cs", F.lit(0).cast("long"), lambda a, x: a + x)
-    first = F.array_position(F.transform("ns", lambda x: x > 0), True) - 1
-    spread = sums.select("word", total.alias("total"), first.alias("at"), F.posexplode(F.arrays_zip("cs", "ns")).alias("kind", "x"))
-    return spread.where("x.ns > 0").select("word", "kind", F.col("x.cs").alias("c"), F.col("x.ns").alias("n"), "total", (F.col("at") == F.col("kind")).alias("first"))
+    return stream.select("block", "words", "counts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined, out)
 
 
-def _remainder(key: int | None, modulus: int) -> int:
-    return zlib.crc32(b"" if key is None else str(key).encode()) % modulus
-
+def _sums(parts: pa.Table, n: int) -> np.ndarray:
+    """Sums by owner of packed partial sums."""
+    owners, scores = (np.frombuffer(b"".join(x for x in parts[k].to_pylist() if x), t) for k, t in (("owner", "<u4"), ("score", float)))
+    return np.bincount(owners, weights=scores, minlength=n)
 
-def _counted(seen: dict[tuple[int, bool], Counter]) -> Iterator[pa.RecordBatch]:
-    for (kind, training), counts in seen.items():
-        n = pa.array(counts.values(), pa.int64())
-        c = n if training else pa.array(np.zeros(len(counts), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(np.full(len(counts), kind, np.int32)), c, n], names=["word", "kind", "c", "n"])
-
-
-def fit(pairs: DataFrame) -> tuple[Tree, Mixer]:
-    """The spelling model of the training tokens in ``pairs`` (word, kind, c), a written table."""
-    spark = pairs.sparkSession
-    train, schema = pairs.where("c > 0"), struct("slot long, a double, b double")
-    summed = lambda work: _over_tokens(train, schema, work).groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-    def bytes_of(batches: Iterator[Tokens]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256)
-        for held in batches:
-            for data, owner, _, own, _, lead in held.chunks():
-                total += np.bincount(data[lead:], weights=own[owner[lead:]], minlength=256)
-        yield _sums(np.arange(256), total, total)
-
-    total = np.zeros(256)
-    for r in summed(bytes_of).collect():  # 256 rows
-        total[r["slot"]] = r["a"]
-    tree = spark.sparkContext.broadcast(Tree.over(total))
-
-    def slots_of(batches: Iterator[Tokens]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, CONTEXTS << SLOT_BITS))
-        for held in batches:
-            count_slots(tree.value, held, table)
-        for a in range(0, table.shape[1], 1 << 16):
-            at = a + np.flatnonzero(table[:, a : a + (1 << 16)].any(0))
-            if len(at):
-                yield _sums(at, table[0, at], table[1, at])
-
-    found = summed(slots_of).select(F.col("slot").cast("int"), F.col("a").cast("float"), F.col("b").cast("float")).toArrow()  # CONTEXTS << SLOT_BITS rows at most
-    table, slot = np.zeros((2, CONTEXTS << SLOT_BITS), np.float32), np.asarray(found["slot"])
-    table[0, slot], table[1, slot] = np.asarray(found["a"]), np.asarray(found["b"])
-    del found, slot
-    shared = spark.sparkContext.broadcast(table)
-
-    def weights_of(batches: Iterator[Tokens]) -> Iterator[pa.RecordBatch]:
-        own, mass = Mixer.fresh(shared.value), 0
-        for held in batches:
-            own.learn(tree.value, held)
-            mass += int(held.counts.sum())
-        if mass:
-            flat = own.weights.astype(np.float64).ravel()
-            yield _sums(np.arange(flat.size), flat * mass, np.full(flat.size, float(mass)))
-            yield _sums(flat.size + np.arange(own.seen.shape[1]), own.seen[0], own.seen[1])
-
-    mixer = Mixer.fresh(table)
-    weights = mixer.weights.reshape(-1)
-    for r in summed(weights_of).collect():  # a fixed number of rows
-        k = r["slot"]
-        if k < weights.size:
-            weights[k] = r["a"] / r["b"]
-        else:
-            mixer.seen[:, k - weights.size] = r["a"], r["b"]
-    return tree.value, mixer
-
-
-def _sums(slot: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(a.astype(float)), pa.array(b.astype(float))], names=["slot", "a", "b"])
-
-
-def spell(pairs: DataFrame, tree: Tree, mixer: Mixer) -> DataFrame:
-    """``pairs`` with ``spelled``, the log10 probability of each token's spelling in its class."""
-    held = pairs.sparkSession.sparkContext.broadcast((tree, mixer))  # of a fixed size
-    schema = struct("word binary, kind int, c long, total long, first boolean, spelled double")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows:
-                tree, mixer = held.value
-                tokens = Tokens(part.column(0).to_pylist(), *(np.asarray(part.column(k)).astype(np.int64) for k in (1, 2)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(mixer.score(tree, tokens))], names=schema.names)
-
-    return pairs.select("word", "kind", "c", "total", "first").mapInArrow(run, schema)
-
-
-def _gates(spelled: DataFrame, in_class: list[int], in_all: int) -> list[list[float]]:
-    """Of each class, the weights of a token's share in the class, its share in all, and its spelling."""
-    gates = [[1 / 3] * 3 if n > 1 else [0.0, 0.5, 0.5] if in_all else [0.0, 0.0, 1.0] for n in in_class]
-    without = lambda c, n: F.greatest(c - 1, F.lit(0)) / F.greatest(n - 1, F.lit(1))
-    for _ in range(EM_ROUNDS if in_all else 0):
-        gate = lambda j: _of_kind([g[j] for g in gates])  # noqa: B023, E731
-        parts = [gate(0) * without(F.col("c"), _of_kind(in_class)), gate(1) * without(F.col("total"), F.lit(in_all)), gate(2) * F.pow(F.lit(10.0), F.col("spelled"))]
-        whole = parts[0] + parts[1] + parts[2]
-        sums = spelled.where("c > 0").groupBy("kind").agg(*(F.sum(F.col("c") * p / F.greatest(whole, F.lit(1e-300))).alias(f"g{j}") for j, p in enumerate(parts)))
-        for r in sums.collect():  # one row a class
-            own = [r["g0"], r["g1"], max(r["g2"], 1e-3)]
-            if in_class[r["kind"]] > 1:
-                gates[r["kind"]] = [x / sum(own) for x in own]
-    return gates
-
-
-def _of_kind(values: list):
-    return F.element_at(F.array(*(F.lit(v) for v in values)), F.col("kind") + 1)
-
-
-def token_scores(spelled: DataFrame, gates: list[list[float]], in_class: list[int], in_all: int) -> DataFrame:
-    """``word, kind, total`` and ``s0``, ``s1``, ...: the token's log10 probability in its class under each preset."""
-    columns = []
-    for k, odds in enumerate(PRESETS):
-        own = [[g[0], g[1], g[2] * odds] for g in gates]
-        own = [[x / sum(g) for x in g] for g in own]
-        gate = lambda j: _of_kind([g[j] for g in own])  # noqa: B023, E731
-        share = gate(0) * F.col("c") / _of_kind([max(1, n) for n in in_class]) + gate(1) * F.col("total") / F.lit(max(1, in_all))
-        columns.append(F.log10(share + gate(2) * F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-300.0)))).alias(f"s{k}"))
-    return spelled.select("word", "kind", "total", *columns)
-
-
-def _frequent(pairs: DataFrame) -> DataFrame:
-    """The pairs from some count on, HOT_TOKENS at most: a threshold from a histogram, so that nothing is sorted in one task."""
-    level = F.floor(F.log2("n") * 16)
-    room, least = HOT_TOKENS, None
-    for r in sorted(pairs.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # some hundred rows
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["level"]
-    return pairs.where(F.lit(False) if least is None else level >= least)
+def escapes(spelled: DataFrame, total: int) -> DataFrame:
+    """``word, c, learned, told`` of ``spelled`` (word, c, spelled), a written table: log10 probability of an escape to be the token, from all
+    ``total`` training escapes without itself and from all; the gate is learned by expectation maximization over these occurrences."""
+    by_bytes = F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-300.0)))
+    without = (F.col("c") - 1) / F.lit(max(1, total - 1))
+    gate = 0.5 if total > 1 else 0.0
+    for _ in range(EM_ROUNDS if gate else 0):
+        part, whole = gate * without, gate * without + (1 - gate) * by_bytes
+        found = spelled.where("c > 0").agg(F.sum(F.col("c") * part / F.greatest(whole, F.lit(1e-300)))).first()[0]
+        gate = min(0.999, max(0.0, (found or 0.0) / total))
+    score = lambda share: F.greatest(F.log10(gate * share + (1 - gate) * by_bytes), F.lit(-300.0))
+    return spelled.select("word", "c", score(F.greatest(without, F.lit(0.0))).alias("learned"), score(F.col("c") / F.lit(max(1, total))).alias("told"))
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """Scores of all texts by a model of those whose crc32(id as text) mod ``modulus`` is not ``held``; see the module."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    centres = class_centres(base, modulus, held)
-    pairs = write_table(count_tokens(base, centres, modulus, held), "pairs")
-    in_class, docs_in = [0] * len(centres), [0] * len(centres)
-    for r in pairs.groupBy("kind").agg(F.sum("c").alias("c"), F.sum(F.when(F.octet_length("word") == 0, F.col("c")).otherwise(0)).alias("docs")).collect():
-        in_class[r["kind"]], docs_in[r["kind"]] = r["c"], r["docs"]
-    in_all = sum(in_class)
-    distinct = pairs.where("first AND total > 0").count()
-    unit = math.log10(in_all + distinct + 1)
-    spelled = write_table(spell(pairs, *fit(pairs)), "spelled")
-    scored = token_scores(spelled, _gates(spelled, in_class, in_all), in_class, in_all)
-
-    hot = _frequent(pairs.where(F.octet_length("word") <= HOT_BYTES)).select("word", "kind")
-    listed = scored.join(F.broadcast(hot), ["word", "kind"], "left_semi").toArrow()  # HOT_TOKENS rows at most
-    place: list[dict[bytes, int]] = [{} for _ in centres]
-    for i, (word, kind) in enumerate(zip(listed["word"].to_pylist(), listed["kind"].to_pylist(), strict=True)):
-        place[kind][word] = i
-    total = np.asarray(listed["total"]).astype(np.int64)
-    values = np.stack([(total > 0) * 1.0, np.log10(total + 1) - unit, *(np.asarray(listed[f"s{k}"]) for k in range(len(PRESETS)))], 1)
-    known = spark.sparkContext.broadcast((centres, place, np.concatenate([values, np.zeros((1, values.shape[1]))])))
-    names = [f"s{k}" for k in range(len(PRESETS))]
-    schema = struct("word binary, kind int, row long, doc_id long, held_out boolean, n_bytes long, n long, known long, base double, " + ", ".join(f"h{k} double" for k in range(len(PRESETS))))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        centres, place, values = known.value
-        cold = len(values) - 1
-        for part in parts:
-            lines = _Lines()
-            for key, body in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                data = (body.as_py() or "").encode("utf-8", "replace").lower()
-                own, kind = [*data.split(), b""], class_of(centres, data)
-                at = np.fromiter(map(place[kind].get, own, repeat(cold)), np.int64, len(own))
-                rest = np.flatnonzero(at == cold)
-                sums = values.take(at, axis=0).sum(0).tolist()
-                size = sum(map(len, own)) + len(own)
-                # The row's own line: a space can't start a token, so it joins nothing, and no two rows meet.
-                lines.head((b" " + row.to_bytes(8, "big"), kind, row, key, _remainder(key, modulus) == held, size, len(own) - len(rest), round(sums[0]), *sums[1:]))
-                lines.tail(Counter([own[i] for i in rest.tolist()]), kind, row)
-                row += 1
-                if len(lines.words) > 100_000:
-                    yield from lines.batches(schema)
-                    lines = _Lines()
-            yield from lines.batches(schema)
-
-    lines = base.mapInArrow(run, schema).join(scored, ["word", "kind"], "left")
-    found = F.col("total").isNotNull()
-    add = lambda held, what: F.sum(F.col(held) + F.when(found, what).otherwise(0))
-    sums = lines.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max(F.when(F.col("n_bytes") > 0, F.col("kind"))).alias("kind"),
-        F.sum("n_bytes").alias("n_bytes"),
-        F.sum("n").alias("n_tokens"),
-        add("known", F.when(F.col("total") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        add("base", F.col("n") * (F.log10(F.col("total") + 1) - F.lit(unit))).alias("base_score"),
-        *(add(f"h{k}", F.col("n") * F.col(f"s{k}")).alias(f"s{k}") for k in range(len(PRESETS))),
-    )
-    prior = [math.log10((n + 1) / (sum(docs_in) + len(docs_in))) for n in docs_in]
-    top = F.greatest(*names)
-    mean = sum(F.pow(F.lit(10.0), F.col(s) - top) for s in names) / len(names)
-    sums = sums.withColumn("score", top + F.log10(mean) + _of_kind(prior))
+    counts = write_table(count_tokens(base, modulus, held), "counts")
+    ends = F.sum(F.when(F.octet_length("word") == 0, F.col("c")))
+    sums = counts.agg(F.sum("c").alias("all"), F.count_if(F.col("c") > 0).alias("distinct"), ends.alias("ends")).first()
+    in_all, in_ends = sums["all"] or 0, sums["ends"] or 0
+    unit = math.log10(in_all + sums["distinct"] + 1)
+    listed, pairs = frequent(counts)
+    by_number = np.array([in_ends, *(c for _, c in pairs)], np.int64)
+    place = {b"": 0} | {w: k for k, (w, _) in enumerate(pairs, 1)}
+    numbers = spark.sparkContext.broadcast(Numbers(place, np.log10(by_number + 1.0) - unit))
+    in_escapes = in_all - int(by_number.sum())
+
+    blocks = write_table(block_table(base, numbers, modulus, held), "blocks")
+    escape = len(by_number)
+    code = Code.over(np.append(by_number, in_escapes))
+    found = mixed(blocks.select("block", "body"), lambda _, body: word_records(body, escape), code, in_all, bucket)
+
+    cold = write_table(counts.where(~listed & (F.octet_length("word") > 0)).select("word", "c"), "cold")
+    scored = escapes(write_table(spell(cold, bucket), "spelled"), in_escapes)
+    lines = blocks.select("block", F.posexplode("cold").alias("at", "word")).join(scored, "word")
+    lines = lines.select("block", "at", "c", "learned", "told")
+
+    back = found.withColumns({k: F.lit(None).cast(t) for k, t in (("at", "int"), ("c", "long"), ("learned", "double"), ("told", "double"))})
+    back = back.unionByName(lines.withColumns({k: F.lit(None).cast("binary") for k in ("owner", "score")}))
+    out = struct("doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, held, size, n_bytes, base = (left[k][0].values for k in ("ids", "held", "tokens", "bytes", "base"))
+        at, owner = (np.frombuffer(left[k][0].as_py(), "<u4").astype(np.int64) for k in ("cold_at", "cold_owner"))
+        own = right.filter(pc.is_valid(right["at"]))
+        by_place = np.zeros((4, len(left["cold"][0])))
+        for k, name in enumerate(("c", "learned", "told")):
+            by_place[k, np.asarray(own["at"])] = np.asarray(own[name])
+        add = lambda values: np.bincount(owner, weights=values, minlength=len(ids))
+        c = by_place[0].take(at)
+        told = held.to_numpy(zero_copy_only=False)[owner]
+        words = _sums(right, len(ids)) + add(np.where(told, by_place[2].take(at), by_place[1].take(at)))
+        known = np.asarray(size) - add(c == 0) if in_ends else np.zeros(len(ids))
+        bases = np.asarray(base) + add(np.log10(c + 1) - unit)
+        return pa.table([ids, held, size, pa.array(known.astype(np.int64)), n_bytes, pa.array(bases), pa.array(words)], names=out.names)
+
+    meta = blocks.drop("body", "block").columns
+    whole = blocks.select("block", *meta).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(joined, out)
     per_byte = -F.col("score") / math.log10(2) / F.col("n_bytes")
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(in_all).cast("long").alias("train_tokens"), "base_score", "score", per_byte.alias("bits_per_byte"))
-
-
-class _Lines:
-    """Output of the document pass: a line of sums per row, and a line per token that isn't in the broadcast list."""
-
-    def __init__(self):
-        self.heads: list[tuple] = []
-        self.words: list[bytes] = []
-        self.counts: list[int] = []
-        self.runs: list[tuple[int, int, int]] = []  # tokens, class and row of each run of lines
-
-    def head(self, line: tuple) -> None:
-        self.heads.append(line)
-
-    def tail(self, rest: Counter, kind: int, row: int) -> None:
-        self.words += rest.keys()
-        self.counts += rest.values()
-        self.runs.append((len(rest), kind, row))
-
-    def batches(self, schema) -> Iterator[pa.RecordBatch]:
-        sums = [pa.float64()] * (1 + len(PRESETS))
-        kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *sums]
-        if self.heads:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.heads, strict=True), kinds, strict=True)], names=schema.names)
-        n = len(self.words)
-        if n:
-            size, kind, row = np.array(self.runs, np.int64).T
-            zero = pa.array(np.zeros(n, np.int64))
-            plain = [pa.array(self.words, pa.binary()), pa.array(np.repeat(kind, size).astype(np.int32)), pa.array(np.repeat(row, size)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), zero]
-            yield pa.RecordBatch.from_arrays([*plain, pa.array(self.counts, pa.int64()), zero, *[pa.array(np.zeros(n))] * len(sums)], names=schema.names)
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(in_all).cast("long").alias("train_tokens"), "base_score", "score", per_byte.alias("bits_per_byte"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,10 @@
-"""Language identification, toxicity, language-model scores."""
-
-import math
-import zlib
-from collections import Counter
+"""Language identification and toxicity."""
 
 import numpy as np
 from pyspark.sql import functions as F
 from texts import sentences
 
-from plumbline.llm import op2_mixing, op6_language, op7_toxicity
+from plumbline.llm import op6_language, op7_toxicity
 
 
 def test_language(spark, docs):
@@ -62,95 +58,3 @@ def test_toxicity(spark):
     # No language or other column is an input.
     again = docs.withColumn("lang", F.lit(None).cast("string"))
     assert [r["p"] for r in again.select(op7_toxicity.predictor(spark, net)("text").alias("p")).collect()] == [r["p"] for r in got]
-
-
-def test_scores_by_brute_force(spark, docs):
-    got = {}
-    for r in op2_mixing.score(docs).collect():
-        got.setdefault(r["doc_id"], []).append(r)
-    counts, rows = Counter(), docs.select("doc_id", "text").collect()
-    for key, text in rows:
-        if zlib.crc32(b"" if key is None else str(key).encode()) % 7 != 2:
-            counts.update([*op2_mixing.tokens(text), b""])
-    n, v = sum(counts.values()), len(counts)
-    assert sum(map(len, got.values())) == len(rows)
-    for key, text in rows:
-        own = [*op2_mixing.tokens(text), b""]
-        base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in own)
-        for r in got[key]:
-            if r["n_tokens"] == len(own):
-                assert r["n_known"] == sum(counts[t] > 0 for t in own) and r["train_tokens"] == n
-                assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
-                assert r["held_out"] == (zlib.crc32(b"" if key is None else str(key).encode()) % 7 == 2)
-        assert any(r["n_tokens"] == len(own) for r in got[key])
-
-
-def test_spelling_is_a_distribution():
-    """The probabilities of all ways to go on add up to one, whatever came before."""
-    words = [b"abc", b"abd", b"b", b""]
-    held = op2_mixing.Tokens(words, np.zeros(4, np.int64), np.array([5, 3, 2, 4]))
-    counts = np.zeros(256)
-    for data, owner, _, own, _, _ in held.chunks():
-        counts += np.bincount(data, weights=own[owner], minlength=256)
-    tree = op2_mixing.Tree.over(counts)
-    table = np.zeros((2, op2_mixing.CONTEXTS << op2_mixing.SLOT_BITS))
-    op2_mixing.count_slots(tree, held, table)
-    mixer = op2_mixing.Mixer.fresh(table.astype(np.float32))
-    mixer.learn(tree, held)
-
-    def one_more(prefix):
-        longer = [prefix + bytes([b]) for b in range(256) if b != 32]
-        score = lambda ws: 10 ** mixer.score(tree, op2_mixing.Tokens(ws, np.zeros(len(ws), np.int64), np.ones(len(ws))))
-        return score([prefix])[0], longer, score
-
-    end, longer, score = one_more(b"")
-    # P(end here) + sum over first bytes of P(byte) = 1; P(byte) = P(word of it) / P(close after it)
-    first = 0.0
-    for w in longer:
-        close, _, _ = one_more(w)
-        alone = score([w])[0]
-        first += alone / (alone / _byte_probability(mixer, tree, w)) if alone else 0.0
-    assert math.isclose(end + first, 1.0, rel_tol=1e-6)
-
-
-def _byte_probability(mixer, tree, word):
-    """Probability of a word's first byte alone."""
-    data, owner = np.frombuffer(word + b" ", np.uint8), np.zeros(len(word) + 1, np.int64)
-    total = 1.0
-    for at, branch, slot, d in op2_mixing.decisions(tree, data, owner, np.zeros(1, np.int64)):
-        odds, gate = mixer.inputs(slot, d, None)
-        p = mixer.refined(mixer.mix(odds, gate).astype(np.float64), gate)
-        for k in np.flatnonzero(at == 0):
-            total *= p[k] if branch[k] else 1 - p[k]
-    return total
-
-
-def test_scores_of_nothing(none):
-    assert op2_mixing.score(none).count() == 0
-
-
-def test_long_tokens_come_in_parts(monkeypatch):
-    """Cutting a token changes neither counts nor its score."""
-    rng = np.random.default_rng(1)
-    words = [bytes(rng.integers(97, 103, n).astype(np.uint8)) for n in (3, 700, 40, 1500)]
-    held = op2_mixing.Tokens(words, np.zeros(4, np.int64), np.array([1, 2, 3, 1]))
-    tree = op2_mixing.Tree.over(np.ones(256))
-    seen = []
-    for size in (1 << 16, 100):
-        monkeypatch.setattr(op2_mixing, "CHUNK_BYTES", size)
-        table = np.zeros((2, op2_mixing.CONTEXTS << op2_mixing.SLOT_BITS))
-        op2_mixing.count_slots(tree, held, table)
-        seen.append((table, op2_mixing.Mixer.fresh(table.astype(np.float32)).score(tree, held)))
-    assert (seen[0][0] == seen[1][0]).all()
-    assert np.allclose(seen[0][1], seen[1][1], rtol=1e-9)
-
-
-def test_held_out_texts_make_no_class_centres(spark, docs, monkeypatch):
-    seen = []
-    real = op2_mixing.centres_of
-    monkeypatch.setattr(op2_mixing, "centres_of", lambda shares: seen.append(shares) or real(shares))
-    base = docs.select("doc_id", "text")
-    op2_mixing.class_centres(base, 7, 2)
-    train = [t for k, t in base.collect() if op2_mixing._remainder(k, 7) != 2]
-    expected = sorted(op2_mixing.pair_shares((t or "").encode().lower()).tobytes() for t in train)
-    assert len(train) < docs.count() and sorted(s.tobytes() for s in seen[0]) == expected
