@@ -25,15 +25,18 @@ class WordBpe:
 
     Words repeat, so a column is cut and numbered in Arrow and each distinct word is encoded
     once; marks after a word's last letter are encoded apart, which is what the tokenizer's own
-    pattern does.  The ids equal those of the plain call.
+    pattern does.  Texts that hold one of the tokenizer's added tokens, which it finds before
+    anything else and only as written, take the plain call.  The ids equal those of the plain call.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        self.inner.encode_special_tokens = True  # lowering case may make an added token of other text
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
 
     def _plain(self, words: list[str]) -> list[bytes]:
@@ -61,6 +64,20 @@ class WordBpe:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column without nulls, one after the other, and where each text begins and ends."""
+        plain = functools.reduce(pc.or_, (pc.match_substring(texts, a) for a in self.added)) if self.added else None
+        if plain is None or not pc.any(plain).as_py():
+            return self._by_words(texts)
+        ids, cuts = self._by_words(pc.if_else(plain, "", texts))
+        parts, place = [], np.flatnonzero(np.asarray(plain))
+        at = 0
+        for k in place.tolist():
+            parts += [ids[at : cuts[k]], np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint16)]
+            at = cuts[k]
+        sizes = np.diff(cuts)
+        sizes[place] = [len(p) for p in parts[1::2]]
+        return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # ASCII letters and ASCII white space alone

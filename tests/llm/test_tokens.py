@@ -20,7 +20,6 @@ TRICKY = [
 
 def test_word_ids_equal_the_plain_call():
     plain = Tokenizer.from_file(public(WORD))
-    plain.encode_special_tokens = True
     bpe = word_bpe(public(WORD))
     for _ in range(2):  # empty cache, then filled
         ids, cuts = bpe.encode(pa.array(TRICKY))
