@@ -18,6 +18,7 @@ import numpy as np
 
 ROW = 64
 MOST_ROWS = 8191
+IMAGE_BYTES = ROW * MOST_ROWS
 
 # Zigzag-free quantizer, DC code lengths and symbols of the public JPEG standard (annex K.3.1).
 DC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
@@ -123,6 +124,15 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return images
 
 
+def images_of(stream: bytes) -> list[tuple[int, int]]:
+    """Where each image of a stream begins and ends: an image ends with an EOI that a further SOI or nothing follows (in coded bytes FF is never followed by D9)."""
+    cuts, at = [0], 0
+    while (at := stream.find(b"\xff\xd9\xff\xd8\xff", at)) >= 0:
+        at += 2
+        cuts.append(at)
+    return list(zip(cuts, [*cuts[1:], len(stream)], strict=True))
+
+
 @dataclass
 class _Image:
     width: int = 0

@@ -3,6 +3,9 @@
 ``with_media`` works for any DataFrame: a null payload counts as empty, empty payloads are
 one row of zero bytes, repeated rows repeat their results, other columns pass through and a
 clash of names is settled in favour of the new columns.  No row depends on another.
+
+Payloads are coded and read back image by image, some at a time, so a worker holds a text,
+its stream and the arrays of a bounded block, however long the text.
 """
 
 from __future__ import annotations
@@ -26,16 +29,28 @@ FEATURES = "width int, height int, images int, thumb_hash string"
 MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def folded(held: int, grid) -> int:
+    """The hash of a stream's thumbnails so far with the next one; equal images don't cancel each other."""
+    return ((held << 1 | held >> 63) & (1 << 64) - 1) ^ jpeg.thumbnail_hash(grid)
+
+
 def features(streams: list[bytes | None]) -> list[tuple[int, int, int, str] | None]:
     """Width, total height, number of images and thumbnail hash of each JPEG stream; None where it can't be read."""
-    whole = [i for i, s in enumerate(streams) if s]
     out: list[tuple[int, int, int, str] | None] = [None] * len(streams)
-    for i, images in zip(whole, jpeg.decode([streams[i] for i in whole]), strict=True):
-        if images:
-            hashes = 0
-            for _, _, grid in images:
-                hashes ^= jpeg.thumbnail_hash(grid)
-            out[i] = (max(x[0] for x in images), sum(x[1] for x in images), len(images), f"{hashes:016x}")
+    cuts = [(jpeg.images_of(s) if len(s) > BLOCK_BYTES else [(0, len(s))]) if s else None for s in streams]
+    pieces = [(i, streams[i][a:b]) for i, found in enumerate(cuts) if found for a, b in found]
+    held: dict[int, list | None] = {}
+    for run in blocks([p for _, p in pieces], BLOCK_BYTES):
+        for (i, _), images in zip([pieces[k] for k in run], jpeg.decode([pieces[k][1] for k in run]), strict=True):
+            sums = held.setdefault(i, [0, 0, 0, 0])
+            if not images or sums is None:
+                held[i] = None
+                continue
+            for width, height, grid in images:
+                sums[:] = max(sums[0], width), sums[1] + height, sums[2] + 1, folded(sums[3], grid)
+    for i, sums in held.items():
+        if sums is not None:
+            out[i] = (*sums[:3], f"{sums[3]:016x}")
     return out
 
 
@@ -45,24 +60,36 @@ def jpeg_features(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in FEATURES.split(", ")]
     for part in parts:
         streams = [None if s is None else bytes(s) for s in part]
-        found = []
-        for run in blocks([s or b"" for s in streams], BLOCK_BYTES):
-            found += features([streams[i] for i in run])
-        yield pd.DataFrame([x or (None,) * 4 for x in found], columns=names).astype({"width": "Int32", "height": "Int32", "images": "Int32"})
+        yield pd.DataFrame([x or (None,) * 4 for x in features(streams)], columns=names).astype({"width": "Int32", "height": "Int32", "images": "Int32"})
+
+
+def _coded(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts as images, in blocks: (text of each image, in order, its stream)."""
+    pieces = []
+    for i, text in enumerate(texts):
+        payload = jpeg.pad((text or "").encode())
+        pieces += [(i, payload[a : a + jpeg.IMAGE_BYTES]) for a in range(0, len(payload), jpeg.IMAGE_BYTES)]
+    for run in blocks([p for _, p in pieces], BLOCK_BYTES):
+        yield [pieces[k][0] for k in run], jpeg.encode([pieces[k][1] for k in run])
 
 
 def _stored(texts: list[str | None]) -> list[tuple]:
-    payloads = [(t or "").encode() for t in texts]
-    sizes = [len(p) for p in payloads]
-    media = jpeg.encode([jpeg.pad(p) for p in payloads])
+    back, media = ([hashlib.sha256() for _ in texts] for _ in range(2))
+    sizes, stored, images, tails, thumbs, height, width = ([0] * len(texts) for _ in range(7))
+    for owners, streams in _coded(texts):
+        for i, stream, ((wide, high, grid),) in zip(owners, streams, jpeg.decode(streams), strict=True):
+            data = grid.tobytes()
+            back[i].update(data)
+            media[i].update(stream)
+            sizes[i] += len(data)
+            stored[i] += len(stream)
+            images[i] += 1
+            tails[i], thumbs[i], width[i] = zlib.crc32(data[-64:]), folded(thumbs[i], grid), wide
+            height[i] += high
     rows = []
-    for n, stream, images in zip(sizes, media, jpeg.decode(media), strict=True):
-        back = b"".join(grid.tobytes() for _, _, grid in images)
-        thumbs = 0
-        for _, _, grid in images:
-            thumbs ^= jpeg.thumbnail_hash(grid)
-        feature = f"{images[0][0]}x{sum(x[1] for x in images)}:{len(images)}:{thumbs:016x}"
-        rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature))
+    for i, text in enumerate(texts):
+        feature = f"{width[i]}x{height[i]}:{images[i]}:{thumbs[i]:016x}"
+        rows.append((len((text or "").encode()), sizes[i], back[i].hexdigest(), tails[i], stored[i], media[i].hexdigest(), feature))
     return rows
 
 
@@ -70,10 +97,11 @@ def _stored(texts: list[str | None]) -> list[tuple]:
 def to_jpeg(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Column function: the JPEG stream that holds a text's padded UTF-8 bytes; a null counts as empty."""
     for part in parts:
-        payloads, out = [jpeg.pad((t or "").encode()) for t in part], []
-        for run in blocks(payloads, BLOCK_BYTES):
-            out += jpeg.encode([payloads[i] for i in run])
-        yield pd.Series(out)
+        streams: list[list[bytes]] = [[] for _ in part]
+        for owners, found in _coded(list(part)):
+            for i, stream in zip(owners, found, strict=True):
+                streams[i].append(stream)
+        yield pd.Series([b"".join(s) for s in streams], dtype=object)
 
 
 @F.pandas_udf(struct(MEDIA))
@@ -81,10 +109,7 @@ def media_digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Column function: what is read back from a text's JPEG stream, as digests, and its features."""
     names = [x.split()[0] for x in MEDIA.split(", ")]
     for part in parts:
-        texts, out = list(part), []
-        for run in blocks([(t or "").encode() for t in texts], BLOCK_BYTES):
-            out += _stored([texts[i] for i in run])
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(_stored(list(part)), columns=names)
 
 
 def with_media(df: DataFrame, text: str = "text") -> DataFrame:

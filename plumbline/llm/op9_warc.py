@@ -4,9 +4,12 @@
 members) and returns, per response record, a ``metadata`` and a ``conversion`` record as rows.
 Both keep the identifier they refer to, the target, its date, the source's headers and its
 digests; new identifiers are name-based on (source identifier, type), so a rerun gives the
-same.  Null, empty or broken bytes give no rows beyond those of the records before the
-break; a record without a body gives an empty text.  Extra columns are ignored; the key
-column may be null or repeat.
+same.  Bodies are taken out of their transfer coding (chunked) and content coding (gzip,
+deflate) first; what breaks off or has another coding is taken as far as it can be read, and
+an unknown charset as UTF-8.  Null, empty or broken bytes give no rows beyond those of the
+records before the break; a record without a body gives an empty text.  Tags are found in one
+pass, so the time is in proportion to a page.  Extra columns are ignored; the key column may be
+null or repeat.
 """
 
 from __future__ import annotations
@@ -33,33 +36,96 @@ COLUMNS = (
     "content_type string, source_headers string, source_payload_digest string, block_digest string, content_length long, block string"
 )
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|ul|ol|li|table|tr|article|section|nav|header|footer|blockquote|pre|form|main|aside)|br|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
+_TITLE = re.compile(r"<title[^>]*>([^<]*)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
+#: A comment's start, or a whole tag: its slash, name and rest.
+_MARK = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9]*)?([^<>]*)>")
+#: Elements whose content is no text, and those that begin a line.
+HIDDEN = frozenset("script style noscript template svg head".split())
+LINES = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li table tr article section nav header footer blockquote pre form main aside br hr".split())
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[^\n]*\n")
 
 
 def plain_text(page: str) -> str:
-    """Visible text: no scripts, styles, heads or comments; a line per block; entities resolved; blanks collapsed."""
-    body = _TAG.sub("", _BREAK.sub("\n", _DROP.sub("", page.replace("\x00", ""))))
+    """Visible text: no scripts, styles, heads or comments; a line per block; entities resolved; blanks collapsed.
+
+    A hidden element or a comment that is never closed hides nothing.
+    """
+    page = page.replace("\x00", "")
+    closes = {name: [m.start() for m in re.finditer(f"</{name}\\s*>", page, re.I)] for name in HIDDEN}
+    used = dict.fromkeys(HIDDEN, 0)
+    last_comment = page.rfind("-->")
+    parts, at, k = [], 0, 0
+    while m := _MARK.search(page, k):
+        k = m.end()
+        if m[0] == "<!--":
+            if k > last_comment:
+                parts.append(page[at : m.start()])
+                at = k
+                continue
+            end = page.find("-->", k) + 3
+            parts.append(page[at : m.start()])
+            at = k = end
+            continue
+        parts.append(page[at : m.start()])
+        at, name = k, (m[2] or "").lower()
+        if name in HIDDEN and not m[1]:
+            held, i = closes[name], used[name]
+            while i < len(held) and held[i] < k:
+                i += 1
+            used[name] = i
+            if i < len(held):
+                at = k = page.index(">", held[i]) + 1
+        elif name in LINES:
+            parts.append("\n")
+    body = "".join([*parts, page[at:]])
     return _LINES.sub("\n", _BLANK.sub(" ", entities.unescape(body))).strip()
 
 
+def links(page: str) -> list[str]:
+    """Targets of the page's links, each once."""
+    found = (_HREF.search(m[3]) for m in _MARK.finditer(page) if m[2] and m[2].lower() == "a" and not m[1])
+    return list(dict.fromkeys(f[1] for f in found if f))
+
+
+def unpacked(data: bytes) -> bytes:
+    """The gzip members or the deflate stream in ``data``, as far as they can be read."""
+    parts = []
+    while data:
+        found = b""
+        for bits in (47, -15):  # gzip or zlib header, or none
+            unpack = zlib.decompressobj(bits)
+            try:
+                found = unpack.decompress(data)
+                break
+            except zlib.error:
+                found = b""
+        parts.append(found)
+        if not unpack.eof or data[:2] != b"\x1f\x8b":
+            break
+        data = unpack.unused_data
+    return b"".join(parts)
+
+
+def body_of(source: dict[str, str], payload: bytes) -> bytes:
+    """The body of a response without its transfer and content codings."""
+    if "chunked" in source.get("transfer-encoding", "").lower():
+        parts, at = [], 0
+        while (m := _CHUNK.match(payload, at)) and (n := int(m[1], 16)):
+            parts.append(payload[m.end() : m.end() + n])
+            at = m.end() + n
+            at += 2 if payload[at : at + 2] == b"\r\n" else payload[at : at + 1] == b"\n"
+        payload = b"".join(parts) if parts or _CHUNK.match(payload) else payload
+    coding = source.get("content-encoding", "").lower()
+    return (unpacked(payload) or payload) if "gzip" in coding or "deflate" in coding else payload
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each WARC record; ends at the first broken one."""
     if data[:2] == b"\x1f\x8b":
-        members = []
-        while data[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-            try:
-                members.append(unpack.decompress(data))
-            except zlib.error:
-                break
-            data = unpack.unused_data
-        data = b"".join(members)
+        data = unpacked(data)
     at = 0
     while (at := at + len(data[at : at + 4]) - len(data[at : at + 4].lstrip(b"\r\n"))) < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -67,7 +133,7 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         head = _headers(data[at:end].decode("utf-8", "replace").split(CRLF)[1:])
         size = head.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
+        if not re.fullmatch(r"[0-9]{1,18}", size) or end + 4 + int(size) > len(data):
             return
         yield head, data[end + 4 : end + 4 + int(size)]
         at = end + 4 + int(size)
@@ -99,17 +165,18 @@ def derived(head: dict[str, str], block: bytes) -> Iterator[tuple]:
     else:
         status, source, payload = "", {}, block
     charset = re.search(r"charset=[\"']?([\w.:-]+)", source.get("content-type", ""))
+    body = body_of(source, payload)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):  # unknown, or no text coding
+        page = body.decode("utf-8", "replace")
     source_id = head.get("warc-record-id", "")
     kept = json.dumps({"status": status, **source}, sort_keys=True, ensure_ascii=False)
     title = _TITLE.search(page)
     fields = [f"http-status: {status}", *(f"source-{k}: {v}" for k, v in sorted(source.items()))]
     if title:
         fields.append("title: " + _BLANK.sub(" ", entities.unescape(title[1])).replace("\n", " ").strip())
-    fields += [f"outlink: {entities.unescape(x)}" for x in dict.fromkeys(_LINK.findall(page))]
+    fields += [f"outlink: {entities.unescape(x)}" for x in links(page)]
     for kind, media, text in (
         ("metadata", "application/warc-fields", "".join(f + CRLF for f in fields)),
         ("conversion", "text/plain; charset=utf-8", plain_text(page)),

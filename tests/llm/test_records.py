@@ -119,6 +119,28 @@ def with_ac_terms(levels, width):
     )
 
 
+def test_long_texts_are_coded_in_blocks():
+    """A text of several images takes memory for blocks of them, gives what it would give at once, and equal images leave a trace."""
+    import hashlib
+    import tracemalloc
+    import zlib
+
+    text = "".join(random.Random(2).choices("abcdefgh é", k=3 * jpeg.IMAGE_BYTES))
+    padded = jpeg.pad(text.encode())
+    (whole,) = jpeg.encode([padded])
+    tracemalloc.start()
+    (row,) = op5_media._stored([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row[:3] == (len(text.encode()), len(padded), hashlib.sha256(padded).hexdigest()) and row[3] == zlib.crc32(padded[-64:])
+    assert row[4:6] == (len(whole), hashlib.sha256(whole).hexdigest())
+    assert peak < 200e6
+    (found,) = op5_media.features([whole])
+    assert row[6] == f"{found[0]}x{found[1]}:{found[2]}:{found[3]}" and found[2] == len(jpeg.images_of(whole)) == 4
+    same = jpeg.encode([bytes(range(255, -1, -1)) * (jpeg.IMAGE_BYTES // 128)])[0]
+    assert op5_media.features([same])[0][2] == 2 and int(op5_media.features([same])[0][3], 16)
+
+
 def test_jpeg_with_ac_terms():
     levels = [random.Random(k).randint(-128, 127) for k in range(6 * 5)]
     stream = with_ac_terms(levels, 6)
@@ -235,3 +257,58 @@ def test_warc_streams(spark, pack):
 def test_thumbnails_differ():
     a, b = np.arange(64, dtype=np.uint8).reshape(8, 8), np.arange(64, dtype=np.uint8)[::-1].reshape(8, 8)
     assert jpeg.thumbnail_hash(a) != jpeg.thumbnail_hash(b)
+
+
+def test_warc_bodies_as_they_come():
+    """Codings are undone, bad charsets and lengths don't break a run, and time is in proportion to a page."""
+    import gzip
+    import time
+    import zlib
+
+    def response(http, body, size=None):
+        block = b"HTTP/1.1 200 OK\r\n" + http + b"\r\n\r\n" + body
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Type: application/http\r\nContent-Length: " + (size or str(len(block)).encode()) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    def text(http, body):
+        ((head, block),) = op9_warc.records(response(http, body))
+        return [r[-1] for r in op9_warc.derived(head, block)][1]
+
+    html = "<p>hello</p> é".encode()
+    chunked = b"5;x=1\r\n" + html[:5] + b"\r\n" + f"{len(html) - 5:X}".encode() + b"\r\n" + html[5:] + b"\r\n0\r\n\r\n"
+    want = "hello\né"
+    assert text(b"X: y", html) == text(b"Transfer-Encoding: chunked", chunked) == want
+    assert text(b"Content-Encoding: gzip", gzip.compress(html[:9]) + gzip.compress(html[9:])) == want
+    assert text(b"Content-Encoding: deflate", zlib.compress(html)) == text(b"Content-Encoding: deflate", zlib.compress(html)[2:-4]) == want
+    both = gzip.compress(html)
+    assert text(b"Transfer-Encoding: Chunked\r\nContent-Encoding: GZIP", f"{len(both):x}\r\n".encode() + both + b"\r\n0\r\n\r\n") == want
+    assert text(b"Transfer-Encoding: chunked", html) == text(b"Content-Encoding: br", html) == text(b"Content-Encoding: gzip", html) == want
+    assert text(b"Content-Encoding: gzip", gzip.compress(html * 2000)[:-20]).startswith("hello")
+    for charset in (b"undefined", b"nope", b"hex", b"idna", b"utf-8"):
+        assert text(b"Content-Type: text/html; charset=" + charset, b"<p>a</p>b") == "a\nb"
+    assert text(b"Content-Type: text/html; charset=latin-1", b"\xe9") == "é"
+    for size in ("²".encode(), b"-1", b"", b"9" * 30, b"99999"):
+        assert list(op9_warc.records(response(b"X: y", html, size) if size else b"WARC/1.1\r\n\r\nx")) == []
+    began = time.time()
+    for page in ("<svg>" * 200_000, "<!--" * 200_000, "<" * 500_000, "<a href=" * 200_000, "<script></script >" * 50_000, "<title>" * 100_000):
+        op9_warc.plain_text(page)
+        op9_warc.links(page)
+    assert time.time() - began < 20
+
+
+def test_plain_text_by_regular_expressions():
+    """The one-pass text equals the plain way, for pages whose elements are closed."""
+    import html
+    import re
+
+    rng = random.Random(3)
+
+    def slow(page):
+        body = re.sub(r"<!--.*?-->|<(script|style|noscript|template|svg|head)\b[^>]*>.*?</\1\s*>", "", page, flags=re.S | re.I)
+        body = re.sub(r"</?(?:p|div|h[1-6]|li|br|td)\b[^>]*>", lambda m: "" if "td" in m[0] else "\n", body, flags=re.I)
+        body = html.unescape(re.sub(r"<[^>]*>", "", body))
+        return re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\v\xa0]+", " ", body)).strip()
+
+    parts = ["word ", "&amp; ", "<p>", "</p>", "<div class='x'>", "</DIV>", "<br/>", "<b>", "</b>", "<script>if (a < b) {}</script>", "<style>p {}</style >", "<!-- no <p> -->", "\n", "<td>", "<SVG x=1><g/></SVG>", "<h2>", "</h2>"]
+    for _ in range(300):
+        page = "".join(rng.choices(parts, k=30))
+        assert op9_warc.plain_text(page) == slow(page)
