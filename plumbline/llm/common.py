@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,27 +17,86 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: The shuffles of a written table are not needed once it is there; this takes their files away.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share, ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; a cluster has to name one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage and is computed once.
 
-    The files stay until the application's folder ``<shared>/<application id>`` is removed.
+    The files stay until ``drop_table`` or until the application's folder ``<shared>/<application id>`` is removed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def again(df: DataFrame) -> DataFrame:
+    """A table that ``write_table`` made, as a source of its own, for a join with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._written)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``write_table`` made and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(rows: DataFrame, kind: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each ``kind``, those of the smallest ``draw`` (a hash); rows equal in both count once.
+
+    The rows that can be among them are found by a threshold first, from a histogram of the draws, so that no kind is sorted whole.
+    """
+    cell = F.shiftrightunsigned("draw", 48)
+    levels = rows.groupBy(kind, F.floor(cell.cast("double") / 64).alias("level")).agg(F.approx_count_distinct("draw").alias("n"))
+    upto = Window.partitionBy(kind).orderBy("level")
+    least = levels.select(kind, "level", F.sum("n").over(upto).alias("n")).groupBy(kind).agg(F.min(F.when(F.col("n") >= 2 * most, F.col("level"))).alias("last"))
+    last = least.where("last IS NOT NULL")
+    found = rows.join(F.broadcast(last), kind, "left").where(F.col("last").isNull() | (F.floor(cell.cast("double") / 64) <= F.col("last"))).drop("last")
+    rank = free_name(rows, "rank")
+    own = Window.partitionBy(kind).orderBy(F.shiftrightunsigned("draw", 1), "draw")
+    return found.dropDuplicates([kind, "draw"]).withColumn(rank, F.row_number().over(own)).where(F.col(rank) <= most).drop(rank)
+
+
+def added(parts: DataFrame, pieces: int = 64) -> DataFrame:
+    """Sums of arrays of numbers that tasks have cut into ``pieces``: ``piece, numbers`` (packed 64-bit numbers), a row for each piece."""
+    schema = struct("piece long, numbers binary")
+
+    def total(table: pa.Table) -> pa.Table:
+        numbers = sum(np.frombuffer(x, np.int64) for x in table["numbers"].to_pylist())
+        return pa.table({"piece": table["piece"][:1], "numbers": pa.array([numbers.tobytes()], pa.binary())})
+
+    return parts.groupBy("piece").applyInArrow(total, schema)
+
+
+def in_pieces(numbers: np.ndarray, pieces: int = 64) -> pa.RecordBatch:
+    """An array of 64-bit numbers for ``added``."""
+    cut = [x.astype(np.int64).tobytes() for x in np.array_split(numbers, pieces)]
+    return pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int64()), pa.array(cut, pa.binary())], names=["piece", "numbers"])
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -76,7 +137,7 @@ def runs(sizes, limit: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 
 
 def struct(columns: str) -> T.StructType:

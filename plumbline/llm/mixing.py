@@ -3,8 +3,8 @@
 A symbol is a path of binary decisions through a Huffman tree.  Each decision is predicted by
 the symbol's overall counts and by four hashed contexts: something near, and the last one, two
 and four symbols.  A context's slot holds how often each branch was taken there; the log odds
-of all are mixed by weights of a gate, which is chosen by how much the three longer contexts
-have seen, and the mix is refined by an adaptive probability map.  Weights and map are learned
+of all are mixed by weights of a gate, which is chosen by how much the other three contexts
+have seen and by whether something near is known, and the mix is refined by an adaptive probability map.  Weights and map are learned
 online: a batch of decisions is predicted, then learned.  A training symbol is predicted from
 the counts without itself, as if it came last; the others from all counts.
 
@@ -29,20 +29,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.llm.common import struct
+from plumbline.llm.common import added, in_pieces, struct, write_table
 
 #: Training records of a bucket, and bounds of the number of cells that are counted for the layout.
-BUCKET, LEAST_CELLS, MOST_CELLS = 1 << 19, 1 << 12, 1 << 20
+BUCKET, LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 12, 1 << 20
 CONTEXTS = 4  # near, one, two and four symbols back
 INPUTS = CONTEXTS + 2  # the overall counts and a constant
 LEVELS = 4
-GATES, MAP_STEPS = LEVELS**3, 33
+GATES, MAP_STEPS = 2 * LEVELS**3, 33
+#: ``near`` where there is none, and the length from which on planes are compressed apart.
+NONE, SHORT_PLANE = 0xFFFF, 1024
 START_WEIGHTS = (0.35, 0.0, 0.45, 0.3, 0.35, 0.4)
 CLOSE, RATE, MAP_PRIOR = 0.4, 0.3, 30
 BATCH = 4096  # records that are predicted before they are learned
-SEEN_BITS, LEAST_SLOTS, MOST_SLOTS = 21, 18, 23
+SEEN_BITS, LEAST_SLOTS, MOST_SLOTS = 21, 20, 23
 LEAST_P = 1e-6
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -109,7 +110,7 @@ class Code:
 
 @dataclass
 class Records:
-    """Symbols with their contexts: ``near``, ``one`` (the symbol before), ``two`` (that before it), ``more`` (24 bits of those before these)."""
+    """Symbols with their contexts: ``near``, ``one`` (the symbol before), ``two`` (that before it), ``more`` (16 bits of those before these)."""
 
     symbol: np.ndarray
     held: np.ndarray  # not learned
@@ -119,31 +120,51 @@ class Records:
     more: np.ndarray
     owner: np.ndarray  # whose probability it adds to; rising
 
-    def take(self, at: np.ndarray) -> Records:
-        return Records(*(getattr(self, k).take(at) for k in self.__dataclass_fields__))
+    def take(self, at: np.ndarray | slice) -> Records:
+        return Records(*(getattr(self, k)[at] for k in self.__dataclass_fields__))
 
     def pack(self) -> bytes:
-        n = len(self.symbol)
-        owner = np.diff(self.owner, prepend=0)
-        columns = [(self.symbol.astype("<u4") << 1) | self.held, self.near.astype("<u2"), self.one.astype("<u4"), self.two.astype("<u4"), self.more.astype("<u4"), owner.astype("<u4")]
-        planes = b"".join(np.ascontiguousarray(c.astype(c.dtype).view(np.uint8).reshape(n, -1).T).tobytes() for c in columns)
-        return n.to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+        columns = [(self.symbol.astype("<u4") << 1) | self.held, *(getattr(self, k).astype(t) for k, t in _COLUMNS), np.diff(self.owner, prepend=0).astype("<u4")]
+        return len(self.symbol).to_bytes(4, "little") + pack(columns)
 
     @staticmethod
     def unpack(packs: list[bytes]) -> tuple[Records, np.ndarray]:
         """All records of several packs, and how many each has."""
-        found, sizes = [], []
-        for pack in packs:
-            n, at, columns = int.from_bytes(pack[:4], "little"), 0, []
-            data = np.frombuffer(pa.decompress(pack[4:], 22 * n, "zstd"), np.uint8)
-            for width in (4, 2, 4, 4, 4, 4):
-                columns.append(np.ascontiguousarray(data[at : at + width * n].reshape(width, n).T).view(f"<u{width}").ravel())
-                at += width * n
-            columns[-1] = np.cumsum(columns[-1].astype(np.int64))
-            found.append(columns)
-            sizes.append(n)
-        symbol, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
-        return Records((symbol >> 1).astype(np.int64), (symbol & 1).astype(bool), *rest), np.array(sizes)
+        sizes = [int.from_bytes(p[:4], "little") for p in packs]
+        kinds = ["<u4", *(t for _, t in _COLUMNS), "<u4"]
+        found = [unpack(p[4:], [(n, t) for t in kinds]) for p, n in zip(packs, sizes, strict=True)]
+        owner = np.concatenate([np.cumsum(x[-1].astype(np.int64)) for x in found])
+        symbol, *rest = (np.concatenate(c) for c in list(zip(*found, strict=True))[:-1])
+        return Records((symbol >> 1).astype(np.int64), (symbol & 1).astype(bool), *rest, owner), np.array(sizes)
+
+
+_COLUMNS = (("near", "<u2"), ("one", "<u4"), ("two", "<u4"), ("more", "<u2"))
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Numbers by planes of bytes; each plane is compressed alone, as each has frequencies of its own, unless they are short."""
+    planes = [p for c in columns for p in np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T] if len(columns[0]) else []
+    if len(columns[0]) < SHORT_PLANE:
+        planes = [np.concatenate(planes)] if planes else []
+    found = [pa.compress(p.tobytes(), "zstd", asbytes=True) for p in planes]
+    return np.array([len(f) for f in found], "<u4").tobytes() + b"".join(found)
+
+
+def unpack(data: bytes, columns: list[tuple[int, str]]) -> list[np.ndarray]:
+    """Columns of these lengths and types."""
+    widths = [np.dtype(t).itemsize for _, t in columns]
+    if not columns[0][0]:
+        return [np.zeros(0, t) for _, t in columns]
+    sizes = [n for (n, _), w in zip(columns, widths, strict=True) for _ in range(w)]
+    if columns[0][0] < SHORT_PLANE:
+        sizes = [sum(sizes)]
+    ends = np.cumsum([4 * len(sizes), *np.frombuffer(data, "<u4", len(sizes))]).tolist()
+    raw = np.concatenate([np.frombuffer(pa.decompress(data[a:b], n, "zstd"), np.uint8) for a, b, n in zip(ends, ends[1:], sizes, strict=False)])
+    out, at = [], 0
+    for (n, t), width in zip(columns, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + width * n].reshape(width, n).T).view(t).ravel())
+        at += width * n
+    return out
 
 
 def _level(seen: np.ndarray) -> np.ndarray:
@@ -166,10 +187,11 @@ class Mixer:
         two = mix(one + r.two.astype(np.uint64) * _K[3])
         four = mix(two + r.more.astype(np.uint64) * _K[4])
         near = mix(r.near.astype(np.uint64) + _K[1])
-        keys, training = [near, one, two, four], ~r.held
+        keys, training, known = [near, one, two, four], ~r.held, r.near != NONE
         asks, alone = zip(*(_shared(key, training) for key in keys[1:]), strict=True)
+        asks, alone = [known, *asks], [np.zeros(len(known), bool), *alone]
         ident = mix((near ^ r.symbol.astype(np.uint64)) * _K[2] ^ one)
-        for key, own in zip(keys[1:], asks, strict=True):  # a context that no other has tells nothing, so records that differ in it alone are equal
+        for key, own in zip(keys[1:], asks[1:], strict=True):  # a context that no other has tells nothing, so records that differ in it alone are equal
             ident ^= np.where(own, key, np.uint64(0))
         ident = mix(ident) >> np.uint64(1)
         ident |= r.held.astype(np.uint64) << np.uint64(63)  # training records come first
@@ -177,57 +199,52 @@ class Mixer:
         self.symbol, n = r.symbol[first], int(training[first].sum())
         self.many = many.astype(np.float32)
         self.keys = [k[first] for k in keys]
-        self.asks = [None, *(a[first] for a in asks)]
-        self.tables, depth = [], np.diff(self.code.begin)
-        for k, (key, own) in enumerate(zip(self.keys, self.asks, strict=True)):
-            at = np.arange(n) if own is None else np.flatnonzero(own[:n])
-            bits = int(depth[self.symbol[at]].sum())
-            size = min(MOST_SLOTS - (k == 0), max(LEAST_SLOTS, bits.bit_length() + 1))
-            self.tables.append((size, np.zeros(1 << size, np.complex64)))  # branch 0 real, branch 1 imaginary: one look-up for both
-            self._count(k, key, self.symbol, self.many, at)
+        self.asks = [a[first] for a in asks]
+        depth = np.diff(self.code.begin)[self.symbol[:n]]
+        sizes = [min(MOST_SLOTS, max(LEAST_SLOTS, int(depth[own[:n]].sum()).bit_length())) for own in self.asks]
+        self.tables = [(size, np.zeros(1 << size, np.complex64)) for size in sizes]  # branch 0 real, branch 1 imaginary: one look-up for both
+        self._count(self.keys, [own[:n] for own in self.asks], self.symbol, self.many, np.arange(n))
         out = np.empty(len(first))
         for a, b in _steps(0, n):
             out[a:b] = self._batch(a, b, True)
-        for k, (key, own) in enumerate(zip(keys[1:], alone, strict=True), 1):  # contexts of one training record tell the others something
-            self._count(k, key, r.symbol, np.ones(len(key), np.float32), np.flatnonzero(own))
+        other = np.flatnonzero(np.logical_or.reduce(alone))  # contexts of one training record tell the others something
+        self._count(keys, alone, r.symbol, np.ones(len(training), np.float32), other)
         for a, b in _steps(n, len(first)):
             out[a:b] = self._batch(a, b, False)
         return out[inverse]
 
-    def _count(self, k: int, key: np.ndarray, symbol: np.ndarray, many: np.ndarray, at: np.ndarray) -> None:
-        """Add the branches that the records ``at`` take to what context ``k`` has seen."""
-        size, table = self.tables[k]
-        flat = table.view(np.float32)
+    def _count(self, keys: list[np.ndarray], which: list[np.ndarray], symbol: np.ndarray, many: np.ndarray, at: np.ndarray) -> None:
+        """Add the branches that the records ``at`` take to what each context has seen, for the records that ``which`` holds for."""
         for a, b in _steps(0, len(at)):
             own = at[a:b]
             record, node, branch = self.code.decisions(symbol[own])
-            np.add.at(flat, (_slots(key[own].take(record), node, size) << 1) | branch, many[own].take(record))
+            mass = many[own].take(record)
+            for key, kept, (size, table) in zip(keys, which, self.tables, strict=True):
+                kept = kept[own]
+                if kept.all():
+                    np.add.at(table.view(np.float32), (_slots(key[own].take(record), node, size) << 1) | branch, mass)
+                elif kept.any():
+                    x = np.flatnonzero(kept.take(record))
+                    np.add.at(table.view(np.float32), (_slots(key[own].take(record[x]), node[x], size) << 1) | branch[x], mass[x])
 
     def _batch(self, a: int, b: int, learn: bool) -> np.ndarray:
         record, node, branch = self.code.decisions(self.symbol[a:b])
-        odds = np.zeros((INPUTS, len(node)), np.float32)
         bit = branch.astype(np.float32)
-        odds[0] = self.code.odds.take(node)
-        odds[1] = 0.3
         gate = np.zeros(len(node), np.int64)
+        inputs = [(slice(None), self.code.odds.take(node)), (slice(None), np.full(len(node), 0.3, np.float32))]
         for k, (key, asks, (size, table)) in enumerate(zip(self.keys, self.asks, self.tables, strict=True)):
-            if asks is None or asks[a:b].all():
-                at = slice(None)
-            else:
-                at = np.flatnonzero(asks[a:b].take(record))
+            own = asks[a:b]
+            at = slice(None) if own.all() else np.flatnonzero(own.take(record))
             found = table.take(_slots(key[a:b].take(record[at]), node[at], size))
             n0, n1 = found.real, found.imag
             if learn:
-                own = bit[at]
-                n1 = np.maximum(n1 - own, 0)
-                n0 = np.maximum(n0 - 1 + own, 0)
-            odds[2 + k, at] = np.log((n1 + CLOSE) / (n0 + CLOSE))
-            if k:
-                gate[at] += _level(n0 + n1) * LEVELS ** (k - 1)
-        np.clip(odds, -9, 9, out=odds)
+                n1 = np.maximum(n1 - bit[at], 0)
+                n0 = np.maximum(n0 - 1 + bit[at], 0)
+            inputs.append((at, np.clip(np.log((n1 + CLOSE) / (n0 + CLOSE)), -9, 9)))
+            gate[at] += LEVELS**3 if k == 0 else _level(n0 + n1) * LEVELS ** (k - 1)
         mixed = np.zeros(len(node), np.float32)
-        for weights, x in zip(self.weights, odds, strict=True):
-            mixed += weights.take(gate) * x
+        for weights, (at, x) in zip(self.weights, inputs, strict=True):
+            mixed[at] += weights.take(gate[at]) * x
         np.clip(mixed, -12, 12, out=mixed)
         p = 1 / (1 + np.exp(-mixed))
         cell = gate * MAP_STEPS + np.rint((mixed + 12) * np.float32((MAP_STEPS - 1) / 24)).astype(np.int64)
@@ -239,8 +256,8 @@ class Mixer:
             mass = self.many[a:b].take(record)
             error = (bit - p) * mass
             step = RATE / np.sqrt(1 + self.batches / 8) / np.maximum(np.bincount(gate, weights=mass, minlength=GATES), 100)
-            for weights, x in zip(self.weights, odds, strict=True):
-                weights += step * np.bincount(gate, weights=error * x, minlength=GATES)
+            for weights, (at, x) in zip(self.weights, inputs, strict=True):
+                weights += step * np.bincount(gate[at], weights=error[at] * x, minlength=GATES)
             self.seen[1] += (ones := np.bincount(cell, weights=mass * bit, minlength=GATES * MAP_STEPS))
             self.seen[0] += np.bincount(cell, weights=mass, minlength=GATES * MAP_STEPS) - ones
             self.batches += 1
@@ -318,17 +335,15 @@ def layout_of(stream: DataFrame, records: Callable[[int, bytes], Records], train
                 learned = ~r.held
                 for k, cell in enumerate(Layout.cells(r.one[learned], r.two[learned], cells)):
                     total[k] += np.bincount(cell, minlength=cells)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["cell", "n"])
+        yield in_pieces(total.ravel())
 
-    counts = np.zeros(2 * cells, np.int64)
-    found = stream.mapInArrow(run, struct("cell long, n long")).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2 x cells at most
-    counts[np.asarray(found["cell"])] = np.asarray(found["n"])
+    found = added(stream.mapInArrow(run, struct("piece long, numbers binary"))).collect()  # 2 x cells numbers
+    counts = np.concatenate([np.frombuffer(r["numbers"], np.int64) for r in sorted(found, key=lambda r: r["piece"])]) if found else np.zeros(2 * cells, np.int64)
     return Layout.of(counts.reshape(2, cells), bucket)
 
 
-def mixed(stream: DataFrame, records: Callable[[int, bytes], Records], code: Code, training: int, bucket: int = BUCKET) -> DataFrame:
-    """``block, owner, score`` (packed 32-bit numbers and doubles): log10 probabilities of the records in ``stream`` (block, body) by owner, a row per block and bucket."""
+def mixed(stream: DataFrame, records: Callable[[int, bytes], Records], code: Code, training: int, name: str, bucket: int = BUCKET) -> DataFrame:
+    """A written table ``block, sums``: log10 probabilities of the records in ``stream`` (block, body), summed by owner (``sums_of`` reads them), a row per block and bucket."""
     spark = stream.sparkSession
     layout = spark.sparkContext.broadcast(layout_of(stream, records, training, bucket))  # of a bounded size
     shared = spark.sparkContext.broadcast(code)
@@ -341,24 +356,40 @@ def mixed(stream: DataFrame, records: Callable[[int, bytes], Records], code: Cod
                 if not len(r.symbol):
                     continue
                 to = layout.value.buckets(r, block)
-                order = np.argsort(to, kind="stable")
+                order = np.argsort(to.astype(np.uint16) if to.max() < 1 << 16 else to, kind="stable")  # 16 bits are sorted by counting
                 r, to = r.take(order), to[order]
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
-                packs = [r.take(np.arange(a, b)).pack() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                packs = [r.take(slice(a, b)).pack() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]]), pa.array(np.full(len(packs), block)), pa.array(packs, pa.binary())], names=schema.names)
 
     def work(table: pa.Table) -> pa.Table:
         blocks = np.asarray(table["block"])
         r, sizes = Records.unpack(table["pack"].to_pylist())
+        del table
+        pa.default_memory_pool().release_unused()
         found = Mixer(shared.value).log10s(r)
-        owners, scores, at = [], [], 0
+        sums, at = [], 0
         for n in sizes:
             own = r.owner[at : at + n]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            owners.append(own[first].astype("<u4").tobytes())
-            scores.append(np.add.reduceat(found[at : at + n], first).tobytes())
+            columns = [np.diff(own[first], prepend=0).astype("<u4"), np.add.reduceat(found[at : at + n], first).astype("<f4")]
+            sums.append(len(first).to_bytes(4, "little") + pack(columns))
             at += n
-        return pa.table({"block": blocks, "owner": pa.array(owners, pa.binary()), "score": pa.array(scores, pa.binary())})
+        return pa.table({"block": blocks, "sums": pa.array(sums, pa.binary())})
 
     routed = stream.mapInArrow(route, schema)
-    return routed.groupBy("bucket").applyInArrow(work, struct("block long, owner binary, score binary"))
+    out = write_table(routed.groupBy("bucket").applyInArrow(work, struct("block long, sums binary")), name)
+    layout.destroy()
+    shared.destroy()
+    return out
+
+
+def sums_of(parts: list[bytes], n: int) -> np.ndarray:
+    """Sums of a block's owners from all its ``sums``."""
+    out = np.zeros(n)
+    for part in parts:
+        many = int.from_bytes(part[:4], "little")
+        owner, score = unpack(part[4:], [(many, "<u4"), (many, "<f4")])
+        out[np.cumsum(owner)] += score  # an owner is there once
+    return out

@@ -14,7 +14,7 @@ small-star steps on written tables.  Equal fingerprints are one node from the st
 A text of fewer words than a shingle is hashed whole; null texts and texts without words have
 fingerprint zero, linked like any other.  Repeated rows repeat their results.  Rows with a
 null id take the component of their fingerprint; a fingerprint that only such rows have gets
-none (null) and links nothing.  Rows that share an id but not a text may count as one node.  Other columns are ignored.
+none (null) and links nothing.  Rows that share an id but not a text are nodes of one name.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from plumbline.llm.common import free_name, load, struct, write_table
+from plumbline.llm.common import again, free_name, load, struct, write_table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: From so many members on a half is compared in blocks; members of a block.
@@ -189,20 +189,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``docs``, all columns, without near-duplicates: of each component the row of its smallest id.
+    """The rows of ``docs``, all columns, without near-duplicates: one row of each component, that of the smallest id (null last).
 
-    ``groups`` gives each row's component (``doc_id, component_id``). Of rows that share the kept id one stays; rows with a null id stay.
+    Rows are told apart by a number of their own, so a text that shares its id with another stays, and null ids are no exception.
+    ``groups`` gives each row's component (``doc_id, component_id``).
     """
-    found = write_table(groups(docs, doc_id, text), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    key = free_name(docs, "gone_id")
-    on = lambda ids: F.col(doc_id) == F.col(key)
-    kept = docs.join(gone.select(F.col("doc_id").alias(key)), on(gone), "left_anti")
-    if twice.isEmpty():
-        return kept
-    twice = twice.select(F.col("doc_id").alias(key))
-    return kept.join(twice, on(twice), "left_anti").unionByName(kept.join(twice, on(twice), "left_semi").dropDuplicates([doc_id]))
+    row, own = free_name(docs, "row"), free_name(docs, "row_id")
+    marked = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
+    found = groups(marked.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").select(F.col("doc_id").alias(own), "component_id")
+    ids = again(marked).select(F.col(row).alias(own), F.col(doc_id).cast("long").alias("id"))
+    first = found.join(ids, own).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", own)).alias("least")).select(F.col(f"least.{own}").alias(own))
+    return marked.join(write_table(first, "first"), F.col(row) == F.col(own), "left_semi").drop(row)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A text is the sequence of its tokens (white-space words, A-Z lowered, then one end).  Each token
 is coded as a path of binary decisions down a Huffman tree over the frequent training tokens,
-and each decision is predicted from hashed contexts that run across tokens: the last frequent
-word, the last token, the last two and the last four (``mixing``).  Any other token takes the
+and each decision is predicted from hashed contexts that run across tokens: the last token, the
+last two, the last four, and the last frequent one where it isn't the last (``mixing``).  Any other token takes the
 path of an escape; which one it is has the mean of two probabilities, weighted by a learned
 gate: its share of the escapes, and its spelling, byte by byte, by the same mixing over the last
 one, two, four and six bytes.  All of these are distributions, so the score is a log
@@ -40,15 +40,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import load, runs, struct, write_table
-from plumbline.llm.mixing import BUCKET, Code, Records, mix, mixed
+from plumbline.llm.common import again, drop_table, load, runs, struct, write_table
+from plumbline.llm.mixing import BUCKET, NONE, Code, Records, mix, mixed, pack, sums_of, unpack
 
 #: Bounds of the tree, and the length from which on a token is listed by its digest.
-VOCABULARY, LISTED_BYTES = 1 << 18, 64
+VOCABULARY, LISTED_BYTES = 1 << 16, 64
 #: The last token of so many is the nearest context.
 FREQUENT = 512
-#: Bytes of text in a block (one text at least).
-PORTION_BYTES = 12 << 20
+#: Bytes of text in a block, and in what a task counts in one go (one text at least).
+PORTION_BYTES = 5 << 20
 EM_ROUNDS = 6
 START, LISTED, CLOSE = 0xFFFFFFFF, 1 << 31, 0x20
 
@@ -102,6 +102,7 @@ def _portions(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]
             if held >= PORTION_BYTES:
                 yield keys, pa.concat_arrays(texts)
                 keys, texts, held = [], [], 0
+                pa.default_memory_pool().release_unused()
     if keys:
         yield keys, pa.concat_arrays(texts)
 
@@ -147,22 +148,19 @@ class Block:
     """Texts as numbers: their tokens, each text closed by an end, and what the base score needs."""
 
     def __init__(self, texts: pa.Array, held: list[bool], numbers: Numbers):
-        at, words, sizes = cut(texts)
-        words = words.to_pylist()
+        at, coded, sizes = cut(texts)
+        words, length = coded.to_pylist(), np.asarray(pc.binary_length(coded)).astype(np.int64)
         ids = np.fromiter(map(numbers.place.get, words, repeat(-1)), np.int64, len(words))
-        self.cold: list[bytes] = []
+        for i in np.flatnonzero((ids < 0) & (length > LISTED_BYTES)).tolist():
+            ids[i] = numbers.place.get(_listed(words[i]), -1)
+        rare = np.flatnonzero(ids < 0)
+        self.cold = [words[i] for i in rare.tolist()]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.cold), np.uint64, len(self.cold))
+        ids[rare] = LISTED | (hashes & np.uint64(LISTED - 2)).astype(np.int64)  # never START
         cold = np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(ids < 0).tolist():
-            word = words[i]
-            if len(word) > LISTED_BYTES and (found := numbers.place.get(_listed(word), -1)) >= 0:
-                ids[i] = found
-                continue
-            cold[i] = len(self.cold)
-            self.cold.append(word)
-            ids[i] = LISTED | (xxhash.xxh64_intdigest(word) & (LISTED - 2))  # never START
+        cold[rare] = np.arange(len(rare))
         n = len(sizes)
         owner = np.repeat(np.arange(n), sizes)
-        length = np.fromiter(map(len, words), np.int64, len(words))
         value = np.append(numbers.base, 0).take(np.minimum(ids, numbers.escape))
         self.sizes = sizes + 1
         self.bytes = np.bincount(owner, weights=length[at], minlength=n).astype(np.int64) + self.sizes
@@ -175,9 +173,7 @@ class Block:
         self.ids[np.arange(len(at)) + owner] = own  # an end, 0, after each text
 
     def body(self) -> bytes:
-        planes = self.ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        head = np.array([len(self.ids), len(self.held)], "<u8").tobytes()
-        return head + pa.compress(planes + self.sizes.astype("<u4").tobytes() + self.held.tobytes(), "zstd", asbytes=True)
+        return np.array([len(self.ids), len(self.held)], "<u8").tobytes() + pack([self.ids.astype("<u4"), self.sizes.astype("<u4"), self.held])
 
 
 BLOCKS = "block long, ids array<long>, held array<boolean>, tokens array<long>, bytes array<long>, base array<double>, cold_at binary, cold_owner binary, cold array<binary>, body binary"
@@ -209,9 +205,8 @@ _ARROW = (pa.int64(), _LONGS, pa.list_(pa.bool_()), _LONGS, _LONGS, pa.list_(pa.
 def word_records(body: bytes, escape: int) -> Records:
     """Records of a block's tokens; owners are its texts."""
     n, m = np.frombuffer(body[:16], "<u8").tolist()
-    raw = np.frombuffer(pa.decompress(body[16:], 4 * n + 5 * m, "zstd"), np.uint8)
-    ids = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
-    sizes, held = raw[4 * n : 4 * n + 4 * m].view("<u4").astype(np.int64), raw[4 * n + 4 * m :].astype(bool)
+    ids, sizes, held = unpack(body[16:], [(n, "<u4"), (m, "<u4"), (m, "u1")])
+    sizes, held = sizes.astype(np.int64), held.astype(bool)
     first = np.cumsum(sizes) - sizes
     back = []
     for k in range(1, 5):
@@ -220,12 +215,13 @@ def word_records(body: bytes, escape: int) -> Records:
         for j in range(k):
             before[(first + j)[sizes > j]] = START
         back.append(before)
-    more = (mix(back[2].astype(np.uint64) << np.uint64(32) | back[3]) >> np.uint64(40)).astype(np.uint32)
+    more = (mix(back[2].astype(np.uint64) << np.uint64(32) | back[3]) >> np.uint64(48)).astype(np.uint16)
+    common = (ids > 0) & (ids < FREQUENT)
     at = np.arange(n, dtype=np.int32)
-    last = np.maximum.accumulate(np.where((ids > 0) & (ids < FREQUENT), at, np.int32(-1)))
+    last = np.maximum.accumulate(np.where(common, at, np.int32(-1)))
     before = np.concatenate([[-1], last[:-1]]).astype(np.int32)
-    start = np.repeat(first.astype(np.int32), sizes)
-    near = np.where(before >= start, ids.take(np.maximum(before, 0)), np.uint32(FREQUENT)).astype(np.uint16)
+    farther = (before >= np.repeat(first.astype(np.int32), sizes)) & (before < at - 1)
+    near = np.where(farther, ids.take(np.maximum(before, 0)), np.uint32(NONE)).astype(np.uint16)
     symbol = np.minimum(ids, np.uint32(escape))
     return Records(symbol, np.repeat(held, sizes), near, back[0], back[1], more, np.repeat(np.arange(m), sizes))
 
@@ -233,8 +229,8 @@ def word_records(body: bytes, escape: int) -> Records:
 def spelling_records(body: bytes) -> Records:
     """Records of the bytes of tokens, each closed by a space; owners are the tokens."""
     n, m = np.frombuffer(body[:16], "<u8").tolist()
-    raw = np.frombuffer(pa.decompress(body[16:], n + m, "zstd"), np.uint8)
-    data, held = raw[:n].astype(np.int64), raw[n:].astype(bool)
+    data, held = unpack(body[16:], [(n, "u1"), (m, "u1")])
+    data, held = data.astype(np.int64), held.astype(bool)
     ends = np.flatnonzero(data == CLOSE)
     sizes = np.diff(ends, prepend=-1)
     owner = np.repeat(np.arange(m), sizes)
@@ -246,11 +242,11 @@ def spelling_records(body: bytes) -> Records:
         before[place < k] = 0
         back.append(before)
     pair = lambda a, b: a * 257 + b
-    return Records(data, held[owner], back[0], pair(back[0], back[1]), pair(back[2], back[3]), pair(back[4], back[5]), owner)
+    return Records(data, held[owner], back[0], pair(back[0], back[1]), pair(back[2], back[3]), pair(back[4], back[5]) & 0xFFFF, owner)
 
 
 def spell(cold: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``word, c, spelled`` of ``cold`` (word, c), a written table: log10 probability of each token's bytes, learned from those with c > 0, each once."""
+    """A written table ``word, c, spelled`` of ``cold`` (word, c): log10 probability of each token's bytes, learned from those with c > 0, each once."""
     spark = cold.sparkSession
     schema = struct("block long, words array<binary>, counts array<long>, body binary")
 
@@ -261,8 +257,8 @@ def spell(cold: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             data = b" ".join([*words, b""])
-            held = (np.array(counts) == 0).astype(np.uint8).tobytes()
-            body = np.array([len(data), len(words)], "<u8").tobytes() + pa.compress(data + held, "zstd", asbytes=True)
+            held = (np.array(counts) == 0).astype(np.uint8)
+            body = np.array([len(data), len(words)], "<u8").tobytes() + pack([np.frombuffer(data, np.uint8), held])
             kinds = (pa.int64(), pa.list_(pa.binary()), _LONGS, pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((at, words, counts, body), kinds, strict=True)], names=schema.names)
 
@@ -290,34 +286,41 @@ def spell(cold: DataFrame, bucket: int = BUCKET) -> DataFrame:
     total = np.zeros(256, np.int64)
     for r in stream.select("body").mapInArrow(bytes_of, struct("byte long, n long")).groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
         total[r["byte"]] = r["n"]
-    found = mixed(stream.select("block", "body"), lambda _, body: spelling_records(body), Code.over(total), int(total.sum()), bucket)
-    out = struct("word binary, c long, spelled double")
+    found = mixed(stream.select("block", "body"), lambda _, body: spelling_records(body), Code.over(total), int(total.sum()), "bytes", bucket)
+    out = struct("word binary, c long, spelled float")
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         words, counts = left["words"][0].as_py(), left["counts"][0].as_py()
-        return pa.table([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(_sums(right, len(words)))], names=out.names)
+        return pa.table([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(_sums(right, len(words)).astype(np.float32))], names=out.names)
 
-    return stream.select("block", "words", "counts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined, out)
+    spelled = write_table(again(stream).select("block", "words", "counts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined, out), "spelled")
+    drop_table(stream)
+    drop_table(found)
+    return spelled
 
 
 def _sums(parts: pa.Table, n: int) -> np.ndarray:
-    """Sums by owner of packed partial sums."""
-    owners, scores = (np.frombuffer(b"".join(x for x in parts[k].to_pylist() if x), t) for k, t in (("owner", "<u4"), ("score", float)))
-    return np.bincount(owners, weights=scores, minlength=n)
+    return sums_of([x for x in parts["sums"].to_pylist() if x], n)
 
 
-def escapes(spelled: DataFrame, total: int) -> DataFrame:
-    """``word, c, learned, told`` of ``spelled`` (word, c, spelled), a written table: log10 probability of an escape to be the token, from all
-    ``total`` training escapes without itself and from all; the gate is learned by expectation maximization over these occurrences."""
-    by_bytes = F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-300.0)))
-    without = (F.col("c") - 1) / F.lit(max(1, total - 1))
+def gate_of(spelled: DataFrame, total: int) -> float:
+    """How much an escape is what its share says: learned by expectation maximization over the ``total`` training escapes, each without itself.
+
+    ``spelled`` (word, c, spelled) is a written table.
+    """
     gate = 0.5 if total > 1 else 0.0
     for _ in range(EM_ROUNDS if gate else 0):
-        part, whole = gate * without, gate * without + (1 - gate) * by_bytes
-        found = spelled.where("c > 0").agg(F.sum(F.col("c") * part / F.greatest(whole, F.lit(1e-300)))).first()[0]
+        share = gate * (F.col("c") - 1) / F.lit(total - 1)
+        whole = share + (1 - gate) * F.pow(F.lit(10.0), F.greatest(F.col("spelled").cast("double"), F.lit(-300.0)))
+        found = spelled.where("c > 0").agg(F.sum(F.col("c") * share / F.greatest(whole, F.lit(1e-300)))).first()[0]
         gate = min(0.999, max(0.0, (found or 0.0) / total))
-    score = lambda share: F.greatest(F.log10(gate * share + (1 - gate) * by_bytes), F.lit(-300.0))
-    return spelled.select("word", "c", score(F.greatest(without, F.lit(0.0))).alias("learned"), score(F.col("c") / F.lit(max(1, total))).alias("told"))
+    return gate
+
+
+def escaped(c: np.ndarray, spelled: np.ndarray, told: np.ndarray, gate: float, total: int) -> np.ndarray:
+    """log10 probability of escapes to be tokens of these counts and spellings; from all training escapes where ``told``, else from the others."""
+    share = np.where(told, c / max(1, total), np.maximum(c - 1, 0) / max(1, total - 1))
+    return np.log10(np.maximum(gate * share + (1 - gate) * 10 ** np.maximum(spelled, -300.0), 1e-300))
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -335,37 +338,38 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_i
     numbers = spark.sparkContext.broadcast(Numbers(place, np.log10(by_number + 1.0) - unit))
     in_escapes = in_all - int(by_number.sum())
 
+    cold = write_table(counts.where(~listed & (F.octet_length("word") > 0)).select("word", "c"), "cold")
+    drop_table(counts)
+    spelled = spell(cold, bucket)
+    drop_table(cold)
+    gate = gate_of(spelled, in_escapes)
+
     blocks = write_table(block_table(base, numbers, modulus, held), "blocks")
+    numbers.destroy()
     escape = len(by_number)
     code = Code.over(np.append(by_number, in_escapes))
-    found = mixed(blocks.select("block", "body"), lambda _, body: word_records(body, escape), code, in_all, bucket)
-
-    cold = write_table(counts.where(~listed & (F.octet_length("word") > 0)).select("word", "c"), "cold")
-    scored = escapes(write_table(spell(cold, bucket), "spelled"), in_escapes)
-    lines = blocks.select("block", F.posexplode("cold").alias("at", "word")).join(scored, "word")
-    lines = lines.select("block", "at", "c", "learned", "told")
+    found = mixed(blocks.select("block", "body"), lambda _, body: word_records(body, escape), code, in_all, "words", bucket)
 
-    back = found.withColumns({k: F.lit(None).cast(t) for k, t in (("at", "int"), ("c", "long"), ("learned", "double"), ("told", "double"))})
-    back = back.unionByName(lines.withColumns({k: F.lit(None).cast("binary") for k in ("owner", "score")}))
+    lines = blocks.select("block", F.posexplode("cold").alias("at", "word")).join(spelled, "word").select("block", "at", "c", "spelled", F.lit(None).cast("binary").alias("sums"))
+    back = lines.unionByName(found.withColumns({k: F.lit(None).cast(t) for k, t in (("at", "int"), ("c", "long"), ("spelled", "float"))}))
     out = struct("doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, size, n_bytes, base = (left[k][0].values for k in ("ids", "held", "tokens", "bytes", "base"))
         at, owner = (np.frombuffer(left[k][0].as_py(), "<u4").astype(np.int64) for k in ("cold_at", "cold_owner"))
         own = right.filter(pc.is_valid(right["at"]))
-        by_place = np.zeros((4, len(left["cold"][0])))
-        for k, name in enumerate(("c", "learned", "told")):
+        by_place = np.zeros((2, own.num_rows))
+        for k, name in enumerate(("c", "spelled")):
             by_place[k, np.asarray(own["at"])] = np.asarray(own[name])
+        c, spellings = by_place.take(at, axis=1)
         add = lambda values: np.bincount(owner, weights=values, minlength=len(ids))
-        c = by_place[0].take(at)
         told = held.to_numpy(zero_copy_only=False)[owner]
-        words = _sums(right, len(ids)) + add(np.where(told, by_place[2].take(at), by_place[1].take(at)))
+        words = _sums(right, len(ids)) + add(escaped(c, spellings, told, gate, in_escapes))
         known = np.asarray(size) - add(c == 0) if in_ends else np.zeros(len(ids))
         bases = np.asarray(base) + add(np.log10(c + 1) - unit)
         return pa.table([ids, held, size, pa.array(known.astype(np.int64)), n_bytes, pa.array(bases), pa.array(words)], names=out.names)
 
-    meta = blocks.drop("body", "block").columns
-    whole = blocks.select("block", *meta).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(joined, out)
+    whole = again(blocks).drop("body", "cold").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(joined, out)
     per_byte = -F.col("score") / math.log10(2) / F.col("n_bytes")
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(in_all).cast("long").alias("train_tokens"), "base_score", "score", per_byte.alias("bits_per_byte"))
 

@@ -3,35 +3,37 @@
 A text's UTF-8 bytes (A-Z lowered) are cut into windows of 128 bytes that cover it all.  In
 each window, filters of several widths slide over one-hot bytes; their maxima feed a softmax
 over the learned labels.  A text's distribution is the mean of its windows', weighted by
-bytes.  Filters and softmax are trained in numpy on a bounded sample of the labelled rows.
+bytes.  Filters and softmax are trained in numpy on all windows of a bounded sample of the
+labelled rows, in which equal rows count once; each row weighs the same, however long.
 
-Null texts and texts without a letter get ``und`` and score 0; so does everything where no
-labelled row exists.  Rows are independent: repeated rows repeat their results.
+Null texts and texts without a letter (Unicode category L) get ``und`` and score 0; so does
+everything where no labelled row exists.  Rows are independent: repeated rows repeat their results.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import free_name, load, remainder, struct
+from plumbline.llm.common import bounded, free_name, load, remainder, struct
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Bound of the training sample: expected rows of a label, and windows of a row, spread evenly over its text.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 1000, 4
-EPOCHS, STEPS, BATCH, RATE = 6, 400, 128, 0.01  # at least so many steps
+#: Bound of the training sample: rows of a label.
+SAMPLE_ROWS = 1000
+EPOCHS, STEPS, BATCH, RATE = 2, 800, 128, 0.01  # at least so many steps
 UNKNOWN = "und"
+MOST_WEIGHT = 10.0  # of a window, so that no single one upsets the net
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _PREDICTED = "lang_pred string, score double"
 
 
@@ -63,15 +65,14 @@ class ByteNet:
         return z / z.sum(1, keepdims=True)
 
 
-def windows(text: str, most: int | None = None) -> np.ndarray:
-    """All windows of a text as rows of bytes, the last one padded with 0; with ``most``, that many spread evenly."""
+def windows(text: str) -> np.ndarray:
+    """All windows of a text as rows of bytes, the last one padded with 0."""
     data = text.encode("utf-8", "replace").lower()
-    x = np.frombuffer(data + bytes(-len(data) % WINDOW if data else WINDOW), np.uint8).reshape(-1, WINDOW)
-    return x if most is None or len(x) <= most else x[(np.arange(most) * len(x)) // most]
+    return np.frombuffer(data + bytes(-len(data) % WINDOW if data else WINDOW), np.uint8).reshape(-1, WINDOW)
 
 
-def train(x: np.ndarray, y: list[str]) -> ByteNet | None:
-    """Fit by Adam on windows and their labels; the same input gives the same net."""
+def train(x: np.ndarray, y: list[str], many: np.ndarray | None = None) -> ByteNet | None:
+    """Fit by Adam on windows and their labels; the same input gives the same net. ``many``: windows of the text that each is from."""
     if not len(x):
         return None
     labels = sorted(set(y))
@@ -86,7 +87,9 @@ def train(x: np.ndarray, y: list[str]) -> ByteNet | None:
     )
     params = [*net.filters, net.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    weight = (len(y) / len(labels) / np.bincount(target, minlength=len(labels)))[target].astype(np.float32)
+    weight = np.ones(len(y)) if many is None else 1 / np.asarray(many, float)
+    weight /= np.bincount(target, weights=weight, minlength=len(labels))[target]  # labels weigh the same, and so do a label's texts
+    weight = (weight / weight.mean()).clip(0, MOST_WEIGHT).astype(np.float32)
     for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(x)))):
         order = rng.permutation(len(x))
         for a in range(0, len(x), BATCH):
@@ -139,29 +142,14 @@ def classify(net: ByteNet | None, texts: list[str | None]) -> list[tuple[str, fl
 
 
 def fit(docs: DataFrame, train_rows: Column | bool = True, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> ByteNet | None:
-    """A net learned from the rows that ``train_rows`` holds for; the sample is drawn evenly by a hash of the id within each label."""
+    """A net learned from the rows that ``train_rows`` holds for, SAMPLE_ROWS of a label at most, drawn by a hash of id and text."""
     held = docs.where(F.lit(True) if train_rows is True else train_rows)
-    base = held.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), F.col(lang).cast("string").alias("label"))
-    base = base.where(F.col("label").isNotNull() & (F.col("label") != UNKNOWN) & F.col("body").isNotNull())
-    counts = base.groupBy("label").count().collect()  # one row per label
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("label") == row["label"], F.lit(min(1.0, SAMPLE_ROWS / row["count"]))).otherwise(share)
-    drawn = base.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)))
-
-    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows = [
-                (label, w.tobytes())
-                for label, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                if _LETTER.search(body)
-                for w in windows(body, SAMPLE_WINDOWS)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "cut"])
-
-    rows = sorted((r["label"], bytes(r["cut"])) for r in drawn.select("label", "body").mapInArrow(cut, struct("label string, cut binary")).collect())
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)
-    return train(x, [r[0] for r in rows])
+    base = held.select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("draw"), F.col(text).alias("body"), F.col(lang).cast("string").alias("label"))
+    base = base.where(F.col("label").isNotNull() & (F.col("label") != UNKNOWN) & F.col("body").rlike(r"\p{L}"))
+    rows = sorted((r["label"], r["body"]) for r in bounded(base, "label", SAMPLE_ROWS).select("label", "body").collect())
+    cut = [windows(body) for _, body in rows]
+    many = np.repeat([len(x) for x in cut], [len(x) for x in cut])
+    return train(np.concatenate(cut) if cut else np.zeros((0, WINDOW), np.uint8), [label for (label, _), x in zip(rows, cut, strict=True) for _ in x], many)
 
 
 def predictor(spark: SparkSession, net: ByteNet | None):

@@ -74,7 +74,7 @@ def slow_log10s(code, records):
                         n[branch] = max(0, n[branch] - 1)
                     odds.append(max(-9, min(9, math.log((n[1] + mixing.CLOSE) / (n[0] + mixing.CLOSE)))))
                     ns.append(sum(n))
-                gate = sum(level(n) * mixing.LEVELS**k for k, n in enumerate(ns[1:]))
+                gate = sum(level(n) * mixing.LEVELS**k for k, n in enumerate(ns[1:])) + (r[2] != mixing.NONE) * mixing.LEVELS**3
                 mixed = max(-12, min(12, sum(w[gate] * x for w, x in zip(weights, odds, strict=True))))
                 p = 1 / (1 + math.exp(-mixed))
                 cell = gate * mixing.MAP_STEPS + round((mixed + 12) * (mixing.MAP_STEPS - 1) / 24)
@@ -152,14 +152,16 @@ def slow_scores(rows):
         ids = [number(w) for w in t]
         for i, x in enumerate(ids):
             back = [ids[i - k] if i >= k else 0xFFFFFFFF for k in range(1, 5)]
-            near = next((y for y in reversed(ids[:i]) if 0 < y < op2_mixing.FREQUENT), op2_mixing.FREQUENT)
-            records.append((min(x, escape), int(h), near, back[0], back[1], mix(back[2] << 32 | back[3]) >> 40))
+            near = next((y for y in reversed(ids[: max(0, i - 1)]) if 0 < y < op2_mixing.FREQUENT), mixing.NONE)
+            if 0 < back[0] < op2_mixing.FREQUENT:
+                near = mixing.NONE  # it is the last one itself
+            records.append((min(x, escape), int(h), near, back[0], back[1], mix(back[2] << 32 | back[3]) >> 48))
     spellings = []
     for w in cold:
         data = [*w, 32]
         for i, x in enumerate(data):
             b = [data[i - k] + 1 if i >= k else 0 for k in range(1, 7)]
-            spellings.append((x, int(c[w] == 0), b[0], b[0] * 257 + b[1], b[2] * 257 + b[3], b[4] * 257 + b[5]))
+            spellings.append((x, int(c[w] == 0), b[0], b[0] * 257 + b[1], b[2] * 257 + b[3], b[4] * 257 + b[5] & 0xFFFF))
     learned = np.bincount([r[0] for r in spellings if not r[1]], minlength=256)
     parts = iter(slow_log10s(Code.over(learned), spellings) if spellings else [])
     spelled = {w: 10 ** max(-300, sum(next(parts) for _ in range(len(w) + 1))) for w in cold}

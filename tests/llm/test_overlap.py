@@ -106,17 +106,99 @@ def test_short_items_with_replaced_words():
     assert overlapping(item, scattered) == [] and overlapping(item, item[6:] + item[:6]) == []
 
 
-def test_blocks_change_nothing(spark):
-    docs = spark.createDataFrame([(k, t) for k, t, _ in planted()], "doc_id long, text string")
-    cut = list(op4_decontamination.read_blocks(benchmark(spark), block_bytes=100))
-    assert len(cut) > 3 and sorted(x[1] for b in cut for x in b) == sorted(x[1] for b in op4_decontamination.read_blocks(benchmark(spark)) for x in b)
-    whole = op4_decontamination.Benchmark([x for b in cut for x in b])
-    parts = [op4_decontamination.Benchmark(b) for b in cut]
-    words = op4_decontamination.Words()
-    for r in docs.collect():
-        (own,) = words.of([r["text"] or ""])
-        one = sorted((whole.ids[h[0]] or -1, *h[1:]) for h in whole.overlaps(own))
-        assert one == sorted((p.ids[h[0]] or -1, *h[1:]) for p in parts for h in p.overlaps(own))
+def test_a_joined_benchmark_gives_the_same(spark, monkeypatch):
+    """op4: the hash join of seeds finds what the search in a broadcast benchmark finds, and the same documents go."""
+    docs = spark.createDataFrame([(k, t, k) for k, t, _ in planted()] + [(7, "same words " * 40, 1)], "doc_id long, text string, digest long")
+    items = benchmark(spark).union(spark.createDataFrame([(8, "same words " * 10), (9, "other words " * 3 + sentences("en", 12, 9))], "item_id long, text string"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want, kept = rows(op4_decontamination.find(docs, items)), rows(op4_decontamination.decontaminate(docs, items))
+    assert len(want) > 10 and op4_decontamination.small(items) is not None
+    monkeypatch.setattr(op4_decontamination, "BLOCK_BYTES", 100)
+    assert op4_decontamination.small(items) is None
+    assert rows(op4_decontamination.find(docs, items)) == want
+    assert rows(op4_decontamination.decontaminate(docs, items)) == kept
+    assert op4_decontamination.find(docs.where("false"), items).count() == 0
+
+
+def slow_long(item, text):
+    """Equal words of the best stretch and of all stretches, over all ways to lay an item of 18 words or more on a text."""
+
+    def best(equal):
+        top = (0, 0, 0)
+        for a in range(len(equal)):
+            total = 0
+            for b in range(a, len(equal)):
+                total += 1 if equal[b] else -op4_decontamination.PENALTY
+                top = max(top, (total, -b, -a))
+        return top
+
+    def stretches(equal, at):
+        if sum(equal) < 6:
+            return
+        total, b, a = best(equal)
+        a, b = -a, -b + 1
+        matched = sum(equal[a:b])
+        if total and matched >= 6:
+            yield {at + j for j in range(a, b) if equal[j]}
+            yield from stretches(equal[:a], at)
+            yield from stretches(equal[b:], at + b)
+
+    one, covered = 0, set()
+    for shift in range(-len(item), len(text)):
+        a, b = max(0, -shift), min(len(item), len(text) - shift)
+        for found in stretches([item[j] == text[j + shift] for j in range(a, b)], a):
+            one, covered = max(one, len(found)), covered | found
+    half = -(-len(item) // 2)
+    return one >= max(min(half, 13), 10) or len(covered) >= max(half, 10)
+
+
+def test_overlaps_by_an_exhaustive_aligner():
+    """op4: seeds lose next to no overlap that laying every item on every place of a text finds, and add none."""
+    rng = random.Random(11)
+    found = missed = 0
+    for trial in range(250):
+        n = rng.randint(18, 40)
+        item = [f"w{rng.randint(0, 60)}" for _ in range(n)]
+        part = item[rng.randint(0, n // 3) : n - rng.randint(0, n // 3)]
+        part = [w if rng.random() > 0.02 * (trial % 12) else f"x{rng.randint(0, 99)}" for w in part]
+        text = [f"w{rng.randint(0, 60)}" for _ in range(15)] + part + [f"w{rng.randint(0, 60)}" for _ in range(15)]
+        want, got = slow_long(item, text), bool(overlapping(item, text))
+        assert want or not got
+        found, missed = found + want, missed + (want and not got)
+    assert found > 100 and missed <= 0.03 * found
+
+
+def test_repetitive_texts_take_bounded_time_and_memory():
+    """op4: equal words without end, in a text and in items, give what a short text of them gives."""
+    import time
+    import tracemalloc
+
+    items = [(1, "a " * 400), (2, "b c " * 200), (3, "a " * 9), (4, "a b " * 5 + "c d e f g h i j k"), (5, sentences("en", 30, 3))]
+    index = op4_decontamination.Benchmark(items)
+    few = {x[0] for text in ("a " * 900, "b c " * 500) for x in index.overlaps(op4_decontamination.Words().of([text])[0])}
+    (own,) = op4_decontamination.Words().of(["a " * 500_000 + items[4][1] + " b c" * 250_000])
+    tracemalloc.start()
+    began = time.time()
+    got = index.overlaps(own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {x[0] for x in got} == few | {4} and few == {0, 1, 2}
+    assert [x[1] for x in got if x[0] in (0, 1, 2, 4)] == [400, 400, 9, 30] or sorted((x[0], x[1]) for x in got) == [(0, 400), (1, 400), (2, 9), (4, 30)]
+    assert peak < 1.5e9 and time.time() - began < 60
+
+
+def test_listed_and_marked_places_are_the_same(monkeypatch):
+    rng = random.Random(2)
+    items = [(k, " ".join(f"w{rng.randint(0, 2)}" for _ in range(n))) for k, n in enumerate((8, 12, 20, 40))]
+    index = op4_decontamination.Benchmark(items)
+    texts = op4_decontamination.Words().of([" ".join(f"w{rng.randint(0, 2)}" for _ in range(300)) for _ in range(10)])
+    want = [sorted(index.overlaps(t)) for t in texts]
+    assert sum(map(len, want)) > 10
+    monkeypatch.setattr(op4_decontamination, "LISTED_PAIRS", 0)
+    assert [sorted(index.overlaps(t)) for t in texts] == want
+    monkeypatch.setattr(op4_decontamination, "MOST_PLACES", 0)
+    alike = lambda rows: [[x[:2] for x in r] for r in rows]
+    assert alike(sorted(index.overlaps(t)) for t in texts) == alike(want)
 
 
 def test_nothing_to_compare(spark, docs, none):
@@ -215,6 +297,15 @@ def test_keep_one(spark, docs, none):
     assert op10_simhash.near_duplicates(none).count() == 0 and op10_simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_of_odd_ids(spark):
+    """A text stays though its id has another one that goes; rows without an id are compared like any others; the smallest id stays."""
+    a, b, c = sentences("en", 30, 1), sentences("de", 30, 2), sentences("fr", 30, 3)
+    rows = [(5, a, "x"), (3, a, "y"), (5, b, "z"), (None, c, "u"), (None, c, "v"), (None, a, "w"), (7, None, "p"), (8, "", "q")]
+    kept = op10_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+    assert kept.columns == ["doc_id", "text", "row"] and got == sorted([("3", a), ("5", b), ("None", c), ("7", "")])
+
+
 def slow_groups(rows):
     """group of each id: all pairs at an exact similarity of 0.8 of five-word shingles."""
     sets, parent = {}, {k: k for k, _ in rows}
