@@ -109,8 +109,8 @@ def lens(stats: DataFrame) -> DataFrame:
     return stats.select("path", F.concat_ws(" · ", *parts).alias("title"))
 
 
-def insights(ratios: DataFrame) -> DataFrame:
-    """``insight`` rows of a row of ratios."""
+def insights(ratios: DataFrame, *kept: str) -> DataFrame:
+    """``insight`` rows of each row of ratios, with the columns to keep."""
     c = F.col
     told = [
         F.when(c("code_ratio") > 0.8, "High code density - very efficient!").when(c("code_ratio") < 0.4, "Low code density - lots of documentation or comments"),
@@ -118,7 +118,7 @@ def insights(ratios: DataFrame) -> DataFrame:
         F.when(c("doc_ratio") > 0.2, "Excellent documentation coverage").when(c("doc_ratio") < 0.05, "Consider adding more documentation"),
         F.when(c("blank_ratio") > 0.4, "Very spacious code - lots of breathing room").when(c("blank_ratio") < 0.1, "Dense code - consider adding blank lines for readability"),
     ]
-    return ratios.select(F.explode(F.array_compact(F.array(*told))).alias("insight"))
+    return ratios.select(*kept, F.explode(F.array_compact(F.array(*told))).alias("insight"))
 
 
 def sarif(findings: DataFrame, tool: str = "plumbline", version: str = "0.1.0") -> DataFrame:

@@ -7,6 +7,7 @@ over its limit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +31,36 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
     return held.where(F.col("version") == VERSION)
 
 
+def path_hash(path: str) -> int:
+    """64-bit FNV-1a of a path's bytes; names a project's table, so it may never change."""
+    found = 0xCBF29CE484222325
+    for byte in path.encode("utf-8", "replace"):
+        found = (found ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return found
+
+
+def save(known: DataFrame, path: str) -> None:
+    """Store the table in place of the one at ``path``, which it may have been made from.
+
+    It is written beside it and then renamed, so a run that breaks off leaves the old one or the new one, never a part.
+    """
+    spark = known.sparkSession
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = held.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = lambda mark: held.suffix(f".{mark}.{uuid.uuid4().hex}")
+    fresh, old = beside("tmp"), beside("old")
+    try:
+        known.write.parquet(fresh.toString())
+        replaced = files.exists(held) and files.rename(held, old)
+        if not files.rename(fresh, held):
+            if replaced:
+                files.rename(old, held)
+            raise OSError(f"could not store {path}")
+        files.delete(old, True)
+    finally:
+        files.delete(fresh, True)
+
+
 def hits(files: DataFrame, known: DataFrame) -> DataFrame:
     """``files`` (path, size, mtime) whose entry is still good, with its counts."""
     return files.join(known.select(*KEYS, *COUNTS), list(KEYS))

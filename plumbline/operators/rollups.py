@@ -162,6 +162,19 @@ def merge(reports: DataFrame) -> DataFrame:
     return ratios(whole.where("reports > 0"), "reports", "files", *SUMS, "languages")
 
 
+def metadata(stats: DataFrame, *groups: str, milliseconds: int = 0, version: str = "0.1.0") -> DataFrame:
+    """What a report says of itself (per group of files): files and bytes analyzed, extensions found, the time it took, version, depth."""
+    found = stats.groupBy(*groups).agg(F.count(F.lit(1)).alias("file_count_analyzed"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_bytes_analyzed"), F.array_sort(F.collect_set("key")).alias("languages_detected"))
+    return found.withColumns({"calculation_time_ms": F.lit(milliseconds).cast("long"), "version": F.lit(version), "analysis_depth": F.lit("Complete")})
+
+
+def merge_metadata(reports: DataFrame, version: str = "0.1.0") -> DataFrame:
+    """The metadata of several reports in one row: sums, and the sorted union of what they found."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("file_count_analyzed", "total_bytes_analyzed", "calculation_time_ms")]
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_set("languages_detected")))).alias("languages_detected")
+    return reports.agg(*sums, union).withColumns({"version": F.lit(version), "analysis_depth": F.lit("Complete")})
+
+
 def numeric_groups(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """The same roll-up on any numeric column: count, sum, mean, share of the whole, population deviation."""
     keyed = df.groupBy(*groups).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.stddev_pop(value).alias("d"))

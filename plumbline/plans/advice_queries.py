@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import advice, complexity, findings, rollups, selection
 from plumbline.plans import views
+from plumbline.plans.analyzer_queries import SAMPLES, files
 from plumbline.plans.complexity_queries import ROWS, _rows
-from plumbline.plans.file_queries import _ratio, WITH, listing, LISTING, query
+from plumbline.plans.file_queries import LISTING, QUALITY_SQL, WITH, _ratio, listing, query
 from plumbline.plans.views import LANGUAGES_SQL, STATS_SQL, load, quoted
 
 _case = lambda values, other, form="{}": "CASE key " + " ".join(f"WHEN {quoted(k)} THEN {form.format(v)}" for k, v in values.items()) + f" ELSE {form.format(other)} END"
@@ -96,11 +97,11 @@ def pie_complexity(spark, sf_dir):
     return advice.complexity_pie(_rows(spark, sf_dir).agg(*complexity.distribution()))
 
 
-@query("SELECT 'No structures found' AS label, CAST(1 AS BIGINT) AS value")
+@query("SELECT 'Classes' AS label, count(*) AS value FROM documents UNION ALL SELECT 'Structs', count(*) FROM documents")
 def pie_structures(spark, sf_dir):
-    """Slices by kind of structure; a table without structures has the placeholder."""
-    empty = spark.createDataFrame([], "kind string, method_count long")
-    return advice.structure_pie(empty.agg(*complexity.structure_counts()))
+    """Slices by kind of the structures that analyzers find: a file for each document in two languages, one with a struct, one with a class of its own."""
+    found = [complexity.structures(complexity.analyze(files(spark, sf_dir, SAMPLES[x]))) for x in ("go", "matlab")]
+    return advice.structure_pie(found[0].unionByName(found[1]).agg(*complexity.structure_counts()))
 
 
 @query(
@@ -128,18 +129,28 @@ def detected_languages(spark, sf_dir):
     return told.select(F.split_part("path", F.lit("|"), F.lit(1)).cast("long").alias("page_id"), F.split_part("path", F.lit("|"), F.lit(2)).alias("path"), "language")
 
 
+_PAIRS = {
+    "total_files": "CAST(files AS VARCHAR)", "total_lines": "CAST(total_lines AS VARCHAR)", "code_lines": "CAST(code_lines AS VARCHAR)", "languages": "CAST(languages AS VARCHAR)",
+    "functions": "CAST(functions AS VARCHAR)", "avg_complexity": "format('{:.1f}', cyclomatic)", "quality_score": "format('{:.1f}', overall)",
+    "quality_level": "CASE WHEN overall >= 80 THEN 'Excellent' WHEN overall >= 60 THEN 'Good' ELSE 'Needs Improvement' END",
+    "complexity_level": "CASE WHEN cyclomatic <= 5 THEN 'Low' WHEN cyclomatic <= 10 THEN 'Medium' ELSE 'High' END",
+}
+
+
 @query(
-    f"""{WITH}, t AS (SELECT count(*) AS languages, sum(files) AS files, sum(total_lines) AS total_lines, sum(code_lines) AS code_lines FROM by_key)
-SELECT 'total_files' AS name, CAST(files AS VARCHAR) AS value FROM t UNION ALL SELECT 'total_lines', CAST(total_lines AS VARCHAR) FROM t UNION ALL SELECT 'code_lines', CAST(code_lines AS VARCHAR) FROM t UNION ALL SELECT 'languages', CAST(languages AS VARCHAR) FROM t"""
+    QUALITY_SQL.rsplit("\nSELECT ", 1)[0]
+    + f""", {ROWS}, c AS (SELECT count(*) AS functions, CAST(sum(cyclomatic) AS DOUBLE) / count(*) AS cyclomatic FROM rows),
+t AS (SELECT count(*) AS languages, sum(files) AS files, sum(total_lines) AS total_lines, sum(code_lines) AS code_lines FROM by_key)
+"""
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, {value} AS value FROM t, c, final" for name, value in _PAIRS.items())
 )
 def summary_pairs(spark, sf_dir):
-    """The counted pairs of the short summary."""
+    """All pairs of the short summary."""
     stats = views.file_stats(spark, sf_dir)
     keyed = rollups.by_key(stats)
     totals = keyed.agg(*(F.sum(c).alias(c) for c in ("files", "total_lines", "code_lines")), F.count(F.lit(1)).alias("kinds"))
     statistics = _rows(spark, sf_dir).agg(*complexity.statistics())
-    pairs = advice.summary(totals, statistics, rollups.quality(stats), F.col("kinds"))
-    return pairs.where(F.col("name").isin("total_files", "total_lines", "code_lines", "languages"))
+    return advice.summary(totals, statistics, rollups.quality(stats), F.col("kinds"))
 
 
 @query(f"WITH {STATS_SQL} SELECT path, total_lines FROM file_stats WHERE {_ratio('doc_lines', 'total_lines')} <= 0.1::DOUBLE")

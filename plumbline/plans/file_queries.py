@@ -237,6 +237,19 @@ def merge_reports(spark, sf_dir):
     return rollups.merge(reports)
 
 
+@query(
+    f"""WITH {STATS_SQL}, m AS (SELECT split_part(path, '/', 2) AS project, count(*) AS n, sum(file_size) AS bytes, array_to_string(list_sort(list(DISTINCT key)), ',') AS found FROM file_stats GROUP BY 1)
+SELECT project, n AS file_count_analyzed, CAST(bytes AS BIGINT) AS total_bytes_analyzed, found AS languages_detected, CAST(5 AS BIGINT) AS calculation_time_ms, '0.1.0' AS version, 'Complete' AS analysis_depth FROM m
+UNION ALL SELECT 'all', count(*), CAST(sum(file_size) AS BIGINT), array_to_string(list_sort(list(DISTINCT key)), ','), CAST(5 * count(DISTINCT split_part(path, '/', 2)) AS BIGINT), '0.1.0', 'Complete' FROM file_stats"""
+)
+def report_metadata(spark, sf_dir):
+    """What the projects' reports say of themselves, and their merged report."""
+    stats = views.file_stats(spark, sf_dir).withColumn("project", F.split_part("path", F.lit("/"), F.lit(2)))
+    own = rollups.metadata(stats, "project", milliseconds=5)
+    both = own.unionByName(rollups.merge_metadata(own).withColumn("project", F.lit("all")))
+    return both.withColumn("languages_detected", F.array_join("languages_detected", ","))
+
+
 @query(f"WITH {STATS_SQL} SELECT path, CASE WHEN code_lines = 0 THEN 0.0::DOUBLE ELSE least(100.0::DOUBLE, CAST(comment_lines + doc_lines AS DOUBLE) / code_lines * 100 * 5) END AS coverage, "
        "greatest(0.0::DOUBLE, least(25.0::DOUBLE, CASE WHEN total_lines > 2000 THEN 12 WHEN total_lines > 1000 THEN 8 WHEN total_lines > 500 THEN 5 ELSE 2 END + CASE WHEN CAST(code_lines AS DOUBLE) / greatest(total_lines, 1) > 0.8::DOUBLE THEN 3 ELSE 0 END + "
        "CASE WHEN CAST(comment_lines + doc_lines AS DOUBLE) / greatest(code_lines, 1) > 0.2::DOUBLE THEN -2 WHEN CAST(comment_lines + doc_lines AS DOUBLE) / greatest(code_lines, 1) < 0.05::DOUBLE THEN 2 ELSE 0 END)) AS duplication, "
@@ -568,15 +581,16 @@ def code_lenses(spark, sf_dir):
 
 
 @query(
-    f"""{WITH}, r AS (SELECT {RATIOS} FROM (SELECT {_sum_sql(LINES)} FROM by_key))
-SELECT unnest(list_filter([CASE WHEN code_ratio > 0.8::DOUBLE THEN 'High code density - very efficient!' WHEN code_ratio < 0.4::DOUBLE THEN 'Low code density - lots of documentation or comments' END,
+    f"""{WITH}, r AS (SELECT key, {RATIOS} FROM by_key), said AS (
+SELECT key, unnest(list_filter([CASE WHEN code_ratio > 0.8::DOUBLE THEN 'High code density - very efficient!' WHEN code_ratio < 0.4::DOUBLE THEN 'Low code density - lots of documentation or comments' END,
  CASE WHEN comment_ratio > 0.3::DOUBLE THEN 'Very well commented code' WHEN comment_ratio < 0.05::DOUBLE THEN 'Could use more comments for clarity' END,
  CASE WHEN doc_ratio > 0.2::DOUBLE THEN 'Excellent documentation coverage' WHEN doc_ratio < 0.05::DOUBLE THEN 'Consider adding more documentation' END,
- CASE WHEN blank_ratio > 0.4::DOUBLE THEN 'Very spacious code - lots of breathing room' WHEN blank_ratio < 0.1::DOUBLE THEN 'Dense code - consider adding blank lines for readability' END], lambda x: x IS NOT NULL)) AS insight FROM r"""
+ CASE WHEN blank_ratio > 0.4::DOUBLE THEN 'Very spacious code - lots of breathing room' WHEN blank_ratio < 0.1::DOUBLE THEN 'Dense code - consider adding blank lines for readability' END], lambda x: x IS NOT NULL)) AS insight FROM r)
+SELECT key, insight FROM said"""
 )
 def ratio_insights(spark, sf_dir):
-    """What the project's ratios say."""
-    return findings.insights(rollups.ratios(rollups.totals(views.file_stats(spark, sf_dir))))
+    """What the ratios of each extension's files say."""
+    return findings.insights(rollups.ratios(rollups.by_key(views.file_stats(spark, sf_dir)), "key"), "key")
 
 
 # ---- incremental ------------------------------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import api
-from plumbline.functions.paths import extension
 from plumbline.operators import complexity, ranking, reports, rollups
 from plumbline.plans import views
 from plumbline.plans.complexity_queries import ROWS, _rows
@@ -79,8 +78,11 @@ def sarif_report(spark, sf_dir):
     return api.analyze(spark, views.files(spark, sf_dir)).sarif()
 
 
-@query(f"WITH {STATS_SQL} SELECT key AS ext, count(*) AS discovered, CAST(sum(file_size) AS BIGINT) AS bytes FROM file_stats GROUP BY key")
+@query(
+    f"""WITH {STATS_SQL}, m AS (SELECT count(*) AS discovered, count(*) FILTER (file_size % 7 <> 0) AS counted, CAST(coalesce(sum(file_size) FILTER (file_size % 7 <> 0), 0) AS BIGINT) AS bytes FROM file_stats)
+SELECT discovered, counted, discovered - counted AS failed, bytes, counted / 4.0::DOUBLE AS files_per_second, bytes / 4.0::DOUBLE AS bytes_per_second, 10 + 0.001::DOUBLE * counted + bytes / (10.0::DOUBLE * 1024 * 1024) AS memory_estimate_mb FROM m"""
+)
 def run_counters(spark, sf_dir):
-    """Run counters per extension."""
-    files = views.files(spark, sf_dir).withColumn("ext", extension(F.col("path")))
-    return files.groupBy("ext").agg(F.count(F.lit(1)).alias("discovered"), F.sum("size").alias("bytes"))
+    """Run counters and rates of files of which some could not be read, for a run of four seconds."""
+    files = views.files(spark, sf_dir)
+    return reports.run_metrics(files.withColumn("content", F.when(F.col("size") % 7 != 0, F.col("content"))), 4.0)

@@ -48,6 +48,65 @@ def test_walk(project):
     assert ".hidden/x.rs" in {p for p, _, _ in tree.walk(str(project), hidden=True)}
 
 
+def test_ignore_files_from_outside(project, tmp_path_factory, monkeypatch):
+    """Rules of folders above, of the repository and of the user count; own ignore files go before git's, deeper ones before others."""
+    home = tmp_path_factory.mktemp("home")
+    monkeypatch.setenv("HOME", str(home))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    root = project / "sub" / "deep"
+    names = ["a.one", "b.two", "c.three", "d.four", "e.five", "in/f.one", "in/g.six", "keep.rs"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    listed = lambda **options: sorted(p for p, _, _ in tree.walk(str(root), **options))
+    assert listed() == names
+    (project / ".gitignore").write_text("*.one\n/sub/deep/b.two\n/deep/keep.rs\n")
+    (project / "sub" / ".gitignore").write_text("!f.one\n/deep/keep.rs\n")
+    (project / ".git" / "info").mkdir(parents=True)
+    (project / ".git" / "info" / "exclude").write_text("*.three\n")
+    (home / ".config" / "git").mkdir(parents=True)
+    (home / ".config" / "git" / "ignore").write_text("*.four\n")
+    assert listed() == ["e.five", "in/f.one", "in/g.six"]
+    (project / ".ignore").write_text("*.five\n!keep.rs\n")
+    assert listed() == ["in/f.one", "in/g.six", "keep.rs"]
+    (home / "mine").write_text("*.six\n")
+    (home / ".gitconfig").write_text("[core]\n  excludesFile = ~/mine\n")
+    assert listed() == ["d.four", "in/f.one", "keep.rs"]
+    assert listed(gitignore=False) == names
+    (root / ".ignore").write_text("*.one\n")
+    assert listed(gitignore=False) == [n for n in names if not n.endswith(".one")]
+
+
+def test_large_trees_are_listed_by_tasks(spark, project, monkeypatch):
+    """Folders beyond the planned ones are dealt out unlisted; the rows are the same."""
+    tree.register(spark)
+    rows = lambda: sorted(map(tuple, spark.read.format("source_tree").load(str(project)).collect()))
+    want = rows()
+    reader = tree._Reader({"path": str(project)})
+    assert all(not p.folders for p in reader.partitions())
+    monkeypatch.setattr(tree, "PLANNED_FOLDERS", 1)
+    monkeypatch.setattr(tree, "FOLDER_PARTITIONS", 3)
+    parts = reader.partitions()
+    assert [len(p.folders) > 0 for p in parts] == [False, True, True, True]
+    assert sorted(x for p in parts for x in reader.read(p)) == want == sorted((p, s, t, (project / p).read_bytes()) for p, s, t in tree.walk(str(project)))
+
+
+def test_saved_counts(spark, tmp_path):
+    """A table can be stored over the one that it was made from, and a failing run leaves the old one."""
+    path = str(tmp_path / "cache" / f"{incremental.path_hash('/a/project'):016x}")
+    assert incremental.path_hash("") == 0xCBF29CE484222325 and incremental.path_hash("a") == 0xAF63DC4C8601EC8C
+    files = spark.createDataFrame([("a.rs", 2, 1), ("b.rs", 2, 1)], "path string, size long, mtime long")
+    count = lambda f: f.withColumns({c: F.lit(1).cast("long") for c in incremental.COUNTS})
+    incremental.save(incremental.refresh(files, None, count, 1), path)
+    known = incremental.load(spark, path)
+    incremental.save(incremental.refresh(files.where("path = 'a.rs'"), known, count, 2), path)
+    assert [(r["path"], r["touched"]) for r in incremental.load(spark, path).collect()] == [("a.rs", 2)]
+    broken = incremental.load(spark, path).withColumn("size", F.raise_error(F.lit("broken off")).cast("long"))
+    with pytest.raises(Exception, match="broken off"):
+        incremental.save(broken, path)
+    assert incremental.load(spark, path).count() == 1 and os.listdir(tmp_path / "cache") == [os.path.basename(path)]
+
+
 def test_data_source(spark, project):
     tree.register(spark)
     files = spark.read.format("source_tree").load(str(project))
