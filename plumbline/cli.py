@@ -7,6 +7,7 @@ report's DataFrames, of which only rows per extension, language or finding are r
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 from dataclasses import replace
 from pathlib import Path
@@ -81,7 +82,7 @@ def render(report: api.Report, args: argparse.Namespace) -> str:
     if args.output == "html":
         return report.html()
     if args.output == "sarif":
-        return "".join(r["json"] + "\n" for r in report.sarif().collect())
+        return "".join(r["json"] + "\n" for r in report.sarif().toLocalIterator())
     if args.output == "markdown":
         rows = _lines(reports.markdown_lines(report.by_extension).orderBy("key"))
         return "\n".join(["| Extension | Files | Lines | Code | Comments | Docs | Size |", "|---|---|---|---|---|---|---|", *rows]) + "\n"
@@ -119,7 +120,7 @@ def _text(report: api.Report, args: argparse.Namespace) -> str:
         out += [f"{r['path']}:{r['start_line']} {r['name']} cyclomatic {r['cyclomatic']} ({r['level']}) {'; '.join(r['concerns'])}" for r in worst.collect()]
     if args.files:
         listed = report.stats.select("path", "total_lines").orderBy(sort_key(F.col("path")))
-        out += [f"{r['path']} {r['total_lines']}" for r in (listed if args.top is None else listed.limit(args.top)).collect()]
+        out += [f"{r['path']} {r['total_lines']}" for r in (listed if args.top is None else listed.limit(args.top)).toLocalIterator()]
     if args.explain:
         out += [f"Skipped as {r['disposition']}: {r['files']}" for r in report.skipped.orderBy("disposition").collect()]
     return "\n".join(out) + "\n"
@@ -138,14 +139,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     session = spark or SparkSession.builder.appName("plumbline").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     options = options_of(args)
-    if args.list:
-        text = "".join(r["path"] + "\n" for r in api.list_files(session, args.path, replace(options, bounds=selection.Bounds())).collect())
-    else:
-        report = api.analyze(session, args.path, options)
-        try:
-            text = render(report, args)
-        finally:
-            report.release()
+    if args.list:  # written as they come, a partition at a time
+        found = api.list_files(session, args.path, replace(options, bounds=selection.Bounds())).toLocalIterator()
+        with open(args.output_file, "w") if args.output_file else contextlib.nullcontext(sys.stdout) as out:
+            out.writelines(r["path"] + "\n" for r in found)
+        return 0
+    report = api.analyze(session, args.path, options)
+    try:
+        text = render(report, args)
+    finally:
+        report.release()
     if args.output_file:
         Path(args.output_file).write_text(text)
     else:

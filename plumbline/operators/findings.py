@@ -10,6 +10,23 @@ from plumbline.functions.paths import extension, to_uri
 
 PROJECT_URI = "project://summary"
 
+# Identifiers, names and descriptions of the rules, as logs list them.
+RULES = [
+    ("HM000", "Project Summary", "Provides an overview of project statistics"),
+    ("HM001", "Large File", "Detects files that may be too large and should be split"),
+    ("HM002", "Low Documentation", "Identifies files with insufficient documentation"),
+    ("HM003", "Empty File", "Detects files with no code content"),
+    ("HM101", "High Complexity", "Identifies functions or files with high cyclomatic complexity"),
+    ("HM102", "High Cognitive Complexity", "Detects code that may be difficult to understand"),
+    ("HM103", "Deep Nesting", "Identifies deeply nested code structures"),
+    ("HM201", "Low Maintainability", "Detects code with low maintainability scores"),
+    ("HM202", "Poor Code Health", "Identifies overall code health issues"),
+    ("HM301", "Large Project", "Warns about projects that may benefit from modularization"),
+    ("HM401", "Technical Debt Alert", "Highlights significant technical debt indicators"),
+    ("HM402", "Quality Assessment Insights", "Provides overall code quality insights"),
+]
+SARIF_VERSION = "2.1.0"
+
 
 def _rule(when: Column, rule: str, name: str, level: str, message: Column) -> Column:
     return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("name"), F.lit(level).alias("level"), message.alias("message")))
@@ -132,11 +149,27 @@ def sarif(findings: DataFrame, tool: str = "plumbline", version: str = "0.1.0")
         F.struct(F.col("message").alias("text")).alias("message"),
         F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"),
     )
-    # Logs of some 50,000 results: the shard is a hash of the finding, so no group grows without bound.
+    # Logs of some 50,000 results: the shard is a hash of the finding and its row, so equal findings spread as well.
     shards = F.lit(max(1, -(-findings.count() // 50_000)))
-    sharded = findings.select(F.pmod(F.xxhash64("uri", "rule", "message"), shards).alias("shard"), result.alias("r"))
+    sharded = findings.select(F.pmod(F.xxhash64("uri", "rule", "message", F.monotonically_increasing_id()), shards).alias("shard"), result.alias("r"))
     logs = sharded.groupBy("shard").agg(F.array_sort(F.collect_list("r")).alias("results"))
-    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"))
+    about = [F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.struct(F.lit(d).alias("text")).alias("shortDescription")) for i, n, d in RULES]
+    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.array(*about).alias("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results").alias("results"))
-    log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
+    log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(run).alias("runs"))
     return logs.select(F.to_json(log).alias("json"))
+
+
+def sarif_fault(log: Column) -> Column:
+    """Why a SARIF log (a JSON string) is none that its readers accept; null if it is one."""
+    at = lambda path: F.get_json_object(log, path)
+    runs = F.from_json(at("$.runs"), "array<struct<tool: struct<driver: struct<name: string>>>>")
+    nameless = F.exists(runs, lambda r: F.coalesce(r["tool"]["driver"]["name"], F.lit("")) == "")
+    return (
+        F.when(at("$").isNull(), "not valid JSON")
+        .when(F.coalesce(at("$.version"), F.lit("")) != SARIF_VERSION, f"version must be {SARIF_VERSION}")
+        .when(~F.coalesce(F.get_json_object(log, "$['$schema']"), F.lit("")).contains("sarif"), "missing $schema")
+        .when(runs.isNull(), "missing runs array")
+        .when(F.size(runs) == 0, "a log must contain at least one run")
+        .when(nameless, "a run does not name the tool that produced it")
+    )

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import api
-from plumbline.operators import complexity, ranking, reports, rollups
+from plumbline.functions import scores
+from plumbline.operators import complexity, findings, incremental, ranking, reports, rollups
 from plumbline.plans import views
 from plumbline.plans.complexity_queries import ROWS, _rows
 from plumbline.plans.file_queries import LINES, PIE, WITH, _sum_sql, query
-from plumbline.plans.views import STATS_SQL
+from plumbline.plans.views import STATS_SQL, quoted
 
 _SIZE = "CASE WHEN file_size < 1024 THEN CAST(file_size AS VARCHAR) || ' B' WHEN file_size < 1048576 THEN format('{:.1f} KB', file_size / 1024.0::DOUBLE) ELSE format('{:.1f} MB', file_size / 1048576.0::DOUBLE) END"
 _CELLS = "key, " + ", ".join(f"format('{{:,}}', {c})" for c in ("files", "total_lines", "code_lines", "comment_lines", "doc_lines")) + f", {_SIZE}"
@@ -86,3 +87,51 @@ def run_counters(spark, sf_dir):
     """Run counters and rates of files of which some could not be read, for a run of four seconds."""
     files = views.files(spark, sf_dir)
     return reports.run_metrics(files.withColumn("content", F.when(F.col("size") % 7 != 0, F.col("content"))), 4.0)
+
+
+LOGS = (
+    '{"$schema": "https://x/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "t"}}}]}', '{"$schema": "https://x/sarif", "version": "2.0.0", "runs": []}',
+    '{"version": "2.1.0", "runs": []}', '{"$schema": "sarif", "version": "2.1.0"}', '{"$schema": "sarif", "version": "2.1.0", "runs": []}',
+    '{"$schema": "sarif", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "t"}}}, {"tool": {}}]}', "{}", "[",
+)
+FAULTS = (None, "version must be 2.1.0", "missing $schema", "missing runs array", "a log must contain at least one run", "a run does not name the tool that produced it", "version must be 2.1.0", "not valid JSON")
+
+
+@query(f"SELECT doc_id, [{', '.join(map(quoted, FAULTS))}][doc_id % {len(LOGS)} + 1] AS fault FROM documents")
+def sarif_faults(spark, sf_dir):
+    """Why logs would not be accepted, for a log of some kind per document."""
+    log = F.element_at(F.array(*map(F.lit, LOGS)), (F.col("doc_id") % len(LOGS) + 1).cast("int"))
+    return views.load(spark, sf_dir, "documents").select("doc_id", findings.sarif_fault(log).alias("fault"))
+
+
+@query(
+    f"""WITH {STATS_SQL}, r AS (SELECT *, CASE WHEN total_lines = 0 THEN 0.0::DOUBLE ELSE CAST(doc_lines + comment_lines AS DOUBLE) / total_lines END AS told FROM file_stats),
+f AS (SELECT 'HM001' AS rule, path FROM r WHERE total_lines > 1000 UNION ALL SELECT 'HM002', path FROM r WHERE told < 0.1::DOUBLE AND code_lines > 50 UNION ALL SELECT 'HM003', path FROM r WHERE code_lines = 0)
+SELECT rule AS "ruleId", path AS uri, CAST(12 AS BIGINT) AS rules FROM f"""
+)
+def sarif_results(spark, sf_dir):
+    """The results that valid SARIF logs hold, read back from their JSON, and how many rules their tool lists."""
+    logs = findings.sarif(findings.file_findings(views.file_stats(spark, sf_dir)))
+    runs = "struct<runs: array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>>>>>>>>>"
+    run = logs.where(findings.sarif_fault(F.col("json")).isNull()).select(F.from_json("json", runs)["runs"][0].alias("run"))
+    found = run.select(F.size("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
+    return found.select("r.ruleId", F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"), "rules")
+
+
+@query("SELECT event_type AS scope, CAST(event_id AS VARCHAR) AS path, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS rank FROM events")
+def scope_ranks(spark, sf_dir):
+    """Entries of each scope, the newest first."""
+    rows = views.load(spark, sf_dir, "events").select(F.col("event_type").alias("scope"), F.col("event_id").cast("string").alias("path"), "ts")
+    return incremental.running_rank(rows, "ts")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS name, max(event_id) AS touched FROM events GROUP BY user_id ORDER BY touched DESC, name LIMIT 64")
+def newest_scopes(spark, sf_dir):
+    """The scopes that were used last, as many as are kept."""
+    return incremental.newest_scopes(views.load(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("name")).agg(F.max("event_id").alias("touched")))
+
+
+@query("SELECT o_orderkey, format('{:.1f}', (o_orderkey % 401) / 4.0::DOUBLE + 0.01::DOUBLE) || '%' AS share FROM orders")
+def percent_forms(spark, sf_dir):
+    """Shares as they are shown."""
+    return views.load(spark, sf_dir, "orders").select("o_orderkey", scores.percent((F.col("o_orderkey") % 401) / 4.0 + 0.01).alias("share"))
