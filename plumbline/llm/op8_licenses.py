@@ -150,6 +150,8 @@ COPYRIGHT_LINE = (
 )
 #: Known digests up to which they are broadcast (some 100 bytes each).
 BROADCAST_ROWS = 200_000
+#: Keys over which a digest's rows are spread when the table is joined.
+SALTS = 16
 
 
 def _folded(text: Column) -> Column:
@@ -176,13 +178,19 @@ def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = No
 def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, scope, line, license, digest``; see the module. ``known``: license, digest, one row per digest."""
     known = known.select("license", "digest")
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
+    small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     base = docs.select(F.col(doc_id).alias("doc_id"), _folded(F.coalesce(F.col(text), F.lit(""))).alias("folded"))
     units = base.select("doc_id", F.posexplode(F.concat(F.array("folded"), F.split("folded", "\n", -1))).alias("line", "unit"))
     hashed = units.select("doc_id", "line", _digest(F.col("unit")).alias("digest"))
     scope = F.when(F.col("line") == 0, "document").otherwise("line")
-    found = hashed.join(known, "digest", "left").where("line = 0 OR license IS NOT NULL")
+    if small:
+        found = hashed.join(F.broadcast(known), "digest", "left")
+    else:  # texts and lines that repeat, and those without a digest, spread over several keys
+        salt = F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS))
+        key = F.concat_ws(" ", F.coalesce("digest", F.concat(F.lit("none "), F.xxhash64("doc_id", "line").cast("string"))), salt.cast("string"))
+        spread = known.select("license", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.concat_ws(" ", "digest", k.cast("string")))).alias("key"))
+        found = hashed.withColumn("key", key).join(spread, "key", "left")
+    found = found.where("line = 0 OR license IS NOT NULL")
     return found.select("doc_id", scope.alias("scope"), "line", "license", "digest")
 
 

@@ -312,3 +312,13 @@ def test_plain_text_by_regular_expressions():
     for _ in range(300):
         page = "".join(rng.choices(parts, k=30))
         assert op9_warc.plain_text(page) == slow(page)
+
+
+def test_licenses_of_a_joined_table(spark, docs, monkeypatch):
+    """op8: a table of digests too large to broadcast gives the same rows, with repeated and empty texts too."""
+    text = op8_licenses.KNOWN[0][1]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(k, text) for k in range(2000, 2040)] + [(3000, f"x\n{text}\ny"), (3001, "")], "doc_id long, text string"))
+    known = op8_licenses.known_licenses(spark)
+    want = sorted(map(str, op8_licenses.scan(rows, known).collect()))
+    monkeypatch.setattr(op8_licenses, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, op8_licenses.scan(rows, known).collect())) == want and len(want) > 100
