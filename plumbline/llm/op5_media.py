@@ -31,7 +31,7 @@ MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lon
 
 def folded(held: int, grid) -> int:
     """The hash of a stream's thumbnails so far with the next one; equal images don't cancel each other."""
-    return ((held << 1 | held >> 63) & (1 << 64) - 1) ^ jpeg.thumbnail_hash(grid)
+    return held * 0x9E3779B97F4A7C15 + jpeg.thumbnail_hash(grid) & (1 << 64) - 1
 
 
 def features(streams: list[bytes | None]) -> list[tuple[int, int, int, str] | None]:
