@@ -69,7 +69,7 @@ def slow_log10s(code, records):
             for node, branch in paths[r[0]]:
                 odds, ns = [float(code.odds[node]), 0.3], []
                 for c in contexts(r):
-                    n = list(counts[c, node]) if (c, node) in counts else [0, 0]
+                    n = list(counts[c, node]) if (c, node) in counts and c != ("near", mixing.NONE) else [0, 0]
                     if not r[1]:
                         n[branch] = max(0, n[branch] - 1)
                     odds.append(max(-9, min(9, math.log((n[1] + mixing.CLOSE) / (n[0] + mixing.CLOSE)))))
