@@ -48,7 +48,7 @@ VOCABULARY, LISTED_BYTES = 1 << 16, 64
 #: The last token of so many is the nearest context.
 FREQUENT = 512
 #: Bytes of text in a block, and in what a task counts in one go (one text at least).
-PORTION_BYTES = 5 << 20
+PORTION_BYTES = 4 << 20
 EM_ROUNDS = 6
 START, LISTED, CLOSE = 0xFFFFFFFF, 1 << 31, 0x20
 
