@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,47 @@ def in_pieces(numbers: np.ndarray, pieces: int = 64) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int64()), pa.array(cut, pa.binary())], names=["piece", "numbers"])
 
 
+#: Bits of a bitmap for each of its numbers, and the most it may have (16 MB); pieces in which it is put together.
+BITS_EACH, MOST_BITS, BIT_PIECES = 16, 27, 64
+
+
+def bitmap(numbers: DataFrame, many: int) -> np.ndarray:
+    """Packed bits of the hashes of the ``many`` numbers in a column: ``in_bitmap`` tells numbers that can't be among them, whatever their count."""
+    bits = min(MOST_BITS, max(16, (BITS_EACH * many).bit_length()))
+    schema, size = struct("piece long, bits binary"), (1 << bits) // BIT_PIECES
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(1 << bits, bool)
+        for part in parts:
+            marked[np.asarray(part.column(0)).view(np.uint64) >> np.uint64(64 - bits)] = True
+        packed = [np.packbits(marked[k * size : (k + 1) * size]).tobytes() for k in range(BIT_PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(BIT_PIECES), pa.int64()), pa.array(packed, pa.binary())], names=["piece", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
+        return pa.table({"piece": table["piece"][:1], "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    hashed = numbers.select(F.xxhash64(F.col(numbers.columns[0])).alias("hash"))
+    found = hashed.mapInArrow(run, schema).groupBy("piece").applyInArrow(either, schema).collect()  # 2^MOST_BITS bits at most
+    whole = b"".join(r["bits"] for r in sorted(found, key=lambda r: r["piece"]))
+    return np.frombuffer(whole or bytes(1 << bits - 3), np.uint8)
+
+
+def in_bitmap(spark: SparkSession, bits: np.ndarray):
+    """Column function: whether a number's hash is marked, given ``xxhash64(number)``."""
+    held = spark.sparkContext.broadcast(bits)  # of a bounded size
+
+    @F.pandas_udf(T.BooleanType())
+    def told(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        marked = held.value
+        shift = np.uint64(64 - (8 * len(marked)).bit_length() + 1)
+        for part in parts:
+            cell = part.to_numpy().view(np.uint64) >> shift
+            yield pd.Series(marked[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+
+    return lambda number: told(F.xxhash64(number))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     held = {c.lower() for c in df.columns}

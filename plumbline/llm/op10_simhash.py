@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from plumbline.llm.common import again, free_name, load, struct, write_table
+from plumbline.llm.common import again, bitmap, free_name, in_bitmap, load, struct, write_table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: From so many members on a half is compared in blocks; members of a block.
@@ -198,8 +198,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups
     marked = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
     found = groups(marked.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").select(F.col("doc_id").alias(own), "component_id")
     ids = again(marked).select(F.col(row).alias(own), F.col(doc_id).cast("long").alias("id"))
-    first = found.join(ids, own).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", own)).alias("least")).select(F.col(f"least.{own}").alias(own))
-    return marked.join(write_table(first, "first"), F.col(row) == F.col(own), "left_semi").drop(row)
+    named = write_table(found.join(ids, own), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", own)).alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    gone = again(named).join(first, "component_id").where(F.col(own) != F.col(f"least.{own}")).select(own)
+    gone = write_table(gone, "gone")
+    likely = in_bitmap(docs.sparkSession, bitmap(gone, gone.count()))(F.col(row))  # only rows that may go are shuffled
+    kept = marked.withColumn(own, likely)
+    asked = kept.where(F.col(own)).drop(own).join(gone, F.col(row) == F.col(own), "left_anti")
+    return kept.where(~F.col(own)).drop(own).unionByName(asked).drop(row)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
