@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from plumbline.llm.common import again, bitmap, free_name, in_bitmap, load, struct, write_table
+from plumbline.llm.common import again, bitmap, drop_table, free_name, in_bitmap, load, struct, write_table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: From so many members on a half is compared in blocks; members of a block.
@@ -166,7 +166,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
         small = small.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(small.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        edges = write_table(_ordered(small), "edges")
+        fresh = write_table(_ordered(small), "edges")
+        drop_table(edges)
+        edges = fresh
         before, state = state, _state(edges)
         if state == before:
             break
