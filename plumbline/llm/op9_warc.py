@@ -43,6 +43,12 @@ _MARK = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9]*)?([^<>]*)>")
 #: Elements whose content is no text, and those that begin a line.
 HIDDEN = frozenset("script style noscript template svg head".split())
 LINES = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li table tr article section nav header footer blockquote pre form main aside br hr".split())
+#: In one expression: a whole comment, a whole hidden element, or a tag with its name.
+_WHOLE = re.compile(rf"<!--.*?-->|<({'|'.join(sorted(HIDDEN))})(?![a-z0-9])[^<>]*>.*?</\1\s*>|</?([a-z][a-z0-9]*)?[^<>]*>", re.S | re.I)
+_HIDES = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})(?![a-z0-9])", re.I)
+_ANCHOR = re.compile(r"<a(?![a-z0-9])([^<>]*)>", re.I)
+#: Characters that the expression may look through for closing tags; other pages are walked tag by tag.
+MOST_LOOKS = 1 << 22
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 _CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[^\n]*\n")
@@ -54,6 +60,18 @@ def plain_text(page: str) -> str:
     A hidden element or a comment that is never closed hides nothing.
     """
     page = page.replace("\x00", "")
+    closed = page.rfind("-->") >= page.rfind("<!--") + 4 if "<!--" in page else True
+    if closed and len(_HIDES.findall(page)) * len(page) <= MOST_LOOKS:
+        return _tidy(_WHOLE.sub(lambda m: "\n" if m[2] and m[2].lower() in LINES else "", page))
+    return _tidy(_walked(page))
+
+
+def _tidy(body: str) -> str:
+    return _LINES.sub("\n", _BLANK.sub(" ", entities.unescape(body))).strip()
+
+
+def _walked(page: str) -> str:
+    """What ``_WHOLE`` leaves, in one pass whatever is never closed."""
     closes = {name: [m.start() for m in re.finditer(f"</{name}\\s*>", page, re.I)] for name in HIDDEN}
     used = dict.fromkeys(HIDDEN, 0)
     last_comment = page.rfind("-->")
@@ -80,13 +98,12 @@ def plain_text(page: str) -> str:
                 at = k = page.index(">", held[i]) + 1
         elif name in LINES:
             parts.append("\n")
-    body = "".join([*parts, page[at:]])
-    return _LINES.sub("\n", _BLANK.sub(" ", entities.unescape(body))).strip()
+    return "".join([*parts, page[at:]])
 
 
 def links(page: str) -> list[str]:
     """Targets of the page's links, each once."""
-    found = (_HREF.search(m[3]) for m in _MARK.finditer(page) if m[2] and m[2].lower() == "a" and not m[1])
+    found = map(_HREF.search, _ANCHOR.findall(page))
     return list(dict.fromkeys(f[1] for f in found if f))
 
 

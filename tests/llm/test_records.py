@@ -312,6 +312,9 @@ def test_plain_text_by_regular_expressions():
     for _ in range(300):
         page = "".join(rng.choices(parts, k=30))
         assert op9_warc.plain_text(page) == slow(page)
+        page = "".join(rng.choices([*parts, "<", ">", "<!--", "-->", "<svg", "<script>", "</ script>", "<p_x>", "<a-b>", "< b", "<!doctype x>"], k=30))
+        if page.rfind("-->") >= page.rfind("<!--") + 4 or "<!--" not in page:
+            assert op9_warc.plain_text(page) == op9_warc._tidy(op9_warc._walked(page))
 
 
 def test_licenses_of_a_joined_table(spark, docs, monkeypatch):
