@@ -170,3 +170,13 @@ def test_toxicity_of_odd_tables(spark, docs, none):
     by_text = {}
     for r in got:
         assert by_text.setdefault(r["text"], tuple(r["p"])) == tuple(r["p"])  # repeated rows, repeated results
+
+
+def test_toxicity_of_a_text_beside_others():
+    """A text scores the same alone as before any other text."""
+    texts = [sentences("en", 40, i) + (" lout" if i % 2 else "") for i in range(100)]
+    words = op7_toxicity._Words(op7_toxicity.train(texts, [i % 2 for i in range(100)], 0.5))
+    asked = ["", "lout", "the", "the river", *texts[:6]]
+    alone = [op7_toxicity.scores(words, [t])[0] for t in asked]
+    for other in ("lout lout", "the", "the quick river", ""):
+        assert np.allclose(op7_toxicity.scores(words, [t for a in asked for t in (a, other)])[::2], alone, atol=1e-6)
