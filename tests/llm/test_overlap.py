@@ -358,6 +358,63 @@ def test_near_copies_by_brute_force(spark, monkeypatch):
         assert found.pop(None) == expected[0] and found == expected
 
 
+def filed(sets, many):
+    """The texts of each segment, as the search files them."""
+    bits, bands = near_copies.segments(many)
+    sims = [np.frombuffer(near_copies.simhash(s, near_copies.CHECK_BITS + bits * bands), np.uint8) for s in sets]
+    for band in range(bands):
+        rows = np.zeros(len(sets), near_copies._FILED)
+        rows["check"] = [x[: near_copies.CHECK_BITS // 8].view("<u8") for x in sims]
+        rows["segment"] = [int("".join(map(str, np.unpackbits(x[near_copies.CHECK_BITS // 8 :])[band * bits : (band + 1) * bits])), 2) for x in sims]
+        rows["fp"] = np.arange(len(sets))
+        yield rows
+
+
+def test_simhash_finds_similar_sets():
+    """Sets at a similarity of just 0.8 share a bucket of the SimHash search for any number of texts, unlike ones hardly do."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in [*range(8, 120), *range(200, 300, 10)]:
+        own = rng.integers(0, 1 << 63, 10 * n, np.uint64)
+        sets += [np.sort(own[:-n]), np.sort(own[n:])]  # 8n of 10n in common
+    assert all(near_copies.similar(sets[k], sets[k + 1]) for k in range(0, len(sets), 2))
+    for many in (100, 1 << 18, 1 << 24):
+        found, strange = set(), 0
+        for rows in filed(sets, many):
+            keys, fp = near_copies.buckets(rows)
+            for key in set(keys.tolist()):
+                held = fp[keys == key].tolist()
+                found |= {a for a in held if a % 2 == 0 and a + 1 in held}
+                strange += len({a // 2 for a in held}) > 1
+        assert len(found) == len(sets) // 2 and strange <= 2
+
+
+def test_simhash_bits():
+    """Each bit is the majority of the set's hashes drawn out; more bits begin with the same ones; sets are counted in whole."""
+    own = np.random.default_rng(4).integers(0, 1 << 63, 700, np.uint64)
+    bits = np.unpackbits(np.frombuffer(near_copies.simhash(own, 1000), np.uint8))
+    each = [np.unpackbits(np.frombuffer(near_copies.simhash(own[k : k + 1], 1000), np.uint8)) for k in range(len(own))]
+    assert (bits == (2 * np.sum(each, 0, dtype=int) > len(own))).all() and 0.4 < bits.mean() < 0.6
+    assert near_copies.simhash(own, 1000)[:16] == near_copies.simhash(own, 128)
+    assert not any(near_copies.simhash(own[:0], 128))
+
+
+def test_crowds_are_searched_in_waves(monkeypatch):
+    """A crowded segment gives the same buckets as pair by pair."""
+    rng = random.Random(8)
+    marks = fingerprints_near([rng.getrandbits(64) for _ in range(5)], 400, rng, 12) + [rng.getrandbits(64) for _ in range(60)]
+    rows = np.zeros(len(marks), near_copies._FILED)
+    rows["check"] = np.array([[m, m ^ 0x5555] for m in marks], np.uint64)
+    rows["fp"] = range(len(marks))
+    whole = [x.tolist() for x in near_copies.buckets(rows)]
+    monkeypatch.setattr(near_copies, "CROWD", 10)
+    assert sorted(zip(*[x.tolist() for x in near_copies.buckets(rows)], strict=True)) == sorted(zip(*whole, strict=True))
+    near = [(a, b) for a in range(len(marks)) for b in range(a) if 2 * (marks[a] ^ marks[b]).bit_count() <= near_copies.RADIUS]
+    key = dict(zip(whole[1], whole[0], strict=True))
+    assert near and all(key[a] == key[b] for a, b in near)
+    assert near_copies.buckets(rows[:0])[0].size == 0
+
+
 def test_near_duplicate_stage(spark):
     """A copy with one word in 60 replaced goes though its fingerprint is far away."""
     rng = random.Random(2)
