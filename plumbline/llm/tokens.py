@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
 import os
 import re
+import threading
+import time
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker keeps (some 200 bytes each), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 900_000, 48
+#: Words whose ids a worker keeps (some 200 bytes each), the longest such word, and the seconds without a text after which they go.
+CACHE_WORDS, CACHE_CHARS, IDLE_S = 600_000, 48, 3.0
+
+#: Words that the library encodes at a time.
+BATCH_WORDS = 2048
 
 LONGEST_BLANK = 10_000
 _BLANKS = re.compile(r"\s{%d,}" % LONGEST_BLANK)
@@ -33,19 +39,46 @@ class WordBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True  # lowering case may make an added token of other text
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}  # what was known before; words still in use come back from there
+        self.busy, self.used, self.watched = threading.Lock(), time.monotonic(), False
+
+    def _watch(self) -> None:
+        """Drop the words once no text has come for IDLE_S: an idle worker stays, beside whatever its executor does next."""
+        while True:
+            time.sleep(IDLE_S / 3)
+            with self.busy:
+                if time.monotonic() - self.used < IDLE_S:
+                    continue
+                self.known, self.older, self.watched = {"": b""}, {}, False
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+            return
+
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer as it is; only texts with added tokens need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _plain(self, words: list[str]) -> list[bytes]:
-        found = self.inner.encode_batch_fast(words, add_special_tokens=False)
-        return [array("H", e.ids).tobytes() for e in found]
+        found = []
+        for k in range(0, len(words), BATCH_WORDS):  # what the library returns for a word takes more than a kilobyte
+            found += [array("H", e.ids).tobytes() for e in self.inner.encode_batch_fast(words[k : k + BATCH_WORDS], add_special_tokens=False)]
+        return found
 
     def _resolve(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that aren't known; short ones are kept."""
-        known, parts, wanted = self.known, {}, set()
+        known, older, parts, wanted = self.known, self.older, {}, set()
+        back = {w: older[w] for w in words if w in older}
+        known.update(back)
+        words = [w for w in words if w not in back]
         for w in words:
             core = w.rstrip(_TAIL)
             if core != w and core and core[-1].isalpha():
@@ -60,7 +93,7 @@ class WordBpe:
         known.update(found)
         for w in [w for w in found if len(w) > CACHE_CHARS]:
             del known[w]
-        return found
+        return found | back
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column without nulls, one after the other, and where each text begins and ends."""
@@ -78,8 +111,18 @@ class WordBpe:
         return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(sizes)])
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
+        with self.busy:
+            try:
+                return self._numbered(texts)
+            finally:
+                self.used = time.monotonic()
+                if not self.watched:
+                    self.watched = True
+                    threading.Thread(target=self._watch, daemon=True).start()
+
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {"": b""}, self.known
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # ASCII letters and ASCII white space alone
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()

@@ -425,6 +425,17 @@ def test_near_duplicate_stage(spark):
     assert [r["doc_id"] for r in kept.collect()] == [0]
 
 
+def test_sets_are_made_by_one_function(spark, docs):
+    """A stage with two Python functions would keep twice the workers in an executor."""
+    base = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    fps = {k: xxhash.xxh64_intdigest(near_copies.shingles((t or "").encode()).tobytes()) for k, t in base.collect()}
+    wanted = [(k, fps[k] - (1 << 64) if fps[k] >> 63 else fps[k]) for k in (0, 5, 1004)]
+    sets = near_copies._sets(base, spark.createDataFrame(wanted, "node long, fp long"))
+    assert sorted(r["fp"] for r in sets.collect()) == sorted(fp for _, fp in wanted)
+    plan = sets._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"MapInArrow|ArrowEvalPython", plan)) == 1
+
+
 def test_near_copies_of_nothing(none):
     assert near_copies.near_copies(none).count() == 0
 

@@ -132,3 +132,23 @@ def test_long_white_space_is_lossless():
     bpe = byte_bpe(public(BYTE), public_pattern())
     for text in ("a" + "\n" * 1_000_000 + "b", " " * 25_000, "x" * 300_000, "!?" * 200_000):
         assert bpe.inner.decode(bpe.encode(text).tolist()) == text
+
+
+def test_words_are_kept_in_bounds_and_go_when_idle(monkeypatch):
+    """Few words at a time and in all, the same ids; a worker without texts keeps none."""
+    import time
+
+    from plumbline.llm import tokens
+
+    texts = pa.array([f"{sentence} word{k} again{k // 2}, tail{k % 7}!" for k, sentence in enumerate(["the river", "der fluss", "la rivière"] * 40)])
+    ids, cuts = tokens.WordBpe(public(WORD)).encode(texts)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    monkeypatch.setattr(tokens, "BATCH_WORDS", 7)
+    monkeypatch.setattr(tokens, "IDLE_S", 0.3)
+    bpe = tokens.WordBpe(public(WORD))
+    got = [bpe.encode(texts.slice(k, 10)) for k in range(0, len(texts), 10)]
+    assert np.concatenate([g[0] for g in got]).tolist() == ids.tolist() and len(bpe.known) + len(bpe.older) <= 60 + 2 * 60
+    time.sleep(1)
+    assert len(bpe.known) == 1 and not bpe.older
+    again = bpe.encode(texts)
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == cuts.tolist() and len(bpe.known) > 1
