@@ -180,3 +180,17 @@ def test_toxicity_of_a_text_beside_others():
     alone = [op7_toxicity.scores(words, [t])[0] for t in asked]
     for other in ("lout lout", "the", "the quick river", ""):
         assert np.allclose(op7_toxicity.scores(words, [t for a in asked for t in (a, other)])[::2], alone, atol=1e-6)
+
+
+def test_training_holds_one_table():
+    """The driver trains beside all that it holds anyway: no second table of embeddings in double precision."""
+    import tracemalloc
+
+    texts = [sentences("en", 40, i) + (" lout" if i % 2 else "") for i in range(40)]
+    tracemalloc.start()
+    try:
+        op7_toxicity.train(texts, [i % 2 for i in range(40)], 0.5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 14 * 4 * op7_toxicity.BUCKETS * 2  # the table is 8 * 4 bytes a bucket
