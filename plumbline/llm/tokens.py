@@ -76,9 +76,10 @@ class WordBpe:
     def _resolve(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that aren't known; short ones are kept."""
         known, older, parts, wanted = self.known, self.older, {}, set()
-        back = {w: older[w] for w in words if w in older}
-        known.update(back)
-        words = [w for w in words if w not in back]
+        back = {w: older[w] for w in words if w in older} if older else {}
+        if back:
+            known.update(back)
+            words = [w for w in words if w not in back]
         for w in words:
             core = w.rstrip(_TAIL)
             if core != w and core and core[-1].isalpha():
@@ -93,7 +94,8 @@ class WordBpe:
         known.update(found)
         for w in [w for w in found if len(w) > CACHE_CHARS]:
             del known[w]
-        return found | back
+        found.update(back)
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column without nulls, one after the other, and where each text begins and ends."""
