@@ -358,6 +358,29 @@ def test_near_copies_by_brute_force(spark, monkeypatch):
         assert found.pop(None) == expected[0] and found == expected
 
 
+def test_a_crowd_costs_some_pairs_a_text(spark, monkeypatch):
+    """Texts that share most of their segments make HUBS pairs each at most, however many buckets they are in, and buckets are joined to what is known of them once."""
+    rng, seen = random.Random(6), {}
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows = [(k, " ".join(f"x{k}" if j == 5 + k % 140 else w for j, w in enumerate(base))) for k in range(120)]
+    verified, write = near_copies._verified, near_copies.write_table
+
+    def count(pairs, sets):
+        seen["pairs"] = pairs.count()
+        return verified(pairs, sets)
+
+    def note(df, name):
+        seen[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(near_copies, "_verified", count)
+    monkeypatch.setattr(near_copies, "write_table", note)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in near_copies.near_copies(docs).collect()} == {0}
+    assert seen["pairs"] <= near_copies.HUBS * len(rows)
+    assert sum(len(re.findall(r"Join Inner, \(key", seen[k])) for k in ("members", "shared")) == 1
+
+
 def filed(sets, many):
     """The texts of each segment, as the search files them."""
     bits, bands = near_copies.segments(many)
