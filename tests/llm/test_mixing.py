@@ -242,3 +242,21 @@ def test_frequent_long_tokens_are_listed(spark):
     ruler = "=" * 200
     got = op2_mixing.score(spark.createDataFrame([(i, f"{ruler} {i} {ruler}") for i in range(30)], "doc_id long, text string")).collect()
     assert all(r["n_known"] >= 3 - r["held_out"] and r["bits_per_byte"] < 1 for r in got)
+
+
+def test_a_block_of_spellings_holds_narrow_numbers():
+    """A block of spellings has a record a byte, millions in all: what a task holds of it and deals to buckets stays small."""
+    import tracemalloc
+
+    words = [f"word{i}".encode() for i in range(100_000)]
+    data = b" ".join([*words, b""])
+    body = np.array([len(data), len(words)], "<u8").tobytes() + mixing.pack([np.frombuffer(data, np.uint8), np.zeros(len(words), np.uint8)])
+    layout = mixing.Layout.of(np.full((2, 1 << 12), 1000), 1 << 16)
+    tracemalloc.start()
+    try:
+        records = op2_mixing.spelling_records(body)
+        layout.buckets(records, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70 * len(data)
