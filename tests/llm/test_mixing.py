@@ -116,6 +116,31 @@ def test_mixer_by_bits(monkeypatch):
     assert np.allclose(Mixer(code).log10s(as_records([rows[i] for i in shuffled])), got[shuffled])
 
 
+def test_mixer_where_cells_are_shared(monkeypatch):
+    """Contexts whose cells others share are asked for in vain, or not at all where a wider one tells: the results are the same."""
+    monkeypatch.setattr(mixing, "SEEN_BITS", 9)
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 23)
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 24)
+    rng = np.random.default_rng(6)
+    text = [int(x) for x in rng.zipf(1.4, 600).clip(1, 60) - 1]
+    rows = [(s, int(i % 5 == 3), text[i - 1] % 4 if i % 3 else mixing.NONE, *(text[i - k] if i >= k else 99 for k in (1, 2, 3))) for i, s in enumerate(text)]
+    code = Code.over(np.bincount([r[0] for r in rows if not r[1]], minlength=60))
+    assert np.allclose(Mixer(code).log10s(as_records(rows)), slow_log10s(code, rows), rtol=1e-5, atol=1e-5)
+
+
+def test_slots_of_training_records_are_hashed_once(monkeypatch):
+    """For counting and for predicting: it is most of the work."""
+    hashed, slots = [], mixing._slots
+    monkeypatch.setattr(mixing, "_slots", lambda key, *a: hashed.append(len(key)) or slots(key, *a))
+    rng = np.random.default_rng(7)
+    text = rng.zipf(1.4, 9000).clip(1, 60) - 1
+    rows = [(int(s), 0, int(text[i - 2]) % 4, *(int(text[i - k]) for k in (1, 2, 3))) for i, s in enumerate(text)]
+    mixer = Mixer(Code.over(np.bincount(text, minlength=60)))
+    mixer.log10s(as_records(rows))
+    depth = np.diff(mixer.code.begin)[mixer.symbol]
+    assert sum(hashed) == sum(int(depth[own].sum()) for own in mixer.asks) > 9000
+
+
 def test_codes_tell_symbols_apart():
     for counts in ([5], [0, 0], [7, 1, 1, 3, 0, 9], list(range(300))):
         code = Code.over(np.array(counts))
@@ -196,6 +221,26 @@ def test_scores_by_brute_force(spark, docs):
         assert math.isclose(a[6], -a[5] / math.log10(2) / b[6], rel_tol=1e-9)
 
 
+def test_cold_words_are_looked_up_in_packs(spark, monkeypatch):
+    """A row for each block and bucket, not for each word; whatever the buckets, each word has its own count and spelling."""
+    words = [f"w{i:04}".encode() + b"x" * (i % 7 * 20) for i in range(3000)]
+    packed = [op2_mixing.pack_words(op2_mixing._brief(x, np.array([len(w) for w in x], np.int64))) for x in (words[:2000], words[1000:][::-1], [], words[5:6])]
+    blocks = spark.createDataFrame(list(enumerate(packed)), "block long, cold binary")
+    spelled = spark.createDataFrame([(w, i, -float(i)) for i, w in enumerate(words)], "word binary, c long, spelled float")
+    for most in (0, 4000):
+        monkeypatch.setattr(op2_mixing, "LOOKED_UP", 1000)
+        got = op2_mixing.look_up(blocks, spelled, most).collect()
+        assert len(got) <= 3 * (1 + most // 1000)
+        found = {0: np.zeros(2000), 1: np.zeros(2000), 3: np.zeros(1)}
+        for r in got:
+            spellings = np.frombuffer(r["spellings"], "<f4")
+            n = len(spellings)
+            at, c = np.cumsum(mixing.unpack(r["places"], [(n, "<u4")])[0]), mixing.unpack(r["counts"], [(n, "<i8")])[0]
+            assert (c == -spellings).all()
+            found[r["block"]][at] += c
+        assert (found[0] == np.arange(2000)).all() and (found[1] == np.arange(1000, 3000)[::-1]).all() and found[3] == 5
+
+
 def test_held_out_texts_change_no_other_score(spark, docs):
     other = docs.withColumn("text", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.concat(F.lit("quite other words "), F.reverse("text"))).otherwise(F.col("text")))
     scores = lambda df: sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in op2_mixing.score(df).where("NOT held_out AND doc_id IS NOT NULL").collect())
