@@ -221,6 +221,28 @@ def test_scores_by_brute_force(spark, docs):
         assert math.isclose(a[6], -a[5] / math.log10(2) / b[6], rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("size", [1 << 25, 5000])
+def test_words_are_counted_in_packs(spark, docs, monkeypatch, size):
+    """Counts of portions come together by bucket, whatever the buckets, each word in one."""
+    monkeypatch.setattr(op2_mixing, "COUNTED_BYTES", size)
+    rows = docs.select("doc_id", "text")
+    c, n = Counter(), Counter()
+    for k, t in rows.collect():
+        words = [*op2_mixing.tokens(t), b""]
+        n.update(words)
+        c.update(words if not held(k) else [])
+    got = op2_mixing.count_tokens(rows.repartition(3), 7, 2).collect()
+    assert {r["word"]: (r["c"], r["n"]) for r in got} == {bytes(w): (c[w], n[w]) for w in n} and len(got) == len(n)
+    assert op2_mixing.count_tokens(rows.where("false"), 7, 2).collect() == []
+
+
+def test_distinct_numbers():
+    ident = np.random.default_rng(8).integers(0, 50, 300).astype(np.uint64)
+    first, inverse, many = mixing._distinct(ident)
+    want = np.unique(ident, return_inverse=True, return_counts=True)
+    assert (ident[first] == want[0]).all() and (inverse == want[1]).all() and (many == want[2]).all()
+
+
 def test_cold_words_are_looked_up_in_packs(spark, monkeypatch):
     """A row for each block and bucket, not for each word; whatever the buckets, each word has its own count and spelling."""
     words = [f"w{i:04}".encode() + b"x" * (i % 7 * 20) for i in range(3000)]
