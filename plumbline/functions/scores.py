@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,9 +121,20 @@ def grouped_number(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
+def one_decimal(value: Column) -> Column:
+    """One decimal of the exact binary value, halves to even; ``%.1f`` on the JVM rounds the shortest digits, halves up."""
+    return F.call_function("format_number", value, F.lit("0.0"))
+
+
+def told(pattern: str, *values: Column) -> Column:
+    """``format_string`` with ``%.1f`` as ``one_decimal``."""
+    kinds = [k for k in re.findall(r"%(?:%|\.1f|[a-z])", pattern) if k != "%%"]
+    return F.format_string(pattern.replace("%.1f", "%s"), *(one_decimal(v) if k == "%.1f" else v for k, v in zip(kinds, values, strict=True)))
+
+
 def human_size(size: Column) -> Column:
     """Bytes in steps of 1024 with one decimal, plain under 1 KB, up to TB."""
-    step = lambda k: F.format_string("%.1f", size / float(1024**k))
+    step = lambda k: one_decimal(size / float(1024**k))
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
         .when(size < 1024**2, F.concat(step(1), F.lit(" KB")))
@@ -132,7 +145,7 @@ def human_size(size: Column) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.concat(F.format_string("%.1f", value), F.lit("%"))
+    return F.concat(one_decimal(value), F.lit("%"))
 
 
 def html_escaped(text: Column) -> Column:

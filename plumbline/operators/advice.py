@@ -111,7 +111,7 @@ def complexity_insights(project: DataFrame, *kept: str) -> DataFrame:
     c = F.col
     many = c("high") + c("very_high")
     told = [
-        F.when(many > 0, F.format_string("%.1f%% of functions have high complexity", many / c("functions") * 100)),
+        F.when(many > 0, scores.told("%.1f%% of functions have high complexity", many / c("functions") * 100)),
         F.when(c("cyclomatic") <= 3, "Excellent complexity management").when(c("cyclomatic") <= 7, "Good complexity levels overall").otherwise("Consider refactoring for better complexity"),
         F.when(c("average_length") <= 20, "Functions are well-sized").when(c("average_length") <= 40, "Function sizes are reasonable").otherwise("Consider breaking down large functions"),
         F.when(c("max_nesting") <= 3, "Good nesting depth control").otherwise("Consider reducing nesting depth"),
@@ -127,7 +127,7 @@ def summary(totals: DataFrame, statistics: DataFrame, quality: DataFrame, langua
     complexity = F.when(c("cyclomatic") <= 5, "Low").when(c("cyclomatic") <= 10, "Medium").otherwise("High")
     pairs = {
         "total_files": c("files").cast("string"), "total_lines": c("total_lines").cast("string"), "code_lines": c("code_lines").cast("string"), "functions": c("functions").cast("string"),
-        "avg_complexity": F.format_string("%.1f", c("cyclomatic")), "quality_score": F.format_string("%.1f", c("overall")), "languages": c("languages").cast("string"), "quality_level": level,
+        "avg_complexity": scores.one_decimal(c("cyclomatic")), "quality_score": scores.one_decimal(c("overall")), "languages": c("languages").cast("string"), "quality_level": level,
         "complexity_level": complexity,
     }
     return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in pairs.items()))).alias("p")).select("p.name", "p.value")

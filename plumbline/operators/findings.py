@@ -38,7 +38,7 @@ def _rows(df: DataFrame, uri: Column, rules: list[Column]) -> DataFrame:
 
 
 def _told(pattern: str, *values: Column) -> Column:
-    return F.format_string(pattern, *values)
+    return scores.told(pattern, *values)
 
 
 def file_findings(stats: DataFrame) -> DataFrame:

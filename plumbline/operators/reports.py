@@ -47,7 +47,7 @@ def full_csv_lines(keyed: DataFrame, by_extension: DataFrame) -> DataFrame:
     known = by_extension.select(F.col("ext").alias("known_ext"), F.col("functions").alias("fn"), "cyclomatic")
     joined = keyed.join(known, F.col("key") == F.col("known_ext"), "left")
     columns = [F.col(c).cast("string") for c in ("key", "files", "total_lines", "code_lines", "comment_lines", "doc_lines", "blank_lines", "file_size")]
-    more = [F.coalesce("fn", F.lit(0)).cast("string"), F.format_string("%.1f", F.coalesce("cyclomatic", F.lit(0.0)))]
+    more = [F.coalesce("fn", F.lit(0)).cast("string"), scores.one_decimal(F.coalesce("cyclomatic", F.lit(0.0)))]
     return joined.select("key", F.concat_ws(",", *columns, *more).alias("line"))
 
 
@@ -77,7 +77,7 @@ def summary_lines(totals: DataFrame) -> DataFrame:
         text("Summary: %d files, %d lines (%d code, %d comments)", "files", "total_lines", "code_lines", "comment_lines").alias("summary"),
         text("%d files | %d lines | %d code | %d comments", "files", "total_lines", "code_lines", "comment_lines").alias("compact"),
         text("%d files, %d lines", "files", "total_lines").alias("quiet"),
-        F.concat(text("%d files, %d lines, ", "files", "total_lines"), F.format_string("%.1f MB", c("file_size") / (1024.0 * 1024.0))).alias("sized"),
+        F.concat(text("%d files, %d lines, ", "files", "total_lines"), scores.told("%.1f MB", c("file_size") / (1024.0 * 1024.0))).alias("sized"),
     )
 
 
@@ -153,7 +153,7 @@ def colors(labels: list[str], scheme: str = "default") -> list[str]:
 def chart_lines(pie: DataFrame) -> DataFrame:
     """``label, value, text`` of slices, with their share of the shown whole, the largest first."""
     whole = pie.agg(F.sum("value").alias("whole"))
-    text = F.concat("label", F.format_string(" (%.1f%%)", F.col("value") / F.col("whole") * 100))
+    text = F.concat("label", scores.told(" (%.1f%%)", F.col("value") / F.col("whole") * 100))
     return pie.crossJoin(F.broadcast(whole)).select("label", "value", text.alias("text"))
 
 

@@ -68,3 +68,17 @@ def test_empty_project(spark):
     rows = complexity.functions(complexity.analyze(files))
     assert rows.agg(*complexity.statistics()).first()["cyclomatic"] == 0.0
     assert complexity.project_maintainability(stats, rows).first()[0] == 100.0
+
+
+def test_one_decimal_rounds_the_exact_value_to_even(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import scores
+
+    values = [0.25, 0.75, 6.25, 8.35, 281.25, 656.25, 99.95, 0.0, 1e6 + 0.25]
+    rows = spark.createDataFrame([(v, int(v * 1024)) for v in values], "v double, size long")
+    got = rows.select("v", "size", scores.percent(F.col("v")).alias("p"), scores.told("%d of %.1f%%", F.col("size"), F.col("v")).alias("t"), scores.human_size(F.col("size")).alias("h")).collect()
+    for r in got:
+        assert (r["p"], r["t"]) == (f"{r['v']:.1f}%", f"{r['size']} of {r['v']:.1f}%")
+        k = sum(r["size"] >= 1024**i for i in (1, 2, 3))
+        assert r["h"] == (f"{r['size'] / 1024**k:.1f} {'KMG'[k - 1]}B" if k else f"{r['size']} B")
