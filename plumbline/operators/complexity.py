@@ -8,7 +8,10 @@ statistics are ordinary aggregations of sums, counts and extremes, so they merge
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple, fields
+from dataclasses import fields
+from functools import partial
+from itertools import accumulate
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,20 +39,43 @@ def _arrow(schema: StructType) -> pa.DataType:
     return pa.list_(pa.struct([(f.name, kinds[f.dataType.simpleString()]) for f in schema]))
 
 
-def analyze(files: DataFrame) -> DataFrame:
-    """``path, ext, functions, structures`` of ``files`` (path, content) that have an analyzer. Null or undecodable content has no functions."""
-    ext = F.coalesce(F.lower(extension(F.col("path"))), F.lit("unknown"))
-    known = files.select("path", ext.alias("ext"), F.col("content").cast("binary").alias("content")).where(F.col("ext").isin(*EXTENSIONS))
-    f_type, s_type = _arrow(FUNCTION), _arrow(STRUCTURE)
+#: So many functions and structures are held as Python objects at once, besides those of one file.
+ROWS_AT_ONCE = 8_192
+
+
+def _nested(found: list[list], schema: StructType) -> pa.ListArray:
+    """A list of records per file, built column by column."""
+    rows = [x for one in found for x in one]
+    columns = zip(*map(attrgetter(*schema.names), rows), strict=True) if rows else [()] * len(schema)
+    kind = _arrow(schema)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
+    ends = [0, *accumulate(map(len, found))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind)
+
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = [analyze_text(c.as_py(), e) for c, e in zip(part.column(2), part.column(1).to_pylist(), strict=True)]
-            functions = [[dict(zip(FUNCTION.names, astuple(x), strict=True)) for x in f] for f, _ in found]
-            structures = [[dict(zip(STRUCTURE.names, astuple(x), strict=True)) for x in s] for _, s in found]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(functions, f_type), pa.array(structures, s_type)], names=_RESULT.names)
+def _analyzed(parts: Iterator[pa.RecordBatch], structures: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of (path, ext, content) as batches of the result, which are given out before they hold much more than ``ROWS_AT_ONCE``."""
+    for part in parts:
+        start, held, found, built = 0, 0, [], []
+        for i in range(part.num_rows):
+            f, s = analyze_text(part.column(2)[i].as_py(), part.column(1)[i].as_py(), structures)
+            found.append(f)
+            built.append(s)
+            held += len(f) + len(s)
+            if held >= ROWS_AT_ONCE or i + 1 == part.num_rows:
+                kept = part.slice(start, len(found))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), _nested(found, FUNCTION), _nested(built, STRUCTURE)], names=_RESULT.names)
+                start, held, found, built = i + 1, 0, [], []
 
-    return known.mapInArrow(run, _RESULT)
+
+def analyze(files: DataFrame, structures: bool = True) -> DataFrame:
+    """``path, ext, functions, structures`` of ``files`` (path, content) that have an analyzer. Null or undecodable content has no functions.
+
+    Without ``structures`` these aren't looked for, and their lists are empty.
+    """
+    ext = F.coalesce(F.lower(extension(F.col("path"))), F.lit("unknown"))
+    known = files.select("path", ext.alias("ext"), F.col("content").cast("binary").alias("content")).where(F.col("ext").isin(*EXTENSIONS))
+    return known.mapInArrow(partial(_analyzed, structures=structures), _RESULT)
 
 
 def functions(analyzed: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ language on which lines such a function begins and ends, and counts branch words
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.operators import complexity
@@ -66,10 +68,9 @@ SAMPLES = {
 
 def files(spark, sf_dir, sample: Sample):
     """A file per document; see the module."""
-    lines = lambda x, j: [
-        _filled(sample.head, x, j), F.element_at(F.array(*(_filled(s, x, j) for s in sample.statements)), (F.length(x) % len(sample.statements) + 1).cast("int")), _filled(sample.value, x, j),
-        F.lit(sample.end),
-    ]
+    statement = lambda x: F.element_at(F.array(*map(F.lit, sample.statements)), (F.length(x) % len(sample.statements) + 1).cast("int"))
+    filled = any("{" in s for s in sample.statements)
+    lines = lambda x, j: [_filled(sample.head, x, j), _filled(statement(x), x, j) if filled else statement(x), _filled(sample.value, x, j), F.lit(sample.end)]
     text = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     body = F.flatten(F.transform(text, lambda x, j: F.array(*lines(x, j))))
     content = F.array_join(F.concat(F.array(*map(F.lit, sample.top)), body) if sample.top else body, "\n")
@@ -77,9 +78,12 @@ def files(spark, sf_dir, sample: Sample):
     return load(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
 
 
-def _filled(line: str, x, j):
-    out = F.lit(line)
-    return F.replace(F.replace(out, F.lit("{j}"), j.cast("string")), F.lit("{n}"), F.length(x).cast("string"))
+def _filled(line: str | Column, x, j):
+    """The line with the function's number and the length; a fixed one has what stands between them put together."""
+    if isinstance(line, str):
+        parts = re.split(r"(\{[jn]\})", line)
+        return F.concat(*({"{j}": j.cast("string"), "{n}": F.length(x).cast("string")}.get(p, F.lit(p)) for p in parts if p))
+    return F.replace(F.replace(line, F.lit("{j}"), j.cast("string")), F.lit("{n}"), F.length(x).cast("string"))
 
 
 def _sql(language: str) -> str:
@@ -102,7 +106,7 @@ def _register(language: str) -> None:
     sample = SAMPLES[language]
 
     def run(spark, sf_dir):
-        rows = complexity.functions(complexity.analyze(files(spark, sf_dir, sample)))
+        rows = complexity.functions(complexity.analyze(files(spark, sf_dir, sample), structures=False))
         return rows.select("path", "ext", "name", "start_line", "end_line", "line_count", "cyclomatic", "parameter_count")
 
     run.__name__ = f"functions_{language}"
@@ -125,7 +129,7 @@ _THREE = ("rust", "java", "lua")
 
 
 def _of_three(spark, sf_dir):
-    rows = [complexity.functions(complexity.analyze(files(spark, sf_dir, SAMPLES[x]))) for x in _THREE]
+    rows = [complexity.functions(complexity.analyze(files(spark, sf_dir, SAMPLES[x]), structures=False)) for x in _THREE]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 

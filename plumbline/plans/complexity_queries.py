@@ -65,7 +65,7 @@ def _code_files(spark, sf_dir):
 @query()
 def function_rows(spark, sf_dir):
     """Functions of the decorated documents."""
-    return complexity.functions(complexity.analyze(_code_files(spark, sf_dir)))
+    return complexity.functions(complexity.analyze(_code_files(spark, sf_dir), structures=False))
 
 
 @query()
@@ -77,7 +77,7 @@ def structure_rows(spark, sf_dir):
 @query()
 def project_complexity(spark, sf_dir):
     """Statistics, distribution and health of the decorated project."""
-    rows = complexity.functions(complexity.analyze(_code_files(spark, sf_dir)))
+    rows = complexity.functions(complexity.analyze(_code_files(spark, sf_dir), structures=False))
     return rows.agg(*complexity.statistics(), *complexity.distribution())
 
 

@@ -1,7 +1,7 @@
 """Function and structure extraction: hand-computed vectors."""
 
 from plumbline.operators.analyzers.languages import ANALYZERS, analyze
-from plumbline.operators.analyzers.rules import EXTENSIONS, cognitive, cyclomatic
+from plumbline.operators.analyzers.rules import EXTENSIONS, Memo, cognitive, cyclomatic
 
 
 def one(text, ext):
@@ -72,3 +72,39 @@ def test_every_language_takes_anything():
 def test_overlapping_words_add_up():
     assert cyclomatic("rust", "} else if a && b {") == 3
     assert cognitive("java", "} else if (a) {", 2) == 3
+
+
+def test_equal_lines_are_read_once(monkeypatch):
+    from plumbline.operators.analyzers import engine, languages
+
+    asked = []
+    monkeypatch.setattr(engine.rules, "cyclomatic", lambda language, line: asked.append(line) or cyclomatic(language, line))
+    text = "".join(f"func f{k}(a: Int) {{\n  a && b {'x' * 300 if k == 7 else ''}\n}}\n" for k in range(500))
+    languages.SWIFT.told.clear()
+    functions, _ = analyze(text.encode(), "swift")
+    assert [f.cyclomatic for f in functions] == [2] * 500
+    assert len(asked) == 500 + 2 + 1  # heads, the end and the statement, and the long line, which isn't kept
+    assert max(map(len, languages.SWIFT.told)) <= Memo.LONGEST
+
+
+def test_remembered_lines_are_bounded(monkeypatch):
+    monkeypatch.setattr(Memo, "MOST", 10)
+    lines = Memo(len)
+    assert [lines["x" * (k % 23)] for k in range(100)] == [k % 23 for k in range(100)]
+    assert len(lines) <= 10
+
+
+def test_files_are_given_out_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from plumbline.operators import complexity
+
+    monkeypatch.setattr(complexity, "ROWS_AT_ONCE", 10)
+    texts = [b"fn f() {\n}\n" * k for k in (3, 0, 4, 25, 1)] + [None, b"struct S {\n}\n"]
+    part = pa.RecordBatch.from_arrays([pa.array(map(str, range(7))), pa.array(["rs"] * 7), pa.array(texts, pa.binary())], names=["path", "ext", "content"])
+    got = list(complexity._analyzed(iter([part]), structures=True))
+    assert [x.num_rows for x in got] == [4, 3]
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [len(r["functions"]) for r in rows] == [3, 0, 4, 25, 1, 0, 0] and [r["path"] for r in rows] == list("0123456")
+    assert [s["name"] for r in rows for s in r["structures"]] == ["S"] and rows[0]["functions"][1]["start_line"] == 3
+    assert not any(r["structures"] for x in complexity._analyzed(iter([part]), structures=False) for r in x.to_pylist())
