@@ -113,3 +113,19 @@ def test_column_function(spark):
 
     got = [tuple(r["n"][c] for c in COUNTS) for r in df.select(line_counts(F.col("content"), F.col("key")).alias("n")).collect()]
     assert got == [e for _, _, e in VECTORS] + [(0, 0, 0, 0, 0)]
+
+
+def test_counts_in_a_plan_hold_one_text_at_a_time(spark):
+    from pyspark.sql import functions as F
+    from pyspark.util import PythonEvalType
+
+    from plumbline.functions import classify
+
+    assert classify._line_counts.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF  # no column of Python objects beside the Arrow batch
+    texts = [None, b"", b"// a\n\nx\n", "é\n".encode(), b"\xff\n# b", b"\xef\xbb\xbf"]
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate((t, k) for t in texts for k in ("rs", "md", None))], "i long, t binary, k string")
+    got = rows.select("t", "k", classify.line_counts(F.col("t"), F.col("k")).alias("n")).select("t", "k", "n.*").collect()
+    assert len(got) == 18
+    for r in got:
+        assert tuple(r[c] for c in classify.COUNTS) == classify.count_lines(bytes(r["t"] or b""), r["k"])
+    assert rows.where("false").select(classify.line_counts(F.col("t"), F.col("k"))).count() == 0
